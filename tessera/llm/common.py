@@ -66,3 +66,76 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, parts: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` to ``table`` (one row per key, ``count`` rows of ``rows`` each).
+
+    A key with at least 1/``parts`` of all ``total`` rows is hot; there are at most ``parts`` such
+    keys, so they are broadcast within that bound.  All other keys meet in a shuffle join in which
+    no key holds more than 1/``parts`` of the rows.
+    """
+    least = max(total // parts, 2)
+    hot = F.broadcast(table.where(F.col(count) >= least))
+    cold = table.where(F.col(count) < least)
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """node, root: the least node of each connected component of the edges (a, b), longs in any order.
+
+    Each task first shrinks its own edges to a forest, then large-star and small-star steps
+    alternate until nothing changes.  Every round is written to the shared folder.
+    """
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for batch in batches:
+            forest.add(batch[0].to_pylist(), batch[1].to_pylist())
+            if len(forest.parent) > 1_000_000:  # bounded memory: hand on what is there and start afresh
+                yield forest.edges()
+                forest = Forest()
+        yield forest.edges()
+
+    def larger(e: DataFrame) -> DataFrame:
+        """Each node's larger neighbours move to the least of its neighbourhood."""
+        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+    def smaller(e: DataFrame) -> DataFrame:
+        """Each node and its smaller neighbours move to the least of them (edges run from large to small)."""
+        least = e.groupBy("a").agg(F.min("b").alias("m"))
+        moved = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+
+    now = materialize(edges.select("a", "b").where("a <> b").mapInArrow(shrink, "a long, b long").distinct(), name)
+    while True:
+        after = materialize(smaller(larger(now)), name)
+        if after.count() == now.count() and after.exceptAll(now).isEmpty():
+            return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        now = after
+
+
+class Forest:
+    """Union-find over longs; every root is the least member of its set."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    def add(self, left: list[int], right: list[int]) -> None:
+        for a, b in zip(left, right, strict=True):
+            a, b = self.root(a), self.root(b)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+
+    def edges(self) -> pa.RecordBatch:
+        pairs = [(x, r) for x in list(self.parent) if (r := self.root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
