@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, exact_dedup, packing, prefix_hash, simhash
+from tessera.llm import byte_bpe, chat, exact_dedup, packing, prefix_hash, simhash
 from tessera.llm.common import read
 
 
@@ -21,6 +21,16 @@ def op2_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.edited_pairs(read(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = spark.range(2, numPartitions=1).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.digests(read(spark, sf_dir, "conversations").select(*said.columns).unionByName(said))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +68,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_prefix_hash": op2_prefix_hash,
+    "op4_chat": op4_chat,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
