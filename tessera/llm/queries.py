@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, chat, exact_dedup, packing, prefix_hash, simhash
+from tessera.llm import byte_bpe, chat, exact_dedup, packing, prefix_hash, quality, simhash
 from tessera.llm.common import read
 
 
@@ -21,6 +21,10 @@ def op2_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.edited_pairs(read(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = spark.range(2, numPartitions=1).select(
         F.lit(-1).cast("long").alias("conv_id"),
@@ -68,6 +72,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_prefix_hash": op2_prefix_hash,
+    "op3_quality": op3_quality,
     "op4_chat": op4_chat,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
