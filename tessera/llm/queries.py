@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, chat, exact_dedup, packing, prefix_hash, quality, simhash
+from tessera.llm import byte_bpe, chat, exact_dedup, packing, prefix_hash, quality, repeats, simhash
 from tessera.llm.common import read
 
 
@@ -70,6 +70,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_bytes(read(spark, sf_dir, "documents"), least=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_prefix_hash": op2_prefix_hash,
     "op3_quality": op3_quality,
@@ -78,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
+    "op10_repeats": op10_repeats,
 }
 ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
