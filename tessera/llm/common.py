@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,29 @@ def arrow_schema(spec: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in spec.split(","))])
 
 
+def table_of(spec: str, rows: list[tuple]) -> pa.Table:
+    schema = arrow_schema(spec)
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def packed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+
+
+def unpacked(data: bytes, kind: str | type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def packed_sorted(values: np.ndarray) -> bytes:
+    """For ascending unsigned 64-bit values."""
+    return packed(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], spec: str) -> DataFrame:
     """Apply ``fn`` (batch -> dict of columns, or None) to every Arrow batch of ``df``."""
     schema = arrow_schema(spec)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, chat, exact_dedup, packing, prefix_hash, quality, repeats, simhash
+from tessera.llm import byte_bpe, chat, ctw, exact_dedup, packing, prefix_hash, quality, repeats, simhash
 from tessera.llm.common import read
 
 
@@ -17,6 +17,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = ctw.split()
+    return ctw.score(read(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+
+
 def op2_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.edited_pairs(read(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ctw": op1_ctw,
     "op2_prefix_hash": op2_prefix_hash,
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,

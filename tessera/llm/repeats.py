@@ -34,11 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_schema, lookup, text_or_empty
+from tessera.llm.common import lookup, packed, table_of, text_or_empty, unpacked
 
 ANCHOR = 24
 LAST = 2**63 - 1
@@ -174,31 +173,17 @@ class Anchors:
             yield int(self.code[part[0]] >> np.uint64(32)), part
 
 
-def _packed(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
-
-
-def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
 TAGS = "owner int, chunk int, n int, tags binary, several binary"
 SEEN = "chunk int, owner int, n int, seen binary"
 SNIPPETS = "owner int, chunk int, reach binary, content binary, which binary, position binary, doc binary"
 COVERED = "chunk int, position binary, first binary, last binary"
 
 
-def _rows(spec: str, rows: list[tuple]) -> pa.Table:
-    schema = arrow_schema(spec)
-    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
-    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def _send_tags(least: int, owners: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         found = Anchors(Chunk(table), least, owners)
         at = key[0].as_py()
-        return _rows(TAGS, [(o, at, len(i), found.code[i].astype("<u4").tobytes(), np.packbits(found.several[i]).tobytes()) for o, i in found.by_owner()])
+        return table_of(TAGS, [(o, at, len(i), found.code[i].astype("<u4").tobytes(), np.packbits(found.several[i]).tobytes()) for o, i in found.by_owner()])
 
     return run
 
@@ -215,7 +200,7 @@ def _answer_tags(key: tuple, table: pa.Table) -> pa.Table:
     bits = np.zeros(len(tags), bool)
     bits[order] = np.repeat(seen, np.diff(np.r_[begins, len(tags)]))
     cut = np.split(bits, np.cumsum(sizes)[:-1])
-    return _rows(SEEN, [(c, key[0].as_py(), n, np.packbits(b).tobytes()) for c, n, b in zip(table["chunk"].to_pylist(), sizes, cut, strict=True)])
+    return table_of(SEEN, [(c, key[0].as_py(), n, np.packbits(b).tobytes()) for c, n, b in zip(table["chunk"].to_pylist(), sizes, cut, strict=True)])
 
 
 def _send_snippets(least: int, owners: int):
@@ -224,7 +209,7 @@ def _send_snippets(least: int, owners: int):
 
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table) or not len(answers):
-            return _rows(SNIPPETS, [])
+            return table_of(SNIPPETS, [])
         chunk = Chunk(table)
         found = Anchors(chunk, least, owners)
         answer = {o: np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for o, n, b in zip(*(answers[c].to_pylist() for c in ("owner", "n", "seen")), strict=True)}
@@ -248,8 +233,8 @@ def _send_snippets(least: int, owners: int):
             _, first, which = np.unique(full.view(f"V{wide + 2}").ravel(), return_index=True, return_inverse=True)
             sent = full[first]
             order = np.argsort(p, kind="stable")
-            rows.append((o, key[0].as_py(), _packed(sent[:, :2]), _packed(sent[:, 2:]), _packed(which[order].astype("<u4")), _packed(np.diff(p[order], prepend=0).astype("<u4")), _packed(chunk.docs[t[order]])))
-        return _rows(SNIPPETS, rows)
+            rows.append((o, key[0].as_py(), packed(sent[:, :2]), packed(sent[:, 2:]), packed(which[order].astype("<u4")), packed(np.diff(p[order], prepend=0).astype("<u4")), packed(chunk.docs[t[order]])))
+        return table_of(SNIPPETS, rows)
 
     return run
 
@@ -335,11 +320,11 @@ def _answer_snippets(least: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         contents, reaches, which, positions, docs, sizes, base = [], [], [], [], [], [], 0
         for r, c, w, p, d in zip(*(table[c].to_pylist() for c in ("reach", "content", "which", "position", "doc")), strict=True):
-            reaches.append(_unpacked(r, np.uint8).reshape(-1, 2))
-            contents.append(_unpacked(c, np.uint8).reshape(-1, wide))
-            which.append(_unpacked(w, "<u4").astype(np.int64) + base)
-            positions.append(np.cumsum(_unpacked(p, "<u4"), dtype=np.int64))
-            docs.append(_unpacked(d, np.int64))
+            reaches.append(unpacked(r, np.uint8).reshape(-1, 2))
+            contents.append(unpacked(c, np.uint8).reshape(-1, wide))
+            which.append(unpacked(w, "<u4").astype(np.int64) + base)
+            positions.append(np.cumsum(unpacked(p, "<u4"), dtype=np.int64))
+            docs.append(unpacked(d, np.int64))
             sizes.append(len(which[-1]))
             base += len(contents[-1])
         full = np.ascontiguousarray(np.hstack([np.concatenate(reaches), np.concatenate(contents)]))
@@ -377,8 +362,8 @@ def _answer_snippets(least: int):
         for c in np.unique(chunk_of[at]).tolist():
             mine = at[chunk_of[at] == c]
             sel = chunk_of[at] == c
-            rows.append((chunks[c], _packed(position[mine].astype("<u4")), _packed(start[sel].astype(np.uint8)), _packed(stop[sel].astype(np.uint8))))
-        return _rows(COVERED, rows)
+            rows.append((chunks[c], packed(position[mine].astype("<u4")), packed(start[sel].astype(np.uint8)), packed(stop[sel].astype(np.uint8))))
+        return table_of(COVERED, rows)
 
     return run
 
@@ -391,13 +376,13 @@ def _remove(least: int, keep_texts: bool):
 
     def run(key: tuple, table: pa.Table, covered: pa.Table) -> pa.Table:
         if not len(table):
-            return _rows(RESULT, [])
+            return table_of(RESULT, [])
         chunk = Chunk(table)
         depth = np.zeros(chunk.n + 1, np.int32)
         for p, a, b in zip(*(covered[c].to_pylist() for c in ("position", "first", "last")), strict=True):
-            at = _unpacked(p, "<u4").astype(np.int64) - reach
-            np.add.at(depth, at + _unpacked(a, np.uint8), 1)
-            np.add.at(depth, at + _unpacked(b, np.uint8), -1)
+            at = unpacked(p, "<u4").astype(np.int64) - reach
+            np.add.at(depth, at + unpacked(a, np.uint8), 1)
+            np.add.at(depth, at + unpacked(b, np.uint8), -1)
         gone = np.cumsum(depth[:-1]) > 0
         rows = []
         for text, doc, a, e in zip(chunk.texts, chunk.docs.tolist(), chunk.starts.tolist(), chunk.ends.tolist(), strict=True):
@@ -412,7 +397,7 @@ def _remove(least: int, keep_texts: bool):
                 if keep_texts:
                     kept = raw[~_whole_characters(raw, cut)].tobytes()
             rows.append((digest, None if doc == LAST else doc, len(text), removed, spans, kept_digest, kept if keep_texts else None))
-        return _rows(RESULT, rows)
+        return table_of(RESULT, rows)
 
     return run
 
