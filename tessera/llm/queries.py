@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, chat, ctw, exact_dedup, packing, prefix_hash, quality, repeats, simhash
+from tessera.llm import byte_bpe, chat, ctw, exact_dedup, packing, prefix_hash, quality, repeats, simhash, wrapper
 from tessera.llm.common import read
 
 
@@ -40,6 +40,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(read(spark, sf_dir, "conversations").select(*said.columns).unionByName(said))
 
 
+def op5_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_texts(read(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_prefix_hash": op2_prefix_hash,
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
+    "op5_wrapper": op5_wrapper,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
