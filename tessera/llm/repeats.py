@@ -444,3 +444,21 @@ def removed_bytes(docs: DataFrame, least: int = 50, chunk_bytes: int = 12 << 20)
         F.when(copy, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )
+
+
+def strip_repeats(docs: DataFrame, least: int = 50, chunk_bytes: int = 12 << 20) -> DataFrame:
+    """The rows of ``docs`` with repeats cut from their texts and ``n_chars``, if there, counted anew.
+
+    A character of which only a part is covered stays.  Null texts stay null.
+    """
+    found, _, total = removals(docs, least, chunk_bytes, keep_texts=True)
+    rest = [c for c in docs.columns if c != "text"]
+    members = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.col("text").isNotNull().alias("_given")).alias("_row"), F.sha2(text_or_empty(), 256).alias("text_sha256"))
+    sizes = members.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    table = found.select("text_sha256", "first_doc", "n_bytes", "kept").join(sizes, "text_sha256")
+    joined = lookup(members, table, ["text_sha256"], "n", total)
+    copy = ~F.col("_row.doc_id").cast("long").eqNullSafe(F.col("first_doc")) & (F.col("n_bytes") >= least)
+    text = F.when(F.col("_row._given"), F.when(copy, F.lit("")).otherwise(F.col("kept").cast("string")))
+    kept = joined.select("_row", text.alias("_text"))
+    count = F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in rest else None
+    return kept.select(*[F.col("_text").alias(c) if c == "text" else count.alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -193,3 +193,66 @@ def near_groups(docs: DataFrame, words: int, distance: int) -> DataFrame:
     table = materialize(rooted.join(ids, "root").select("fingerprint", "component_id", "n"), "simhash-table")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return lookup(prints, table, ["fingerprint"], "n", total).drop("n")
+
+
+BINS = 256
+
+
+def sketch(text: str, words: int, seed: int = 42) -> bytes:
+    """The least 16-bit value of the shingles that fall into each of BINS bins; 65535 marks an empty bin."""
+    from xxhash import xxh64_intdigest as digest
+
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    least = np.full(BINS, 0xFFFF, "<u2")
+    for at in range(0, max(len(tokens) - words + 1, min(len(tokens), 1)), 1 << 15):
+        part = tokens[at : at + (1 << 15) + words - 1]
+        n = max(1, len(part) - words + 1)
+        hashes = np.array([digest(b" ".join(part[i : i + words]), seed) for i in range(n)], np.uint64)
+        bins, values = (hashes >> np.uint64(8)) % np.uint64(BINS), ((hashes >> np.uint64(32)) % np.uint64(0xFFFF)).astype("<u2")
+        order = np.argsort(values)[::-1]
+        mine = np.full(BINS, 0xFFFF, "<u2")
+        mine[bins[order].astype(np.int64)] = values[order]  # the least is written last
+        least = np.minimum(least, mine)
+    return least.tobytes()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of the shingle sets of rows of sketches; 1 for two empty ones."""
+    used = (a != 0xFFFF) | (b != 0xFFFF)
+    same = ((a == b) & used).sum(axis=1)
+    total = used.sum(axis=1)
+    return np.where(total, same / np.maximum(total, 1), 1.0)
+
+
+def near_dedup(docs: DataFrame, words: int = 5, distance: int = 13, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays.
+
+    Texts are linked if their fingerprints are equal, or within ``distance`` bits and the similarity
+    of their shingle sets, estimated from sketches, is at least ``least``.
+    """
+    key = F.xxhash64(text_or_empty())
+
+    def run(batch):
+        texts = batch["text"].to_pylist()
+        found = np.array([fingerprint(t, words) for t in texts], np.uint64)
+        return {"doc_id": batch["doc_id"], "tid": batch["tid"], "fingerprint": found.view(np.int64), "sketch": [sketch(t, words) for t in texts]}
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("tid"), text_or_empty().alias("text"))
+    prints = materialize(map_batches(rows, run, "doc_id long, tid long, fingerprint long, sketch binary"), "near-prints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid", "sketch")  # nulls last
+    entries = materialize(prints.groupBy("fingerprint").agg(F.min(first).alias("first")), "near-entries")
+    pairs = links(signatures(entries, distance), distance).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = entries.select(F.col("fingerprint"), F.col("first.sketch").alias("sketch"))
+    pairs = pairs.join(known.toDF("a", "sketch_a"), "a").join(known.toDF("b", "sketch_b"), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
+                yield batch.select(["a", "b"]).filter(pa.array(similarity(a, b) >= least))
+
+    joined = components(pairs.mapInArrow(verify, "a long, b long"), "near-components")
+    rooted = entries.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    stay = rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "first.tid")).alias("s")).select("s.doc_id", "s.tid")
+    stay = stay.select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"))
+    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_tid")), "left_semi")
