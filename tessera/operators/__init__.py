@@ -1,0 +1 @@
+"""Relational operators: folds, joins, retrieval, metrics, pairs, loss, encoders."""

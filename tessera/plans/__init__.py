@@ -1,0 +1 @@
+"""Whole plans: index build, evaluation, caches, configuration, and the query catalogue."""

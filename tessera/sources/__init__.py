@@ -1,0 +1 @@
+"""Readers for the file formats of the workload."""
