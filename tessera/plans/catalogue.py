@@ -376,7 +376,7 @@ def mean_of_batch_losses(spark, sf_dir):
 # Trees and encoders; graphs are checked by counts, embeddings by unit tests
 
 _HTML_TAGS = ("ul", "li", "a")
-_NAV = F.regexp_extract("html", "(?s)<nav>(<ul>.*?</ul>)</nav>", 1)
+_NAV = "regexp_extract(html, '(?s)<nav>(<ul>.*?</ul>)</nav>', 1)"
 
 
 @query("""
@@ -386,7 +386,7 @@ FROM (SELECT page_id, regexp_extract(html, '<nav>(<ul>.*?</ul>)</nav>', 1, 's')
 """)
 def tree_to_graph_counts(spark, sf_dir):
     graph = tree_to_graph(_HTML_TAGS)
-    rows = table(spark, sf_dir, "pages").select("page_id", graph(_NAV).alias("g"))
+    rows = table(spark, sf_dir, "pages").select("page_id", graph(F.expr(_NAV)).alias("g"))
     return rows.select("page_id", F.col("g.num_nodes").alias("num_nodes"), F.size("g.src").alias("num_edges"))
 
 
@@ -398,7 +398,7 @@ FROM x, generate_series(0, 2 * 40) g(node) WHERE node <= 2 * n
 """)
 def graph_degree(spark, sf_dir):
     graph = tree_to_graph(_HTML_TAGS)
-    rows = table(spark, sf_dir, "pages").select("page_id", graph(_NAV).alias("g"))
+    rows = table(spark, sf_dir, "pages").select("page_id", graph(F.expr(_NAV)).alias("g"))
     return rows.select("page_id", F.explode("g.src").alias("node")).groupBy("page_id", "node").agg(F.count(F.lit(1)).alias("degree"))
 
 
@@ -417,6 +417,6 @@ def hashed_text_encode(spark, sf_dir):
 @query()
 def graph_attention_encode(spark, sf_dir):
     graph = tree_to_graph(_HTML_TAGS)
-    rows = table(spark, sf_dir, "pages").select("page_id", graph(_NAV).alias("graph")).where(F.col("graph").isNotNull())
+    rows = table(spark, sf_dir, "pages").select("page_id", graph(F.expr(_NAV)).alias("graph")).where(F.col("graph").isNotNull())
     encoder = GraphAttentionEncoder(vocabulary=4, embedding=16, hidden=16, heads=2, layers=2, dimension=32)
     return encode_column(rows, encoder, "graph", ["page_id"]).select("page_id", F.round(vx.norm("embedding"), 4).alias("norm"))
