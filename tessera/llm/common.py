@@ -60,7 +60,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], spec
 
 def crc_bucket(col: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text modulo ``n``; a null id counts as empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string").cast("binary")), F.lit(n))
+    text = (F.col(col) if isinstance(col, str) else col).cast("string")
+    return F.pmod(F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(n))
 
 
 def text_or_empty(col: str = "text") -> Column:

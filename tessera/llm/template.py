@@ -193,14 +193,20 @@ class _Expression:
         return Unary("not", self.negated()) if self.take("not") else self.compared()
 
     def compared(self) -> Any:
-        node = self.summed()
+        node = self.joined()
         while op := self.take("==", "!=", "<", "<=", ">", ">=", "in"):
-            node = Binary(op, node, self.summed())
+            node = Binary(op, node, self.joined())
+        return node
+
+    def joined(self) -> Any:
+        node = self.summed()
+        while self.take("~"):
+            node = Binary("~", node, self.summed())
         return node
 
     def summed(self) -> Any:
         node = self.factor()
-        while op := self.take("+", "-", "~"):
+        while op := self.take("+", "-"):
             node = Binary(op, node, self.factor())
         return node
 
