@@ -40,6 +40,24 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(read(spark, sf_dir, "conversations").select(*said.columns).unionByName(said))
 
 
+_CONTROLS = r"\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ASST\]|\[ROLE\]|\[/ROLE\]"
+#: Each control string or backslash in a text costs one more character; the rest is the marks of a turn.
+OP4_SQL = f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+), counted AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROLS}')) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 10 WHEN 'system' THEN 15
+    ELSE 17 + length(role) + len(regexp_extract_all(role, '{_CONTROLS}')) END AS size FROM said
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(size)::BIGINT AS formatted_chars
+FROM counted GROUP BY conv_id
+"""
+
+
 def op5_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_texts(read(spark, sf_dir, "pages"))
 
@@ -71,7 +89,9 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")).drop("ids")
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN).drop("ids")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +115,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_repeats": op10_repeats,
 }
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op7_exact_dedup": OP7_SQL}
