@@ -6,8 +6,10 @@ a sequence of its own, so no sequence crosses documents and none needs padding;
 equal length share a bucket (``length``), from which batches of one shape are drawn.
 
 Ids come from the ``tokenizers`` library.  A space after a non-space character always starts a
-new pre-token, so texts are cut there and each distinct piece goes through the library once;
-its ids are kept in a bounded table (``memo`` entries a worker) as little-endian bytes.
+new pre-token, so texts are cut there; a new piece is cut further into the matches of the
+library's own splitting pattern, and each distinct match goes through the library once, those
+with a leading space joined to one text.  Ids are kept in a bounded table (``memo`` entries a
+worker) as little-endian bytes.
 
 Defined results: a null text counts as empty, giving the end id alone; null or repeated doc_ids
 stay separate documents; other columns are ignored; an empty table gives no rows.  A sequence id
@@ -20,6 +22,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +38,45 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 @functools.lru_cache(maxsize=2)
-def tokenizer(path: str):
+def tokenizer(path: str, pattern: str):
+    """The library's tokenizer, which ids start with a space, the pattern, and the table of pieces."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True  # their strings in a text are ordinary text
+    spaced = np.zeros(tok.get_vocab_size(), bool)
+    spaced[[i for t, i in tok.get_vocab().items() if t.startswith("\u0120")]] = True
+    return tok, spaced, regex.compile(pattern), {}
+
+
+def encode_matches(tok, spaced: np.ndarray, matches: list[str]) -> dict[str, bytes]:
+    """Ids of distinct matches of the pattern."""
+    after_space = [m for m in matches if m[0] == " " and m[-1] != " " and not m.isspace()]
+    others = [m for m in matches if not (m[0] == " " and m[-1] != " " and not m.isspace())]
+    found = {m: array("I", e.ids).tobytes() for m, e in zip(others, tok.encode_batch_fast(others, add_special_tokens=False), strict=True)}
+    groups = [after_space[i : i + 1000] for i in range(0, len(after_space), 1000)]
+    for group, encoded in zip(groups, tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(encoded.ids, "<u4")
+        cuts = (4 * np.flatnonzero(spaced[ids])).tolist()
+        if len(cuts) != len(group):  # a space inside a match: encode one by one
+            found |= {m: array("I", e.ids).tobytes() for m, e in zip(group, tok.encode_batch_fast(group, add_special_tokens=False), strict=True)}
+            continue
+        data = ids.tobytes()
+        found |= {m: data[x:y] for m, x, y in zip(group, cuts, [*cuts[1:], len(data)], strict=True)}
+    return found
+
+
+def matches_of(piece: str, split) -> list[str]:
+    word = piece[1:]
+    if piece[:1] == " " and word.isalpha():
+        return [piece]
+    if piece[:1] == " " and piece[-1] in ".," and word[:-1].isalpha():
+        return [piece[:-1], piece[-1]]
+    return split.findall(piece)
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:
@@ -56,24 +91,25 @@ def word_pieces(text: str) -> list[str]:
     return [cut[0], *[" " + x for x in cut[1:]]]
 
 
-def token_bytes(texts: list[str], path: str, memo: int = 400_000) -> list[bytes]:
+def token_bytes(texts: list[str], path: str, pattern: str, memo: int = 1_000_000) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers."""
-    tok, known = tokenizer(path)
-    if len(known) > memo:
-        known.clear()
+    tok, spaced, split, known = tokenizer(path, pattern)
     out = []
     for at in range(0, len(texts), 512):
         cut = [word_pieces(t) for t in texts[at : at + 512]]
-        new = list({w for words in cut for w in words if w not in known})
-        once = dict(zip(new, (np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        known.update(once)
+        new = {w: matches_of(w, split) for words in cut for w in words if w not in known}
+        if new:
+            known.update(encode_matches(tok, spaced, list({m for found in new.values() for m in found if m not in known})))
+            for w, found in new.items():
+                if len(found) != 1:
+                    known[w] = b"".join([known[m] for m in found])
         out += [b"".join([known[w] for w in words]) for words in cut]
         if len(known) > memo:
             known.clear()
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: int = 0, memo: int = 400_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, pattern: str, longest: int = 1024, end_id: int = 0, memo: int = 1_000_000) -> DataFrame:
     """One row per piece, with the piece's ids (binary, little-endian unsigned 32-bit)."""
     schema = arrow_schema(PIECES)
     end = np.asarray([end_id], "<u4").tobytes()
@@ -86,7 +122,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: int
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows: list[list] = [[] for _ in schema]
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), token_bytes(part["text"].to_pylist(), tokenizer_path, memo), strict=True):
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), token_bytes(part["text"].to_pylist(), tokenizer_path, pattern, memo), strict=True):
                     ids += end
                     n, start = len(ids) // 4, 0
                     for length in binary_lengths(n, longest):
