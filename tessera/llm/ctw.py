@@ -11,7 +11,8 @@ At scale the counts are those of distinct strings of ``DEPTH`` + 1 bytes.  Each
 counted, packed by owner of the last two context bytes; the owners sum and keep the model as a
 table in the shared folder, with the sums for the nodes above (65,280 rows at most), which is all
 the driver sees.  For scoring, each chunk of texts asks the owners for the distinct strings it
-holds and gets back their code lengths; nothing that grows with the corpus is broadcast.
+holds and gets back their code lengths, to 1/1024 bit; nothing that grows with the corpus is
+broadcast.
 
 The same exchange counts words, for a unigram base score.  Words are told apart by a 64-bit hash.
 
@@ -23,7 +24,6 @@ repeated results; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,13 +38,10 @@ DEPTH = 7
 TOP = 2  # owners hold whole subtrees below the last TOP context bytes
 END = b"\n"
 SLICE = 1 << 18
+UNITS = 1024  # of a bit
 LN2 = math.log(2)
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
 def _log_gamma(z: np.ndarray) -> np.ndarray:
     product = z * (z + 1) * (z + 2) * (z + 3) * (z + 4) * (z + 5) * (z + 6) * (z + 7)
     y = z + 8
@@ -139,13 +136,17 @@ class Upper:
         return Upper([z0, z], [o0, o], [log_kt(z0, o0) - low.reshape(256, 256).sum(1), odds], tokens, distinct)
 
 
-def _mix(below: np.ndarray, seen: np.ndarray, zeros: np.ndarray, ones: np.ndarray, odds: np.ndarray | None, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _node(zeros: np.ndarray, ones: np.ndarray, odds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own probability of a one, weight of stopping here (1 at the deepest), and whether it was seen."""
     total = zeros + ones
-    own = (np.where(bit, ones, zeros) + 0.5) / (total + 1.0)
-    if odds is None:
-        return own, total > 0
-    stop = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
-    return np.where(seen, stop * own + (1 - stop) * below, own), total > 0
+    stop = np.ones(len(total)) if odds is None else 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+    return (ones + 0.5) / (total + 1.0), stop, total > 0
+
+
+def _mix(below: np.ndarray, seen: np.ndarray, node: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The probability of a one at nodes ``at``: their own where nothing deeper was seen, else mixed."""
+    own, stop, known = (x[at] for x in node)
+    return np.where(seen, own * stop + below * (1 - stop), own), known
 
 
 def code_lengths(keys: np.ndarray, counts: np.ndarray, upper: Upper) -> np.ndarray:
@@ -153,19 +154,21 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, upper: Upper) -> np.ndarr
     bits = np.zeros(len(keys))
     if not len(keys):
         return bits
+    above = [_node(*x) for x in zip(upper.zeros, upper.ones, upper.odds, strict=True)]
     for level in range(8):
         tree = grow(keys, counts, level)
-        bit = ((keys[tree.order] >> np.uint64(7 - level)) & np.uint64(1)).astype(bool)
-        at = tree.node
-        p, seen = _mix(bit, np.zeros(len(at), bool), tree.zeros[DEPTH][at], tree.ones[DEPTH][at], None, bit)
+        # One value a node is enough down from the deepest nodes: a node's path is the same for its strings.
+        at = np.arange(len(tree.zeros[DEPTH]))
+        p, seen = _mix(np.zeros(len(at)), np.zeros(len(at), bool), _node(tree.zeros[DEPTH], tree.ones[DEPTH], None), at)
         for depth in range(DEPTH - 1, TOP - 1, -1):
             at = tree.parent[depth][at]
-            p, seen = _mix(p, seen, tree.zeros[depth][at], tree.ones[depth][at], tree.odds[depth][at], bit)
+            p, seen = _mix(p, seen, _node(tree.zeros[depth], tree.ones[depth], tree.odds[depth]), at)
         number = (tree.prefix >> np.uint64(8 * TOP - 8)).astype(np.int64)[at]  # decision * 256 + last byte
         for depth in range(TOP - 1, -1, -1):
-            at = number if depth else number >> 8
-            p, seen = _mix(p, seen, upper.zeros[depth][at], upper.ones[depth][at], upper.odds[depth][at], bit)
-        bits[tree.order] -= np.log2(p)
+            p, seen = _mix(p, seen, above[depth], number if depth else number >> 8)
+        bit = ((keys[tree.order] >> np.uint64(7 - level)) & np.uint64(1)).astype(bool)
+        p = p[tree.node]
+        bits[tree.order] -= np.log2(np.where(bit, p, 1 - p))
     return bits
 
 
@@ -173,16 +176,49 @@ def owner_of(keys: np.ndarray, owners: int) -> np.ndarray:
     return ((keys >> np.uint64(48)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(owners)
 
 
+#: A-Z to lower case, white space to spaces; line feeds are then free to end texts.
+_LOWER = bytes(32 if i == 32 or 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
+_WORD_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    table = _powers.get(base, np.ones(1, np.uint64))
+    while len(table) < n:
+        table = np.concatenate([table, table * np.uint64(pow(base, len(table), 2**64))])
+    if len(table) <= 1 << 22:
+        _powers[base] = table
+    return table[:n]
+
+
 class Strings:
-    """The byte sequences of some texts and their strings of DEPTH + 1 bytes."""
+    """Byte sequences of some texts: words joined by single spaces and closed by END.
+
+    Texts stand DEPTH ENDs apart, so the bytes before a text's first are ENDs.
+    """
 
-    def __init__(self, tokens: list[list[bytes]]) -> None:
-        parts = [b" ".join(t) + END for t in tokens]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        gap = END * (DEPTH - 1)
-        self.buffer = np.frombuffer(END * DEPTH + gap.join(parts) + bytes(8), np.uint8)
-        starts = DEPTH + np.r_[0, np.cumsum(sizes + DEPTH - 1)[:-1]]
-        self.sizes, self.starts, self.n = sizes, starts, int(starts[-1] + sizes[-1]) if len(parts) else 0
+    def __init__(self, texts: list[str]) -> None:
+        gap = END * DEPTH
+        coded = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+        raw = np.frombuffer(gap + gap.join(coded) + gap + bytes(8), np.uint8)
+        sizes = np.array([len(c) for c in coded], np.int64)
+        starts = DEPTH + np.r_[0, np.cumsum(sizes + DEPTH)[:-1]]
+        for _ in range(2):  # spaces after spaces or an end, then spaces before an end
+            space = raw == 32
+            drop = space.copy()
+            if _ == 0:
+                drop[1:] &= space[:-1] | (raw[:-1] == END[0])
+            else:
+                drop[:-1] &= raw[1:] == END[0]
+            if drop.any():
+                before = np.r_[0, np.cumsum(~drop)]
+                ends = before[starts + sizes]
+                starts = before[starts]
+                sizes = ends - starts
+                raw = raw[~drop]
+        self.buffer = np.ascontiguousarray(raw)
+        self.starts, self.sizes = starts, sizes + 1  # with END
+        self.n = int(starts[-1] + sizes[-1] + 1) if len(texts) else 0
 
     def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(text number, key) of each byte, slice by slice."""
@@ -193,12 +229,26 @@ class Strings:
             low = np.maximum(self.starts[span], a)
             high = np.minimum(self.starts[span] + self.sizes[span], b)
             n = np.maximum(high - low, 0)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            loaded = np.ndarray((b - a,), "<u8", self.buffer, a - DEPTH, (1,)).copy()[at - a]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low - a, n)
+            loaded = np.ndarray((b - a,), "<u8", self.buffer, a - DEPTH, (1,)).copy()[at]
             yield np.repeat(span, n), loaded << np.uint64(8) | loaded >> np.uint64(56)
 
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """(text number, 64-bit hash) of each word: polynomial prefix sums modulo 2**64, mixed."""
+        part = self.buffer[: self.n]
+        gap = (part == 32) | (part == END[0])
+        first = np.flatnonzero(~gap[1:] & gap[:-1]) + 1
+        last = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _power(_WORD_BASE, len(part)), out=sums[1:])
+        value = (sums[last] - sums[first]) * _power(pow(_WORD_BASE, -1, 2**64), len(part))[first]
+        value ^= value >> np.uint64(32)
+        value *= np.uint64(0xD6E8FEB86659FD93)
+        value ^= value >> np.uint64(29)
+        return np.searchsorted(self.starts, first, side="right") - 1, value
+
+
+def _summed(keys: list[np.ndarray] = (), counts: list[np.ndarray] = ()) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     k, c = np.concatenate(keys), np.concatenate(counts)
@@ -208,11 +258,17 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[begins], np.add.reduceat(c[order], begins) if len(k) else c
 
 
-def _groups(tokens: Iterator[list[bytes]], size: int = 1 << 20) -> Iterator[list[list[bytes]]]:
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """Distinct values of sorted parts, ascending; a stable sort merges the parts."""
+    k = np.sort(np.concatenate(parts), kind="stable")
+    return k[np.r_[True, k[1:] != k[:-1]]] if len(k) else k
+
+
+def _groups(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
     held, volume = [], 0
-    for t in tokens:
+    for t in texts:
         held.append(t)
-        volume += sum(map(len, t)) + len(t)
+        volume += len(t)
         if volume >= size:
             yield held
             held, volume = [], 0
@@ -220,10 +276,7 @@ def _groups(tokens: Iterator[list[bytes]], size: int = 1 << 20) -> Iterator[list
         yield held
 
 
-def _word_keys(words: list[bytes]) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest as digest
-
-    return np.array([digest(w) for w in words], np.uint64)
+END_WORD = np.zeros(1, np.uint64)  # stands for the end among the words' hashes
 
 
 def _by_owner(keys: np.ndarray, owner: np.ndarray) -> dict[int, np.ndarray]:
@@ -240,34 +293,40 @@ SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score dou
 
 
 def _count(owners: int, most: int = 3_000_000):
-    def sent(keys: np.ndarray, counts: np.ndarray, words: Counter) -> pa.RecordBatch:
-        word_keys = _word_keys(list(words))
-        order = np.argsort(word_keys, kind="stable")
-        word_keys, word_counts = word_keys[order], np.fromiter(words.values(), np.int64, len(words))[order]
-        mine, theirs = _by_owner(keys, owner_of(keys, owners)), _by_owner(word_keys, word_keys % np.uint64(owners))
+    def sent(keys: np.ndarray, counts: np.ndarray, words: np.ndarray, word_counts: np.ndarray) -> pa.RecordBatch:
+        mine, theirs = _by_owner(keys, owner_of(keys, owners)), _by_owner(words, words % np.uint64(owners))
         none = np.zeros(0, np.int64)
         rows = []
         for o in sorted({*mine, *theirs}):
             i, j = mine.get(o, none), theirs.get(o, none)
-            rows.append((o, packed_sorted(keys[i]), packed(counts[i]), packed_sorted(word_keys[j]), packed(word_counts[j])))
+            rows.append((o, packed_sorted(keys[i]), packed(counts[i]), packed_sorted(words[j]), packed(word_counts[j])))
         return table_of(COUNTS, rows).to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, words = np.zeros(0, np.uint64), np.zeros(0, np.int64), Counter()
+        held: tuple[list, list] = ([], [])
+        size = base = 0
+
+        def summed() -> list[tuple[np.ndarray, np.ndarray]]:
+            return [_summed(*map(list, zip(*parts, strict=True))) for parts in held]
+
         for batch in batches:
-            for group in _groups(words_of(t) for t in batch["text"].to_pylist()):
-                for tokens in group:
-                    words.update(tokens)
-                words[END] += len(group)
-                parts = [(keys, counts)]
-                for _, k in Strings(group).slices():
-                    parts.append(np.unique(k, return_counts=True))
-                keys, counts = _summed(*map(list, zip(*parts, strict=True)))
-                if len(keys) > most or len(words) > most:
-                    yield sent(keys, counts, words)
-                    keys, counts, words = np.zeros(0, np.uint64), np.zeros(0, np.int64), Counter()
-        if len(keys):
-            yield sent(keys, counts, words)
+            for group in _groups(batch["text"].to_pylist()):
+                strings = Strings(group)
+                for _, k in strings.slices():
+                    held[0].append(np.unique(k, return_counts=True))
+                    size += len(held[0][-1][0])
+                held[1].append(np.unique(strings.words()[1], return_counts=True))
+                held[1].append((END_WORD, np.array([len(group)])))
+                if size > base + most:
+                    now = summed()
+                    held, size = ([now[0]], [now[1]]), 0
+                    base = len(now[0][0])
+                    if base > most:
+                        yield sent(*now[0], *now[1])
+                        held, base = ([], []), 0
+        if held[0]:
+            now = summed()
+            yield sent(*now[0], *now[1])
 
     return run
 
@@ -310,24 +369,41 @@ def train(docs: DataFrame, owners: int) -> tuple[DataFrame, Upper]:
 
 
 class Chunk:
-    """What a chunk of rows asks for, in an order that only the rows determine."""
+    """What a chunk of rows asks for, in an order that only the rows determine.
 
-    def __init__(self, table: pa.Table, owners: int) -> None:
+    With ``keep``, each slice's distinct keys and where they occur are kept for scoring.
+    """
+
+    def __init__(self, table: pa.Table, owners: int, keep: bool = False) -> None:
         rows = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         self.ids, self.texts = [r[0] for r in rows], [r[1] for r in rows]
-        words: set[bytes] = {END}
-        found = [np.zeros(0, np.uint64)]
-        for group in _groups(map(words_of, self.texts)):
-            for tokens in group:
-                words.update(tokens)
-            found += [np.unique(k) for _, k in Strings(group).slices()]
-            if len(found) > 64:
-                found = [np.unique(np.concatenate(found))]
-        self.keys = np.unique(np.concatenate(found))
-        self.words = sorted(words)
-        self.word_keys = _word_keys(self.words)
+        self.sizes = np.zeros(len(rows), np.int64)
+        self.slices: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found, words, at = [np.zeros(0, np.uint64)], [END_WORD], 0
+        for group in _groups(self.texts):
+            strings = Strings(group)
+            self.sizes[at : at + len(group)] = strings.sizes
+            for of, parts, into in ((strings.slices(), found, self.slices), ([strings.words()], words, self.tokens)):
+                for text, k in of:
+                    order = np.argsort(k) if keep else None
+                    k = k[order] if keep else np.sort(k)
+                    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+                    parts.append(k[new])
+                    if keep and len(k):
+                        into.append((k[new], (np.cumsum(new) - 1).astype(np.int32), (text[order] + at).astype(np.int32)))
+            at += len(group)
+            if not keep and len(found) > 64:
+                found, words = [_distinct(found)], [_distinct(words)]
+        self.keys, self.words = _distinct(found), _distinct(words)
         self.by_owner = _by_owner(self.keys, owner_of(self.keys, owners))
-        self.words_by_owner = _by_owner(self.word_keys, self.word_keys % np.uint64(owners))
+        self.words_by_owner = _by_owner(self.words, self.words % np.uint64(owners))
+
+
+def _added(into: np.ndarray, text: np.ndarray, value: np.ndarray) -> None:
+    low = int(text.min())
+    summed = np.bincount(text - low, value)
+    into[low : low + len(summed)] += summed
 
 
 def _ask(owners: int):
@@ -335,7 +411,7 @@ def _ask(owners: int):
         chunk, none, rows = Chunk(table, owners), np.zeros(0, np.int64), []
         for o in sorted({*chunk.by_owner, *chunk.words_by_owner}):
             i, j = chunk.by_owner.get(o, none), chunk.words_by_owner.get(o, none)
-            rows.append((o, key[0].as_py(), packed_sorted(chunk.keys[i]), packed(chunk.word_keys[j])))
+            rows.append((o, key[0].as_py(), packed_sorted(chunk.keys[i]), packed(chunk.words[j])))
         return table_of(ASKED, rows)
 
     return run
@@ -348,10 +424,10 @@ def _tell(upper: Upper):
         keys, counts = _summed([unpacked_sorted(b) for b in model["keys"].to_pylist()], [unpacked(b, np.int64) for b in model["counts"].to_pylist()])
         words, word_counts = _summed([unpacked_sorted(b) for b in model["words"].to_pylist()], [unpacked(b, np.int64) for b in model["word_counts"].to_pylist()])
         lists = [unpacked_sorted(b) for b in asked["keys"].to_pylist()]
-        every = np.unique(np.concatenate([keys, *lists]))
+        every = _distinct([keys, *lists])
         known = np.zeros(len(every), np.int64)
         known[np.searchsorted(every, keys)] = counts
-        bits = code_lengths(every, known, upper).astype(np.float32)
+        bits = np.minimum(np.rint(code_lengths(every, known, upper) * UNITS), 65535).astype(np.uint16)
         rows = []
         for chunk, mine, w in zip(asked["chunk"].to_pylist(), lists, asked["words"].to_pylist(), strict=True):
             w = unpacked(w, np.uint64)
@@ -372,36 +448,36 @@ def _score(owners: int, tokens: int, distinct: int):
     def run(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         if not len(table):
             return table_of(SCORES, [])
-        chunk = Chunk(table, owners)
-        bits, counts = np.zeros(len(chunk.keys)), np.zeros(len(chunk.words), np.int64)
+        chunk = Chunk(table, owners, keep=True)
+        bits, counts = np.zeros(len(chunk.keys), np.int64), np.zeros(len(chunk.words), np.int64)
         for o, b, c in zip(*(told[x].to_pylist() for x in ("owner", "bits", "word_counts")), strict=True):
             if o in chunk.by_owner:
-                bits[chunk.by_owner[o]] = unpacked(b, np.float32)
+                bits[chunk.by_owner[o]] = unpacked(b, np.uint16)
             if o in chunk.words_by_owner:
                 counts[chunk.words_by_owner[o]] = unpacked(c, np.int64)
-        base = dict(zip(chunk.words, (np.log10(counts + 0.1) - total).tolist(), strict=True))
-        known = {w for w, c in zip(chunk.words, counts.tolist(), strict=True) if c}
-        rows, at = [], 0
-        for group in _groups(map(words_of, chunk.texts)):
-            strings = Strings(group)
-            lengths = np.zeros(len(group))
-            for text, k in strings.slices():
-                order = np.argsort(k)
-                k = k[order]
-                new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-                value = bits[np.searchsorted(chunk.keys, k[new])][np.cumsum(new) - 1]
-                lengths += np.bincount(text[order], value, len(group))
-            for i, words in enumerate(group):
-                n_known = sum(map(known.__contains__, words)) + (END in known)
-                score = sum(map(base.__getitem__, words)) + base[END]
-                rows.append((chunk.ids[at], len(words) + 1, n_known, score, -float(lengths[i]) * math.log10(2), float(lengths[i]) / int(strings.sizes[i])))
-                at += 1
+        lengths, tokens_of, known, base = (np.zeros(len(chunk.ids)) for _ in range(4))
+        for keys, run_of, text in chunk.slices:
+            _added(lengths, text, bits[np.searchsorted(chunk.keys, keys)][run_of])
+        logs, seen = np.log10(counts + 0.1) - total, counts > 0
+        for words, run_of, text in chunk.tokens:
+            at = np.searchsorted(chunk.words, words)
+            _added(base, text, logs[at][run_of])
+            _added(known, text, seen[at][run_of])
+            _added(tokens_of, text, np.ones(len(text)))
+        end = int(np.searchsorted(chunk.words, END_WORD[0]))
+        base, known, tokens_of, lengths = base + logs[end], known + seen[end], tokens_of + 1, lengths / UNITS
+        rows = list(
+            zip(
+                chunk.ids, tokens_of.astype(np.int64).tolist(), known.astype(np.int64).tolist(), base.tolist(),
+                (-lengths * math.log10(2)).tolist(), (lengths / np.maximum(chunk.sizes, 1)).tolist(), strict=True,
+            )
+        )
         return table_of(SCORES, rows)
 
     return run
 
 
-def score(docs: DataFrame, train_on: Column, chunk_bytes: int = 12 << 20) -> DataFrame:
+def score(docs: DataFrame, train_on: Column, chunk_bytes: int = 10 << 20) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score, bits_per_byte, train_tokens for each row of ``docs``.
 
     ``train_on`` says which rows to learn from.
