@@ -22,7 +22,9 @@ class MissingInputError(FileNotFoundError):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` (globs allowed) is there, on any file system that Spark reads."""
+    """Whether ``path`` (globs allowed) is there, on any file system that Spark reads; "" never is."""
+    if not path:
+        return False
     jvm = spark._jvm
     found = jvm.org.apache.hadoop.fs.Path(path)
     matches = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found)

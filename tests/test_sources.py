@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from tessera.__main__ import main
 from tessera.operators.joins import MisalignedError
 from tessera.plans.evaluate import Config, ResultCache, cached_summary, evaluate_formula, evaluate_text, summary
 from tessera.plans.index_build import build_index
@@ -135,3 +136,21 @@ def test_streamed_last_write_wins(spark, tmp_path):
         stream = spark.readStream.schema("k string, v int, o int").parquet(str(source))
         last_write_wins(stream, ["k"], "v", ["o"], state, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert rows(spark.read.parquet(f"{state}/version=1")) == [("a", 2, 2), ("b", 1, 1)]
+
+
+def test_commands(spark, tmp_path, capsys):
+    for family in ("latex", "opt", "slt"):
+        write_tsv(tmp_path / family / "1.tsv", [formula(1, "x" if family == "latex" else "<math><ci/></math>"), formula(2, "y" if family == "latex" else "<math><cn/><ci/></math>")])
+    out = str(tmp_path / "index")
+    given = [x for f in ("latex", "opt", "slt") for x in (f"--{f}", f"{tmp_path}/{f}/*.tsv")]
+    assert main(["index", *given, "--out", out], spark) == {"written": 1, "skipped": 0, "rows": 2}
+    assert main(["index", *given, "--out", out], spark) == {"written": 0, "skipped": 1, "rows": 2}
+    topics, judged, lines = tmp_path / "t.xml", tmp_path / "q.tsv", tmp_path / "p.jsonl"
+    topics.write_text('<Topics><Topic number="t"><Title>red apple</Title><Latex>x</Latex></Topic></Topics>')
+    judged.write_text("t\t0\tv1\t3\nt\t0\t5\t1\n")
+    lines.write_text(json.dumps({"post_id": "5", "post_type": "answer", "text": "red apple"}) + "\n" + json.dumps({"post_id": "6", "post_type": "answer", "text": "sky"}))
+    common = ["--topics", str(topics), "--qrels", str(judged)]
+    text = main(["eval-text", *common, "--posts-jsonl", str(lines), "--cache", str(tmp_path / "r.json")], spark)
+    assert main(["eval-text", *common, "--posts-jsonl", str(lines), "--cache", str(tmp_path / "r.json")], spark) == text
+    assert main(["eval-formula", *common, "--index", out], spark)["map_10"] == 1.0
+    assert "map_10\t1.0000" in capsys.readouterr().out
