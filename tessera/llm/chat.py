@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_schema
+from tessera.llm.common import arrow_schema, releasing
 from tessera.llm.template import compile_template
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ASST]", "[ROLE]", "[/ROLE]")
@@ -113,7 +113,7 @@ def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
             columns = [[conv_id], [text], [[a for a, _ in spans]], [[b for _, b in spans]]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return _sorted(conversations).mapInArrow(run, spec)
+    return _sorted(conversations).mapInArrow(releasing(run), spec)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -151,4 +151,4 @@ def digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return _sorted(conversations).mapInArrow(run, DIGESTS)
+    return _sorted(conversations).mapInArrow(releasing(run), DIGESTS)

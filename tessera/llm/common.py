@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +48,50 @@ def unpacked_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Rows that hold whole texts go to Python in batches of at most ``rows``, so a batch stays small."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(conf)) not in range(1, rows + 1):
+        spark.conf.set(conf, str(rows))
+
+
+def release() -> None:
+    """Give free memory back: workers are reused, and several may wait in one executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def releasing(fn: Callable) -> Callable:
+    """``fn`` (of batches, of a key and its rows, or of a key and two sides' rows), giving memory back when it ends."""
+
+    def over_batches(batches):
+        return _drained(fn(batches))
+
+    def of_group(key, rows):
+        try:
+            return fn(key, rows)
+        finally:
+            release()
+
+    def of_cogroup(key, left, right):
+        try:
+            return fn(key, left, right)
+        finally:
+            release()
+
+    return {1: over_batches, 2: of_group, 3: of_cogroup}[len(inspect.signature(fn).parameters)]
+
+
+def _drained(parts: Iterator) -> Iterator:
+    try:
+        yield from parts
+    finally:
+        release()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], spec: str) -> DataFrame:
     """Apply ``fn`` (batch -> dict of columns, or None) to every Arrow batch of ``df``."""
     schema = arrow_schema(spec)
@@ -55,7 +101,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], spec
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    return df.mapInArrow(run, spec)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(releasing(run), spec)
 
 
 def crc_bucket(col: Column | str, n: int) -> Column:
@@ -91,6 +138,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -107,22 +155,24 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
 
 
+def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges (a, b) as a forest that connects the same nodes."""
+    forest = Forest()
+    for batch in batches:
+        forest.add(batch[0].to_pylist(), batch[1].to_pylist())
+        if len(forest.parent) > 1_000_000:  # bounded memory: hand on what is there and start afresh
+            yield forest.edges()
+            forest = Forest()
+    yield forest.edges()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root: the least node of each connected component of the edges (a, b), longs in any order.
 
-    Each task first shrinks its own edges to a forest, then large-star and small-star steps
-    alternate until nothing changes.  Every round is written to the shared folder.
+    Edges should come through ``shrink``.  Large-star and small-star steps alternate until nothing
+    changes; every round is written to the shared folder.
     """
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        for batch in batches:
-            forest.add(batch[0].to_pylist(), batch[1].to_pylist())
-            if len(forest.parent) > 1_000_000:  # bounded memory: hand on what is there and start afresh
-                yield forest.edges()
-                forest = Forest()
-        yield forest.edges()
-
     def larger(e: DataFrame) -> DataFrame:
         """Each node's larger neighbours move to the least of its neighbourhood."""
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -135,7 +185,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         moved = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
-    now = materialize(edges.select("a", "b").where("a <> b").mapInArrow(shrink, "a long, b long").distinct(), name)
+    oriented = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = materialize(oriented.distinct(), name)
     while True:
         after = materialize(smaller(larger(now)), name)
         if after.count() == now.count() and after.exceptAll(now).isEmpty():

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_bucket, materialize, packed, packed_sorted, table_of, text_or_empty, unpacked, unpacked_sorted
+from tessera.llm.common import crc_bucket, materialize, packed, packed_sorted, releasing, small_batches, table_of, text_or_empty, unpacked, unpacked_sorted
 
 DEPTH = 7
 TOP = 2  # owners hold whole subtrees below the last TOP context bytes
@@ -352,8 +352,8 @@ def _learn(key: tuple, table: pa.Table) -> pa.Table:
 def train(docs: DataFrame, owners: int) -> tuple[DataFrame, Upper]:
     """The model: its table, by owner, and the nodes above the owners' subtrees."""
     texts = docs.select(text_or_empty().alias("text"))
-    counted = texts.mapInArrow(_count(owners), COUNTS).repartition(owners, "owner")
-    model = materialize(counted.groupBy("owner").applyInArrow(_learn, MODEL), "ctw-model")
+    counted = texts.mapInArrow(releasing(_count(owners)), COUNTS).repartition(owners, "owner")
+    model = materialize(counted.groupBy("owner").applyInArrow(releasing(_learn), MODEL), "ctw-model")
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -482,6 +482,7 @@ def score(docs: DataFrame, train_on: Column, chunk_bytes: int = 10 << 20) -> Dat
 
     ``train_on`` says which rows to learn from.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(1, -(-volume // chunk_bytes))
@@ -489,9 +490,9 @@ def score(docs: DataFrame, train_on: Column, chunk_bytes: int = 10 << 20) -> Dat
     model, upper = train(rows.where(train_on), owners)
     chunked = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text").repartition(chunks, "chunk")
     of = chunked.groupBy("chunk")
-    asked = of.applyInArrow(_ask(owners), ASKED)
-    told = asked.groupBy("owner").cogroup(model.groupBy("owner")).applyInArrow(_tell(upper), TOLD)
-    found = of.cogroup(told.groupBy("chunk")).applyInArrow(_score(owners, upper.tokens, upper.distinct), SCORES)
+    asked = of.applyInArrow(releasing(_ask(owners)), ASKED)
+    told = asked.groupBy("owner").cogroup(model.groupBy("owner")).applyInArrow(releasing(_tell(upper)), TOLD)
+    found = of.cogroup(told.groupBy("chunk")).applyInArrow(releasing(_score(owners, upper.tokens, upper.distinct)), SCORES)
     return found.withColumn("train_tokens", F.lit(upper.tokens).cast("long"))
 
 

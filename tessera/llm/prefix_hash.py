@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_schema, text_or_empty
+from tessera.llm.common import arrow_schema, releasing, small_batches, text_or_empty
 
 #: (modulus, base, inverse of the base): primes below 2**31, so products stay in 64 bits.
 MODULI = [(p, b, pow(b, -1, p)) for p, b in ((2147483647, 1103515247), (2147483629, 1566083943))]
@@ -169,6 +169,7 @@ def with_next(docs: DataFrame, range_bytes: int = 16 << 20) -> DataFrame:
     """part, ahead, doc_id, text, sorted within partitions: the rows of a range and then, marked
     ``ahead``, what follows its last row."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     volume, nulls, first, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.count(F.lit(1))).first()
     if not n:
@@ -233,4 +234,4 @@ def edited_pairs(docs: DataFrame, span: int = SPAN, size: int = SIZE, range_byte
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return with_next(docs, range_bytes).mapInArrow(run, COLUMNS)
+    return with_next(docs, range_bytes).mapInArrow(releasing(run), COLUMNS)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_schema, crc_bucket, map_batches, materialize, text_or_empty
+from tessera.llm.common import crc_bucket, map_batches, materialize, releasing, small_batches, text_or_empty
 
 #: Character classes by byte: control and space, digits, upper case, lower case, sentence marks, other ASCII marks, rest.
 _CLASS = np.full(256, 6, np.int64)
@@ -199,4 +199,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
                 stats = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array(model.score(stats) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(releasing(run), docs.schema)

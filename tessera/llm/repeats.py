@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, packed, table_of, text_or_empty, unpacked
+from tessera.llm.common import lookup, packed, releasing, small_batches, table_of, text_or_empty, unpacked
 
 ANCHOR = 24
 LAST = 2**63 - 1
@@ -413,6 +413,7 @@ def _whole_characters(raw: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 def removals(docs: DataFrame, least: int = 50, chunk_bytes: int = 12 << 20, keep_texts: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """(one row per distinct text, counts of rows per text hash, number of rows)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("_key", F.xxhash64("text"))
     counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b"))
     total, volume = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
@@ -424,10 +425,10 @@ def removals(docs: DataFrame, least: int = 50, chunk_bytes: int = 12 << 20, keep
     chunked = rows.where(~is_hot).unionByName(combined).select(F.pmod("_key", F.lit(chunks)).cast("int").alias("chunk"), "doc_id", F.col("text").cast("binary").alias("text"))
     chunked = chunked.repartition(chunks, "chunk")
     of = chunked.groupBy("chunk")
-    seen = of.applyInArrow(_send_tags(least, owners), TAGS).repartition(owners, "owner").groupBy("owner").applyInArrow(_answer_tags, SEEN)
-    snippets = of.cogroup(seen.groupBy("chunk")).applyInArrow(_send_snippets(least, owners), SNIPPETS)
-    covered = snippets.repartition(owners, "owner").groupBy("owner").applyInArrow(_answer_snippets(least), COVERED)
-    return of.cogroup(covered.groupBy("chunk")).applyInArrow(_remove(least, keep_texts), RESULT), counts, total
+    seen = of.applyInArrow(releasing(_send_tags(least, owners)), TAGS).repartition(owners, "owner").groupBy("owner").applyInArrow(releasing(_answer_tags), SEEN)
+    snippets = of.cogroup(seen.groupBy("chunk")).applyInArrow(releasing(_send_snippets(least, owners)), SNIPPETS)
+    covered = snippets.repartition(owners, "owner").groupBy("owner").applyInArrow(releasing(_answer_snippets(least)), COVERED)
+    return of.cogroup(covered.groupBy("chunk")).applyInArrow(releasing(_remove(least, keep_texts)), RESULT), counts, total
 
 
 def removed_bytes(docs: DataFrame, least: int = 50, chunk_bytes: int = 12 << 20) -> DataFrame:

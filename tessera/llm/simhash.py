@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, lookup, map_batches, materialize, text_or_empty
+from tessera.llm.common import components, lookup, map_batches, materialize, releasing, shrink, text_or_empty
 
 BITS = 64
 
@@ -134,8 +134,8 @@ def free_blocks(place: int, distance: int) -> list[tuple[int, int]]:
     return blocks
 
 
-def links(signed: DataFrame, distance: int, small: int = 12) -> DataFrame:
-    """a, b: a forest of verified links per signature."""
+def links(signed: DataFrame, distance: int, small: int = 12, finish=shrink) -> DataFrame:
+    """a, b: a forest of verified links per signature; ``finish`` takes a task's links together."""
 
     def closed(place: np.ndarray, sig: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         """All groups are whole here, and rows are sorted by place, signature and fingerprint."""
@@ -180,7 +180,7 @@ def links(signed: DataFrame, distance: int, small: int = 12) -> DataFrame:
             yield closed(p, s, f.view(np.uint64))
 
     dealt = signed.repartition("place", "signature").sortWithinPartitions("place", "signature", "fingerprint")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(releasing(lambda batches: finish(run(batches))), "a long, b long")
 
 
 def near_groups(docs: DataFrame, words: int, distance: int) -> DataFrame:
@@ -241,7 +241,7 @@ def near_dedup(docs: DataFrame, words: int = 5, distance: int = 13, least: float
     prints = materialize(map_batches(rows, run, "doc_id long, tid long, fingerprint long, sketch binary"), "near-prints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid", "sketch")  # nulls last
     entries = materialize(prints.groupBy("fingerprint").agg(F.min(first).alias("first")), "near-entries")
-    pairs = links(signatures(entries, distance), distance).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = links(signatures(entries, distance), distance, finish=iter).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     known = entries.select(F.col("fingerprint"), F.col("first.sketch").alias("sketch"))
     pairs = pairs.join(known.toDF("a", "sketch_a"), "a").join(known.toDF("b", "sketch_b"), "b")
 
@@ -251,7 +251,7 @@ def near_dedup(docs: DataFrame, words: int = 5, distance: int = 13, least: float
                 a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
                 yield batch.select(["a", "b"]).filter(pa.array(similarity(a, b) >= least))
 
-    joined = components(pairs.mapInArrow(verify, "a long, b long"), "near-components")
+    joined = components(pairs.mapInArrow(releasing(lambda batches: shrink(verify(batches))), "a long, b long"), "near-components")
     rooted = entries.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     stay = rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "first.tid")).alias("s")).select("s.doc_id", "s.tid")
     stay = stay.select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"))
