@@ -8,8 +8,8 @@ equal length share a bucket (``length``), from which batches of one shape are dr
 Ids come from the ``tokenizers`` library.  A space after a non-space character always starts a
 new pre-token, so texts are cut there; a new piece is cut further into the matches of the
 library's own splitting pattern, and each distinct match goes through the library once, those
-with a leading space joined to one text.  Ids are kept in a bounded table (``memo`` entries a
-worker) as little-endian bytes.
+with a leading space joined to one text.  Ids are kept as little-endian bytes in two bounded
+tables: a worker keeps the first ``COMMON`` pieces that it meets, a task up to ``memo`` others.
 
 Defined results: a null text counts as empty, giving the end id alone; null or repeated doc_ids
 stay separate documents; other columns are ignored; an empty table gives no rows.  A sequence id
@@ -20,6 +20,7 @@ rows is needed and a rerun task gives the same ids.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
 from array import array
@@ -30,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_schema, text_or_empty
+from tessera.llm.common import arrow_schema, releasing, small_batches, text_or_empty
 
+COMMON = 250_000
 CUT = re.compile(r"(?<=\S) ")
 WIDE = re.compile(r"\s ")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -91,25 +93,43 @@ def word_pieces(text: str) -> list[str]:
     return [cut[0], *[" " + x for x in cut[1:]]]
 
 
-def token_bytes(texts: list[str], path: str, pattern: str, memo: int = 1_000_000) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers."""
-    tok, spaced, split, known = tokenizer(path, pattern)
+def _places(found: list[bytes | None]) -> Iterator[int]:
+    """Where ``found`` has None."""
+    at = -1
+    for _ in range(found.count(None)):
+        at = found.index(None, at + 1)
+        yield at
+
+
+def token_bytes(texts: list[str], path: str, pattern: str, rare: dict[str, bytes], memo: int = 400_000) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit integers; ``rare`` is the task's own table."""
+    tok, spaced, split, common = tokenizer(path, pattern)
+    if not rare:
+        rare.update(common)
     out = []
     for at in range(0, len(texts), 512):
         cut = [word_pieces(t) for t in texts[at : at + 512]]
-        new = {w: matches_of(w, split) for words in cut for w in words if w not in known}
+        ids = [list(map(rare.get, words)) for words in cut]
+        holes = [(words, found, list(_places(found))) for words, found in zip(cut, ids, strict=True) if None in found]
+        new = {w: matches_of(w, split) for w in {words[j] for words, _, places in holes for j in places}}
         if new:
-            known.update(encode_matches(tok, spaced, list({m for found in new.values() for m in found if m not in known})))
+            rare.update(encode_matches(tok, spaced, list({m for found in new.values() for m in found if m not in rare})))
             for w, found in new.items():
                 if len(found) != 1:
-                    known[w] = b"".join([known[m] for m in found])
-        out += [b"".join([known[w] for w in words]) for words in cut]
-        if len(known) > memo:
-            known.clear()
+                    rare[w] = b"".join([rare[m] for m in found])
+            if len(common) < COMMON:
+                common.update((w, rare[w]) for w in itertools.islice(new, COMMON - len(common)))
+            for words, found, places in holes:
+                for j in places:
+                    found[j] = rare[words[j]]
+        out += map(b"".join, ids)
+        if len(rare) > memo:
+            rare.clear()
+            rare.update(common)
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, pattern: str, longest: int = 1024, end_id: int = 0, memo: int = 1_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, pattern: str, longest: int = 1024, end_id: int = 0, memo: int = 400_000) -> DataFrame:
     """One row per piece, with the piece's ids (binary, little-endian unsigned 32-bit)."""
     schema = arrow_schema(PIECES)
     end = np.asarray([end_id], "<u4").tobytes()
@@ -118,11 +138,12 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, longest: int = 1024
         from pyspark import TaskContext
 
         sequence = TaskContext.get().partitionId() << 33
+        rare: dict[str, bytes] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows: list[list] = [[] for _ in schema]
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), token_bytes(part["text"].to_pylist(), tokenizer_path, pattern, memo), strict=True):
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), token_bytes(part["text"].to_pylist(), tokenizer_path, pattern, rare, memo), strict=True):
                     ids += end
                     n, start = len(ids) // 4, 0
                     for length in binary_lengths(n, longest):
@@ -134,4 +155,5 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, longest: int = 1024
                 if rows[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(releasing(run), PIECES)
