@@ -134,8 +134,8 @@ def free_blocks(place: int, distance: int) -> list[tuple[int, int]]:
     return blocks
 
 
-def links(signed: DataFrame, distance: int, small: int = 12, finish=shrink) -> DataFrame:
-    """a, b: a forest of verified links per signature; ``finish`` takes a task's links together."""
+def links(signed: DataFrame, distance: int, small: int = 12) -> DataFrame:
+    """a, b: a forest of verified links per signature."""
 
     def closed(place: np.ndarray, sig: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         """All groups are whole here, and rows are sorted by place, signature and fingerprint."""
@@ -180,7 +180,7 @@ def links(signed: DataFrame, distance: int, small: int = 12, finish=shrink) -> D
             yield closed(p, s, f.view(np.uint64))
 
     dealt = signed.repartition("place", "signature").sortWithinPartitions("place", "signature", "fingerprint")
-    return dealt.mapInArrow(releasing(lambda batches: finish(run(batches))), "a long, b long")
+    return dealt.mapInArrow(releasing(lambda batches: shrink(run(batches))), "a long, b long")
 
 
 def near_groups(docs: DataFrame, words: int, distance: int) -> DataFrame:
@@ -224,35 +224,167 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(total, same / np.maximum(total, 1), 1.0)
 
 
-def near_dedup(docs: DataFrame, words: int = 5, distance: int = 13, least: float = 0.8) -> DataFrame:
+BANDS, ROWS, COUNTS = 24, 5, 256
+_XOR, _MUL = (np.random.default_rng(42).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(k) for k in (0, 1))
+
+
+def shingle_set(text: str, words: int, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 values of a text's shingles, ascending."""
+    from xxhash import xxh64_intdigest as digest
+
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    parts = [np.zeros(0, np.uint64)]
+    for at in range(0, max(len(tokens) - words + 1, min(len(tokens), 1)), 1 << 15):
+        part = tokens[at : at + (1 << 15) + words - 1]
+        parts.append(np.unique(np.array([digest(b" ".join(part[i : i + words]), seed) for i in range(max(1, len(part) - words + 1))], np.uint64)))
+    return np.unique(np.concatenate(parts)) if len(parts) > 2 else parts[-1]
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS longs, each of ROWS min-hashes of the set: sets of similarity s share one with 1 - (1 - s**ROWS)**BANDS."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        np.minimum(least, ((shingles[at : at + 2048, None] ^ _XOR) * _MUL).min(axis=0), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for value in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ value) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two ascending arrays without repeats; 1 for two empty ones."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # two ascending runs are merged
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared) if len(both) else 1.0
+
+
+def candidates(banded: DataFrame, least: float, rest: bool) -> DataFrame:
+    """a, b: pairs of sets (``sid``, of ``n`` shingles) that share a key, a < b.
+
+    Without ``rest`` each group's least sid with every other; with it every two of different ``root``.
+    Pairs are left out only where sizes, or with ``rest`` the counts of shingles by COUNTS parts of
+    their values (``counts``), prove a similarity below ``least``.
+    """
+    columns = ["key", "sid", "n", "root", *["counts"] * rest]
+
+    def fits(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.minimum(m, n) >= (least - 1e-9) * np.maximum(m, n)
+
+    def could(i: int, j: slice, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        shared = np.minimum(counts[i], counts[j]).sum(axis=1, dtype=np.int64)  # at most so many
+        return shared >= (least - 1e-9) * (n[i] + n[j] - shared)
+
+    def stars(key: np.ndarray, sid: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        first = np.repeat(begins, np.diff(np.r_[begins, len(key)]))
+        i = np.flatnonzero((first != np.arange(len(key))) & fits(n, n[first]))
+        yield sid[first[i]], sid[i]
+
+    def others(key: np.ndarray, sid: np.ndarray, n: np.ndarray, root: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[begins[1:], len(key)]
+        mixed = (root[begins] != root[ends - 1]) & (ends - begins > 2)  # sorted by root; the stars have groups of two
+        for at, end in zip(begins[mixed].tolist(), ends[mixed].tolist(), strict=True):
+            runs = np.r_[at + np.flatnonzero(np.diff(root[at:end])) + 1, end]
+            for i in range(at, int(runs[-2])):
+                j = int(runs[np.searchsorted(runs, i, "right")])
+                hit = sid[j:end][could(i, slice(j, end), n, counts)]
+                if len(hit):
+                    yield np.full(len(hit), sid[i]), hit
+
+    def closed(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for pair in [*(others if rest else stars)(*(np.concatenate(x) for x in zip(*parts, strict=True))), None]:
+            if pair is not None:
+                held.append(np.sort(np.stack(pair), axis=0))
+                size += held[-1].shape[1]
+            if held and (pair is None or size > 1 << 18):
+                found = np.unique(np.concatenate(held, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
+                held, size = [], 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            now = tuple(np.asarray(batch[c]) for c in columns[:4])
+            if rest:
+                now += (np.frombuffer(b"".join(batch["counts"].to_pylist()), "<u4").reshape(-1, COUNTS),)
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on
+            if cut or (held and held[-1][0][-1] != now[0][-1]):
+                held.append(tuple(x[:cut] for x in now))
+                yield from closed(held)
+                held = []
+            held.append(tuple(x[cut:] for x in now))
+        if held:
+            yield from closed(held)
+
+    dealt = banded.select(*columns).repartition("key").sortWithinPartitions("key", *["root"] * rest, "sid")
+    return dealt.mapInArrow(releasing(run), "a long, b long").distinct()
+
+
+def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays.
 
-    Texts are linked if their fingerprints are equal, or within ``distance`` bits and the similarity
-    of their shingle sets, estimated from sketches, is at least ``least``.
+    Texts are linked if the Jaccard similarity of their sets of shingles is at least ``least``.  Equal
+    sets are one entry.  Entries that share a band of min-hashes are compared, by the sets themselves:
+    first the least of each band's group with the others, then all of the group that this leaves in
+    different components.  No pair is set aside for a link that isn't verified.
     """
     key = F.xxhash64(text_or_empty())
 
     def run(batch):
-        texts = batch["text"].to_pylist()
-        found = np.array([fingerprint(t, words) for t in texts], np.uint64)
-        return {"doc_id": batch["doc_id"], "tid": batch["tid"], "fingerprint": found.view(np.int64), "sketch": [sketch(t, words) for t in texts]}
+        from xxhash import xxh64_intdigest as digest
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("tid"), text_or_empty().alias("text"))
-    prints = materialize(map_batches(rows, run, "doc_id long, tid long, fingerprint long, sketch binary"), "near-prints")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid", "sketch")  # nulls last
-    entries = materialize(prints.groupBy("fingerprint").agg(F.min(first).alias("first")), "near-entries")
-    pairs = links(signatures(entries, distance), distance, finish=iter).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = entries.select(F.col("fingerprint"), F.col("first.sketch").alias("sketch"))
-    pairs = pairs.join(known.toDF("a", "sketch_a"), "a").join(known.toDF("b", "sketch_b"), "b")
+        sets = [shingle_set(t, words) for t in batch["text"].to_pylist()]
+        sids = np.array([digest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
+        return {"doc_id": batch["doc_id"], "tid": batch["tid"], "sid": sids, "n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]}
+
+    def shingled(batch):
+        from xxhash import xxh64_intdigest as digest
+
+        sets = [shingle_set(t, words) for t in batch["text"].to_pylist()]
+        counts = [np.bincount((s >> np.uint64(20)).astype(np.int64) % COUNTS, minlength=COUNTS).astype("<u4").tobytes() for s in sets]
+        sets = [s.tobytes() for s in sets]
+        return {"sid": np.array([digest(s, 7) for s in sets], np.uint64).view(np.int64), "shingles": sets, "counts": counts}
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
-                yield batch.select(["a", "b"]).filter(pa.array(similarity(a, b) >= least))
+                pairs = zip(batch["set_a"], batch["set_b"], strict=True)
+                near = [jaccard(*(np.frombuffer(x.as_buffer(), np.uint64) for x in p)) >= least for p in pairs]
+                yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    joined = components(pairs.mapInArrow(releasing(lambda batches: shrink(verify(batches))), "a long, b long"), "near-components")
-    rooted = entries.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    stay = rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "first.tid")).alias("s")).select("s.doc_id", "s.tid")
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"))
+    def sets_of(used: DataFrame) -> DataFrame:
+        tids = used.join(entries, "sid").select(F.col("first.tid").alias("tid")).distinct()
+        sets = map_batches(rows.join(tids, "tid").select("text"), shingled, "sid long, shingles binary, counts binary")
+        return materialize(sets.dropDuplicates(["sid"]), "near-sets")
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        sets = sets.select("sid", "shingles")
+        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+        return materialize(both.mapInArrow(releasing(verify), "a long, b long"), "near-links")
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("tid"), text_or_empty().alias("text"))
+    prints = map_batches(rows, run, "doc_id long, tid long, sid long, n int, keys array<long>")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")  # nulls last
+    entries = materialize(prints.groupBy("sid").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-entries")
+    banded = entries.select("sid", "n", F.explode("keys").alias("key"))
+    tested = materialize(candidates(banded.withColumn("root", F.col("sid")), least, False), "near-pairs")
+    sets = sets_of(tested.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    joined = components(verified(tested, sets), "near-components")
+    roots = joined.withColumnRenamed("node", "sid")
+    banded = banded.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    mixed = banded.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    banded = materialize(banded.join(mixed.where("low <> high AND size > 2").select("key"), "key"), "near-mixed")  # stars have groups of two
+    sets = sets_of(banded.select("sid").distinct())
+    left = candidates(banded.join(sets.select("sid", "counts"), "sid"), least, True).join(tested, ["a", "b"], "left_anti")
+    more = verified(left, sets)
+    if not more.isEmpty():
+        roots = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))), "near-components").withColumnRenamed("node", "sid")
+    rooted = entries.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    stay = rooted.groupBy("root").agg(F.min("first").alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.tid").alias("_tid"))
     return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_tid")), "left_semi")

@@ -226,3 +226,51 @@ def brute_maximal(texts, least):
 def test_maximal_repeats(texts):
     coded = [t.encode() for t in texts]
     assert {(n, tuple(sorted(p))) for n, p in repeats.maximal_repeats(coded, 2)} == brute_maximal(coded, 2)
+
+
+def kept(spark, texts, parts=8):
+    return {r["doc_id"] for r in simhash.near_dedup(docs(spark, list(enumerate(texts))).repartition(parts)).select("doc_id").collect()}
+
+
+def least_of_groups(texts, least=0.8):
+    """By brute force: the smallest position of each group that similar shingle sets link."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    at = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            at[x].append(i)
+    of = list(range(len(texts)))
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i, s in enumerate(sets):
+        shared = defaultdict(int)
+        for x in s:
+            for j in at[x]:
+                if j < i:
+                    shared[j] += 1
+        for j, n in shared.items():
+            if n >= least * (len(s) + len(sets[j]) - n):
+                a, b = sorted((root(i), root(j)))
+                of[b] = a
+    return {root(i) for i in range(len(texts))}
+
+
+def test_near_dedup_among_texts_that_share_text(spark):
+    rng = np.random.default_rng(3)
+    common = [f"c{i}" for i in range(30)]
+    texts = []
+    for i in range(1500):  # half of each text is common, so fingerprints of strangers are near
+        own = [f"u{i}.{k}" for k in range(30)]
+        texts.append(" ".join(common + own))
+        if i % 10 == 0:
+            own[int(rng.integers(5, 25))] = "changed"
+            texts.append(" ".join(common + own))
+    want = least_of_groups(texts)
+    assert len(texts) - len(want) == 150 and kept(spark, texts) == want
