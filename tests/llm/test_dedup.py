@@ -274,3 +274,23 @@ def test_near_dedup_among_texts_that_share_text(spark):
             texts.append(" ".join(common + own))
     want = least_of_groups(texts)
     assert len(texts) - len(want) == 150 and kept(spark, texts) == want
+
+
+def test_near_dedup_finds_all_at_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for i in range(400):  # one run of changed words: similarity from 0.8 up, and just below it
+        words = [f"u{i}.{k}" for k in range(240)]
+        texts.append(" ".join(words))
+        n = int(rng.integers(15, 26))
+        words[100 : 100 + n] = [f"v{i}.{k}" for k in range(n)]
+        texts.append(" ".join(words))
+    want = least_of_groups(texts)
+    assert 400 < len(want) < 700 and kept(spark, texts) == want
+
+
+def test_near_dedup_ignores_how_often_shingles_repeat(spark):
+    line = " ".join(f"l{k}" for k in range(11))
+    own = " ".join(f"u{k}" for k in range(200))
+    texts = [f"{own} {line} {line}", f"{own} " + " ".join([line] * 300)]
+    assert kept(spark, texts) == least_of_groups(texts) == {0}
