@@ -294,3 +294,11 @@ def test_near_dedup_ignores_how_often_shingles_repeat(spark):
     own = " ".join(f"u{k}" for k in range(200))
     texts = [f"{own} {line} {line}", f"{own} " + " ".join([line] * 300)]
     assert kept(spark, texts) == least_of_groups(texts) == {0}
+
+
+def test_near_dedup_checks_texts_of_equal_fingerprints(spark):
+    line = " ".join(f"l{k}" for k in range(11))
+    texts = [" ".join([line] * 200 + [f"{name}{k}" for k in range(100)]) for name in "ab"]
+    texts.append(texts[1].replace("b50", "changed"))  # near the second, not the first
+    assert len({simhash.fingerprint(t, 5) for t in texts}) == 1
+    assert kept(spark, texts) == least_of_groups(texts) == {0, 1}
