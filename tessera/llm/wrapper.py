@@ -76,24 +76,26 @@ class Node:
     texts: list[int] = field(default_factory=list)  # least hashes of the different texts, SKETCH at most
     length: int = 0
     linked: int = 0
+    pages: list[int] = field(default_factory=list)  # least hashes of the different pages that show a text here, EVIDENCE at most
 
     def size(self) -> int:
         return 1 + sum(c.size() for c in self.children)
 
 
-def outline(element: Element, linked: bool = False, depth: int = 0) -> Node:
-    """A page's tree with neighbouring siblings of one label merged."""
+def outline(element: Element, linked: bool = False, depth: int = 0, page: int = 0) -> Node:
+    """A page's tree (``page``: its hash) with neighbouring siblings of one label merged."""
     node = Node(label(element))
     own = " ".join(" ".join(c for c in element.children if isinstance(c, str)).split())
     linked = linked or element.name == "a"
     if own:
         node.texts = [zlib.crc32(own.encode("utf-8", "surrogatepass"))]
+        node.pages = [page]
         node.length = len(own)
         node.linked = len(own) if linked else 0
     if depth < 60:
         for child in element.children:
             if isinstance(child, Element) and child.name not in ("script", "style", "br", "head"):
-                new = outline(child, linked, depth + 1)
+                new = outline(child, linked, depth + 1, page)
                 if node.children and node.children[-1].label == new.label:
                     node.children[-1] = align(node.children[-1], new)
                 else:
@@ -127,7 +129,7 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
 
 def align(a: Node, b: Node) -> Node:
     """The tree that holds both, matched nodes merged and others inserted in order."""
-    merged = Node(a.label, [], sorted({*a.texts, *b.texts})[:SKETCH], a.length + b.length, a.linked + b.linked)
+    merged = Node(a.label, [], sorted({*a.texts, *b.texts})[:SKETCH], a.length + b.length, a.linked + b.linked, sorted({*a.pages, *b.pages})[:EVIDENCE])
     i = j = 0
     for x, y in [*matching(a, b)[1], (len(a.children), len(b.children))]:
         merged.children += a.children[i:x] + b.children[j:y]
@@ -146,7 +148,8 @@ class Wrapper:
 
     @staticmethod
     def of(page: Element, source: str) -> Wrapper:
-        return Wrapper(outline(page), [zlib.crc32(source.encode("utf-8", "surrogatepass"))])
+        key = zlib.crc32(source.encode("utf-8", "surrogatepass"))
+        return Wrapper(outline(page, page=key), [key])
 
     def merge(self, other: Wrapper) -> Wrapper:
         small, large = sorted((self.tree, other.tree), key=Node.size)
@@ -157,7 +160,7 @@ class Wrapper:
         rows: list[list] = []
 
         def add(node: Node) -> None:
-            rows.append([node.label, node.texts, node.length, node.linked, len(node.children)])
+            rows.append([node.label, node.texts, node.length, node.linked, node.pages, len(node.children)])
             for c in node.children:
                 add(c)
 
@@ -170,8 +173,8 @@ class Wrapper:
         rows = iter(rows)
 
         def take() -> Node:
-            of, texts, length, linked, n = next(rows)
-            return Node(of, [take() for _ in range(n)], texts, length, linked)
+            of, texts, length, linked, shown, n = next(rows)
+            return Node(of, [take() for _ in range(n)], texts, length, linked, shown)
 
         return Wrapper(take(), pages)
 
@@ -209,21 +212,28 @@ class Reader:
 
     region: Path
     template: dict[Path, int]  # nodes below the region that are constant, with their text's hash
+    varied: set[Path]  # those of them with text below that isn't: only their own text goes
 
     @staticmethod
     def of(wrapper: Wrapper) -> Reader:
         region = article_path(wrapper.tree)
         template: dict[Path, int] = {}
 
-        def walk(node: Node, path: Path) -> None:
-            if len(node.texts) == 1 and len(path) > len(region) and path[: len(region)] == region:
+        varied: set[Path] = set()
+
+        def walk(node: Node, path: Path) -> bool:
+            """Whether all text from here on is constant, each on EVIDENCE different pages."""
+            below = all([walk(c, (*path, c.label)) for c in node.children])
+            constant = len(node.texts) == 1 and len(node.pages) >= EVIDENCE
+            if constant and len(path) > len(region) and path[: len(region)] == region:
                 template[path] = node.texts[0]
-            for c in node.children:
-                walk(c, (*path, c.label))
+            if not below:
+                varied.add(path)
+            return below and (constant or not node.texts)
 
         if len(wrapper.pages) >= EVIDENCE:
             walk(wrapper.tree, (wrapper.tree.label,))
-        return Reader(region, template)
+        return Reader(region, template, varied & template.keys())
 
     def find(self, page: Element) -> list[Element]:
         found: list[Element] = []
@@ -248,7 +258,10 @@ class Reader:
                 if path in self.template:
                     own = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
                     if zlib.crc32(own.encode("utf-8", "surrogatepass")) == self.template[path]:
-                        constant.add(id(node))
+                        if path in self.varied:
+                            node.children = [c for c in node.children if not isinstance(c, str)]
+                        else:
+                            constant.add(id(node))
                 todo += [(c, (*path, label(c))) for c in node.children if isinstance(c, Element)]
         skip = lambda e: id(e) in constant or is_dropped(label(e), True)
         return "\n\n".join(b for e in found for b in blocks(e, skip))
@@ -258,7 +271,7 @@ def extract(source: str, reader: Reader | None) -> str:
     """The main text; a page that the wrapper doesn't fit is read through a wrapper of its own."""
     page = parse(source)
     text = reader.read(page) if reader else ""
-    return text or (Reader.of(Wrapper.of(page, source)).read(page) if source else "")
+    return text or (Reader.of(Wrapper.of(page := parse(source), source)).read(page) if source else "")
 
 
 HOST = r"^(?i)\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"

@@ -114,3 +114,15 @@ def test_simple_tree_matching():
     assert size == 3 and pairs == [(0, 0), (1, 2)]
     merged = wrapper.align(a, b).children[0]
     assert [c.label.split("|")[0] for c in merged.children] == ["h1", "i", "p"] and len(merged.children[0].texts) == 2
+
+
+def test_template_needs_three_pages_of_a_node():
+    pages = [f"<body><article><h1>Title {i}</h1><p>Text {i} of this page.</p><p class=src>Source: <a>place {i}</a></p></article></body>" for i in range(5)]
+    pages.append("<body><article><h1>Last</h1><p>First words.</p><h2>Results</h2><blockquote>Shown once.</blockquote></article></body>")
+    whole = wrapper.Wrapper.of(parse(pages[0]), pages[0])
+    for p in pages[1:]:
+        whole = whole.merge(wrapper.Wrapper.of(parse(p), p))
+    reader = wrapper.Reader.of(wrapper.Wrapper.load(whole.dump()))
+    found = [wrapper.extract(p, reader) for p in pages]
+    assert "Results" in found[5] and "Shown once." in found[5]
+    assert all(f"place {i}" in found[i] and "Source:" not in found[i] for i in range(5))
