@@ -34,11 +34,11 @@ class HashedTokenEncoder:
     """Deterministic stand-in for a text model: the masked mean of hashed token vectors, normalised.
 
     A token's vector has a sign in each of a few places that its crc32 gives; at most ``max_length``
-    tokens count, as in a truncating tokeniser.
+    tokens count, as in a truncating tokeniser, or all if it is None.
     """
 
     dimension: int = 256
-    max_length: int = 256
+    max_length: int | None = 256
     places: int = 8
 
     def encode(self, values: Sequence[str | None]) -> list[np.ndarray | None]:

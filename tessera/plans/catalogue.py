@@ -410,8 +410,9 @@ def vocabulary_lookup(spark, sf_dir):
 
 @query()
 def hashed_text_encode(spark, sf_dir):
-    rows = encode_column(table(spark, sf_dir, "documents"), HashedTokenEncoder(64), "text", ["doc_id"])
-    return rows.select("doc_id", F.size("embedding").alias("dimension"), F.round(vx.norm("embedding"), 4).alias("norm"))
+    rows = encode_column(table(spark, sf_dir, "documents"), HashedTokenEncoder(64, max_length=None), "text", ["doc_id"])
+    components = F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("components")
+    return rows.select("doc_id", F.size("embedding").alias("dimension"), F.round(vx.norm("embedding"), 4).alias("norm"), components)
 
 
 @query()

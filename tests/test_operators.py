@@ -135,3 +135,12 @@ def test_training_control():
     assert clamp_temperature(5) == 1.0 and clamp_temperature(-50) == 1e-4
     stop = EarlyStopping(2)
     assert [stop.update(x) for x in (3, 2, 2.5, 2)] == [(True, False), (True, False), (False, False), (False, True)]
+
+
+def test_hashed_text_encode_takes_whole_texts(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    start = " ".join(f"w{i}" for i in range(300))
+    spark.createDataFrame([(1, start + " one"), (2, start + " other"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["components"] for r in catalogue.QUERIES["hashed_text_encode"](spark, str(tmp_path)).collect()}
+    assert len(found[1]) == 64 and found[1] != found[2] and found[3] == [0.0] * 64
