@@ -2,28 +2,28 @@
 
 A document's ids (with an end id) are cut into pieces whose lengths are powers of two: as many
 of the longest length as fit, then the binary digits of the rest, longest first.  Every piece is
-a sequence of its own, so no sequence crosses documents and none needs padding; sequences of
-equal length share a bucket (``length``), from which batches of one shape are drawn.
+a sequence of its own, so no sequence crosses documents and none needs padding.  Sequences of
+equal length share a bucket (``bucket``, the length's exponent): each task fills its buckets side
+by side, hands them on bucket by bucket, and counts within each, so a sequence id names bucket,
+task and place in the bucket.  ``batched`` draws batches of one shape and a fixed number of ids
+from the buckets.  No order or shuffle of all rows is needed and a rerun task gives the same ids.
 
-Ids come from the ``tokenizers`` library.  A space after a non-space character always starts a
-new pre-token, so texts are cut there; a new piece is cut further into the matches of the
-library's own splitting pattern, and each distinct match goes through the library once, those
-with a leading space joined to one text.  Ids are kept as little-endian bytes in two bounded
-tables: a worker keeps the first ``COMMON`` pieces that it meets, a task up to ``memo`` others.
+Ids come from the ``tokenizers`` library.  Texts are cut where its byte-level splitting must cut
+too (``boundaries``), the cut pieces of some megabytes of text are dictionary-encoded, and each
+distinct piece goes through the library once: pieces that are one run of letters, digits or marks
+in the byte alphabet and many to a call, all others as they are.  Two generations of pieces that
+were met are kept, ``memo`` each, so memory is bounded.
 
 Defined results: a null text counts as empty, giving the end id alone; null or repeated doc_ids
-stay separate documents; other columns are ignored; an empty table gives no rows.  A sequence id
-holds the input partition in its upper bits and a counter below, so no order or shuffle of all
-rows is needed and a rerun task gives the same ids.
+stay separate documents; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
-import re
+import json
+import string
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,52 +33,155 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_schema, releasing, small_batches, text_or_empty
 
-COMMON = 250_000
-CUT = re.compile(r"(?<=\S) ")
-WIDE = re.compile(r"\s ")
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, ids binary"
+FLUSH = 8 << 20  # bytes of text that are encoded together
+GROUP = 2000  # pieces in one call of the library
+
+# Kinds of bytes: what a character that ends or starts with the byte is for certain.
+_OTHER, _LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _BREAK = range(7)
+_STARTS = np.zeros(256, np.uint8)
+_STARTS[[*string.ascii_letters.encode()]] = _LETTER
+_STARTS[[*string.digits.encode()]] = _DIGIT
+_STARTS[[*string.punctuation.encode()]] = _MARK
+_STARTS[ord("'")] = _QUOTE
+_STARTS[ord(" ")] = _SPACE
+_STARTS[[*b"\t\n\r"]] = _BREAK
+_LATIN = [c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]  # after 0xC3: the letters from U+00C0 on
+
+
+@functools.lru_cache(maxsize=1)
+def _cuts() -> np.ndarray:
+    """Whether the splitting cuts before a byte, by the kind that ends before it and its own."""
+    table = np.zeros((7, 7), bool)
+    word = [_LETTER, _DIGIT]
+    table[[_LETTER, _DIGIT, _MARK, _QUOTE], _SPACE] = True  # white space after anything else starts a match
+    table[[_LETTER, _DIGIT, _MARK, _QUOTE], _BREAK] = True
+    for kind in (_MARK, _QUOTE):
+        table[word, kind] = True
+    table[_LETTER, _DIGIT] = table[_DIGIT, _LETTER] = True
+    table[_MARK, word] = True  # a quote may start a contraction, so none is cut after it
+    table[_BREAK, word] = True
+    return table.ravel()
+
+
+def boundaries(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Positions where pieces start: texts' ``starts`` and every certain boundary of the splitting."""
+    kind = _STARTS[data]
+    ends = kind.copy()
+    latin = np.flatnonzero(data == 0xC3) + 1
+    if len(latin):
+        latin = latin[latin < len(data)]
+        ends[latin[np.isin(data[latin], _LATIN)]] = _LETTER
+    cut = np.zeros(len(data), bool)
+    cut[1:] = _cuts()[ends[:-1] * np.uint8(7) + kind[1:]]
+    cut[starts[starts < len(data)]] = True
+    return np.flatnonzero(cut)
+
+
+def is_run(piece: str) -> bool:
+    """Whether the piece is certainly one match: an optional space, then letters, digits or marks only."""
+    run = piece[1:] if piece[0] == " " else piece
+    if run.isalpha():
+        return run.isascii() or max(run) < "Ԁ"
+    return run.isascii() and (run.isdigit() or (run.isprintable() and run != "" and not any(map(_not_mark.__contains__, run))))
+
+
+_not_mark = frozenset(string.ascii_letters + string.digits + " ")
+
+
+class Encoder:
+    """The library's byte-level BPE of a file, and the pieces that this process met."""
+
+    def __init__(self, path: str) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        with open(path, encoding="utf-8") as source:
+            spec = json.load(source)
+        before, model = spec["pre_tokenizer"] or {}, spec["model"]
+        if spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or model["type"] != "BPE":
+            raise ValueError(f"not a plain byte-level BPE: {path}")
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.runs = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
+        self.runs.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.sizes = np.zeros(max(model["vocab"].values()) + 1, np.int64)  # bytes of each id
+        self.sizes[list(model["vocab"].values())] = [len(t) for t in model["vocab"]]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte alphabet shows as themselves
+        rest = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.alphabet[ord("\n")] = " "  # runs hold none: it separates them
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _runs(self, pieces: list[str]) -> list[bytes]:
+        groups = [pieces[i : i + GROUP] for i in range(0, len(pieces), GROUP)]
+        coded = ["\n".join(g).encode() for g in groups]
+        out = []
+        for raw, found in zip(coded, self.runs.encode_batch_fast([c.decode("latin-1").translate(self.alphabet) for c in coded], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            data = np.frombuffer(raw, np.uint8)
+            stops = np.append(np.flatnonzero(data == 10), len(data))
+            stops -= np.arange(len(stops))  # separators have no ids
+            reached = np.cumsum(self.sizes[ids])
+            after = np.searchsorted(reached, stops) + 1
+            if not (reached[after - 1] == stops).all():
+                raise ValueError("a piece isn't whole in the library's ids")
+            cuts, whole = [0, *(4 * after).tolist()], ids.tobytes()
+            out += [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def ids(self, pieces: list[str], memo: int) -> list[bytes]:
+        """Ids of distinct pieces as little-endian unsigned 32-bit integers."""
+        if len(self.young) > memo:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        found = list(map(young.get, pieces))
+        runs, others = [], []
+        for i, ids in enumerate(found):
+            if ids is None:
+                piece = pieces[i]
+                ids = old.get(piece)
+                if ids is None:
+                    (runs if is_run(piece) else others).append(i)
+                else:
+                    found[i] = young[piece] = ids
+        if others:
+            for i, e in zip(others, self.whole.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False), strict=True):
+                found[i] = np.array(e.ids, "<u4").tobytes()
+        if runs:
+            for i, ids in zip(runs, self._runs([pieces[i] for i in runs]), strict=True):
+                found[i] = ids
+        young.update((pieces[i], found[i]) for i in (*runs, *others))
+        return found
 
 
 @functools.lru_cache(maxsize=2)
-def tokenizer(path: str, pattern: str):
-    """The library's tokenizer, which ids start with a space, the pattern, and the table of pieces."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import regex
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    spaced = np.zeros(tok.get_vocab_size(), bool)
-    spaced[[i for t, i in tok.get_vocab().items() if t.startswith("\u0120")]] = True
-    return tok, spaced, regex.compile(pattern), {}
-
-
-def encode_matches(tok, spaced: np.ndarray, matches: list[str]) -> dict[str, bytes]:
-    """Ids of distinct matches of the pattern."""
-    after_space = [m for m in matches if m[0] == " " and m[-1] != " " and not m.isspace()]
-    others = [m for m in matches if not (m[0] == " " and m[-1] != " " and not m.isspace())]
-    found = {m: array("I", e.ids).tobytes() for m, e in zip(others, tok.encode_batch_fast(others, add_special_tokens=False), strict=True)}
-    groups = [after_space[i : i + 1000] for i in range(0, len(after_space), 1000)]
-    for group, encoded in zip(groups, tok.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-        ids = np.array(encoded.ids, "<u4")
-        cuts = (4 * np.flatnonzero(spaced[ids])).tolist()
-        if len(cuts) != len(group):  # a space inside a match: encode one by one
-            found |= {m: array("I", e.ids).tobytes() for m, e in zip(group, tok.encode_batch_fast(group, add_special_tokens=False), strict=True)}
-            continue
-        data = ids.tobytes()
-        found |= {m: data[x:y] for m, x, y in zip(group, cuts, [*cuts[1:], len(data)], strict=True)}
-    return found
-
-
-def matches_of(piece: str, split) -> list[str]:
-    word = piece[1:]
-    if piece[:1] == " " and word.isalpha():
-        return [piece]
-    if piece[:1] == " " and piece[-1] in ".," and word[:-1].isalpha():
-        return [piece[:-1], piece[-1]]
-    return split.findall(piece)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def token_ids(texts: pa.Array, path: str, memo: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts (no nulls), one after another, and the place of each text's first id."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if not len(texts) or offsets[-1] == offsets[0]:
+        return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    starts = boundaries(data, offsets[:-1])
+    cuts = np.append(starts, len(data)).astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+    found = encoder(path).ids(pieces.dictionary.to_pylist(), memo)
+    which = np.asarray(pieces.indices)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    first = np.cumsum(sizes) - sizes
+    n = sizes[which]
+    ends = np.cumsum(n)
+    ids = np.frombuffer(b"".join(found), "<u4")[np.arange(ends[-1]) + np.repeat(first[which] - (ends - n), n)]
+    return ids, np.append(0, ends)[np.searchsorted(starts, offsets)]
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:
@@ -87,73 +190,71 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def word_pieces(text: str) -> list[str]:
-    """Cut before every space that follows a non-space; the pieces join to the text."""
-    cut = CUT.split(text) if WIDE.search(text) else text.split(" ")
-    return [cut[0], *[" " + x for x in cut[1:]]]
-
-
-def _places(found: list[bytes | None]) -> Iterator[int]:
-    """Where ``found`` has None."""
-    at = -1
-    for _ in range(found.count(None)):
-        at = found.index(None, at + 1)
-        yield at
-
-
-def token_bytes(texts: list[str], path: str, pattern: str, rare: dict[str, bytes], memo: int = 400_000) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers; ``rare`` is the task's own table."""
-    tok, spaced, split, common = tokenizer(path, pattern)
-    if not rare:
-        rare.update(common)
-    out = []
-    for at in range(0, len(texts), 512):
-        cut = [word_pieces(t) for t in texts[at : at + 512]]
-        ids = [list(map(rare.get, words)) for words in cut]
-        holes = [(words, found, list(_places(found))) for words, found in zip(cut, ids, strict=True) if None in found]
-        new = {w: matches_of(w, split) for w in {words[j] for words, _, places in holes for j in places}}
-        if new:
-            rare.update(encode_matches(tok, spaced, list({m for found in new.values() for m in found if m not in rare})))
-            for w, found in new.items():
-                if len(found) != 1:
-                    rare[w] = b"".join([rare[m] for m in found])
-            if len(common) < COMMON:
-                common.update((w, rare[w]) for w in itertools.islice(new, COMMON - len(common)))
-            for words, found, places in holes:
-                for j in places:
-                    found[j] = rare[words[j]]
-        out += map(b"".join, ids)
-        if len(rare) > memo:
-            rare.clear()
-            rare.update(common)
-    return out
-
-
-def pack(docs: DataFrame, tokenizer_path: str, pattern: str, longest: int = 1024, end_id: int = 0, memo: int = 400_000) -> DataFrame:
-    """One row per piece, with the piece's ids (binary, little-endian unsigned 32-bit)."""
+def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: int = 0, memo: int = 250_000) -> DataFrame:
+    """One row per piece, with its bucket and its ids (binary, little-endian unsigned 32-bit)."""
     schema = arrow_schema(PIECES)
-    end = np.asarray([end_id], "<u4").tobytes()
+    if longest < 1 or longest & (longest - 1):
+        raise ValueError("longest must be a power of two")
+
+    def packed(doc_ids: pa.Array, texts: pa.Array, task: int, filled: np.ndarray) -> pa.RecordBatch:
+        ids, at = token_ids(texts, tokenizer_path, memo)
+        last = at[1:] + np.arange(len(texts))  # where each document's end id goes
+        whole = np.empty(len(ids) + len(texts), "<u4")
+        is_end = np.zeros(len(whole), bool)
+        is_end[last] = True
+        whole[is_end], whole[~is_end] = end_id, ids
+        totals = np.diff(np.append(-1, last))
+        lengths = [binary_lengths(n, longest) for n in totals.tolist()]
+        count = np.fromiter(map(len, lengths), np.int64, len(lengths))
+        length = np.concatenate(lengths).astype(np.int64)
+        ends = np.cumsum(length)
+        data = whole.tobytes()
+        view, cuts = memoryview(data), np.append(0, 4 * ends)
+        crc = [zlib.crc32(view[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        of = np.repeat(np.arange(len(texts)), count)
+        bucket = np.frexp(length.astype(np.float64))[1] - 1
+        order = np.argsort(bucket, kind="stable")
+        sizes = np.bincount(bucket, minlength=len(filled))
+        place = np.empty(len(length), np.int64)
+        place[order] = np.arange(len(length)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(filled, sizes)
+        filled += sizes
+        sequence = bucket.astype(np.int64) << 58 | task << 33 | place
+        binary = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
+        start = ends - length - (last - totals + 1)[of]
+        columns = [doc_ids.take(pa.array(of)), start, length, crc, totals[of], sequence, np.zeros(len(length), np.int64), bucket.astype(np.int32), binary]
+        batch = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        return batch.take(pa.array(order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        sequence = TaskContext.get().partitionId() << 33
-        rare: dict[str, bytes] = {}
+        task = TaskContext.get().partitionId()
+        filled = np.zeros(longest.bit_length(), np.int64)  # sequences in each of the task's buckets
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flushed() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return packed(whole["doc_id"], whole["text"], task, filled)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows: list[list] = [[] for _ in schema]
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), token_bytes(part["text"].to_pylist(), tokenizer_path, pattern, rare, memo), strict=True):
-                    ids += end
-                    n, start = len(ids) // 4, 0
-                    for length in binary_lengths(n, longest):
-                        piece = ids[4 * start : 4 * (start + length)]
-                        for column, value in zip(rows, (doc_id, start, length, zlib.crc32(piece), n, sequence, 0, piece), strict=True):
-                            column.append(value)
-                        start += length
-                        sequence += 1
-                if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+            if batch.num_rows:
+                held.append(batch)
+                size += batch["text"].nbytes
+                if size >= FLUSH:
+                    yield flushed()
+                    held, size = [], 0
+        if held:
+            yield flushed()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(releasing(run), PIECES)
+
+
+def batched(packed: DataFrame, tokens: int = 1 << 16) -> DataFrame:
+    """``packed`` with ``batch_id``: sequences of one bucket and task, ``tokens`` ids a batch (one
+    sequence if that is longer; the last batch of a task's bucket may be smaller)."""
+    width = F.greatest(F.lit(tokens).cast("long"), F.col("length"))
+    place = F.col("sequence_id").bitwiseAND(F.lit((1 << 33) - 1))
+    batch = F.floor(place * F.col("length") / width).cast("long")
+    return packed.withColumn("batch_id", (F.col("sequence_id") - place).bitwiseOR(batch))

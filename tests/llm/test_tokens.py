@@ -1,9 +1,11 @@
 import base64
 import hashlib
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import docs, odd_docs
 from hypothesis import given, settings
@@ -12,7 +14,7 @@ from hypothesis import strategies as st
 from tessera.llm import byte_bpe, packing
 
 RANKS, JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
-TEXT = st.lists(st.sampled_from(["a", "word", " ", "  ", "\n", " \n ", "'s", "12", "é", "漢", "😀", "!", ".", "\t", " ", "\x1c", "Foo,", "<|endoftext|>"]), max_size=30).map("".join)
+TEXT = st.lists(st.sampled_from(["a", "word", " ", "'", "''", "don't", "(x)", "_", "\xa0", "\u3000", "\x85", "\r\n", "×", "Ä", "я", "ß's", "١", "\x00", "ﬁ", "n\u0303", "  ", "\n", " \n ", "'s", "12", "é", "漢", "😀", "!", ".", "\t", " ", "\x1c", "Foo,", "<|endoftext|>"]), max_size=30).map("".join)
 
 
 @pytest.fixture(scope="module")
@@ -34,9 +36,11 @@ def test_pieces_encode_as_the_whole(text):
 
 @settings(max_examples=300, deadline=None)
 @given(TEXT)
-def test_token_bytes_equal_the_library(text):
-    whole = packing.tokenizer(JSON, PATTERN)[0].encode(text, add_special_tokens=False).ids
-    assert packing.token_bytes([text], JSON, PATTERN, {}) == [np.asarray(whole, "<u4").tobytes()]
+def test_token_ids_equal_the_library(text):
+    texts = ["", text, "a", text[::-1]]
+    whole = [packing.encoder(JSON).whole.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, at = packing.token_ids(pa.array(["before", *texts]).slice(1), JSON, memo=3)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == whole
 
 
 def test_encode_decode(spark, plain):
@@ -60,19 +64,34 @@ def test_pack(spark):
     tok = Tokenizer.from_file(JSON)
     tok.encode_special_tokens = True
     source = odd_docs(spark)
-    found = packing.pack(source, JSON, PATTERN, longest=64).collect()
-    want = sorted([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in source.collect())
+    found = packing.pack(source, JSON, longest=64).collect()
+    want = sorted(([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in source.select("text").collect()), key=str)
     assert len({r["sequence_id"] for r in found}) == len(found)
-    by_doc: dict = {}
-    for r in sorted(found, key=lambda r: r["sequence_id"]):
-        assert r["length"] in (1, 2, 4, 8, 16, 32, 64) and r["offset"] == 0 and zlib.crc32(r["ids"]) == r["ids_crc32"]
-        if r["start"] == 0:
-            by_doc[r["sequence_id"]] = []
-            last = r["sequence_id"]
-        assert sum(map(len, by_doc[last])) == 4 * r["start"]
-        by_doc[last].append(bytes(r["ids"]))
-    assert sorted(np.frombuffer(b"".join(p), "<u4").tolist() for p in by_doc.values()) == want
-    assert packing.pack(docs(spark, []), JSON, PATTERN).count() == 0
+    for r in found:
+        assert r["length"] == 1 << r["bucket"] <= 64 and r["offset"] == 0 and zlib.crc32(r["ids"]) == r["ids_crc32"] and r["sequence_id"] >> 58 == r["bucket"]
+    # repeated rows give equal pieces, so equal multisets of (id, start, ids) are enough to put the texts together again
+    pieces = Counter((r["doc_id"], r["doc_tokens"], r["start"], bytes(r["ids"])) for r in found)
+    whole = Counter()
+    for r in source.select("doc_id", "text").collect():
+        ids, start = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 0], 0
+        for n in packing.binary_lengths(len(ids), 64):
+            whole[r["doc_id"], len(ids), start, np.asarray(ids[start : start + n], "<u4").tobytes()] += 1
+            start += n
+    assert pieces == whole and sum(r["length"] for r in found) == sum(map(len, want))
+    assert packing.pack(docs(spark, []), JSON).count() == 0
+
+
+def test_buckets_and_batches(spark):
+    source = docs(spark, [(i, "some words of a text " * (i % 37)) for i in range(300)]).repartition(3)
+    found = packing.batched(packing.pack(source, JSON, longest=64), 256).collect()
+    places, shapes, sizes = defaultdict(list), defaultdict(set), Counter()
+    for r in found:
+        places[r["sequence_id"] >> 33].append(r["sequence_id"] & (1 << 33) - 1)
+        shapes[r["batch_id"]].add((r["length"], r["sequence_id"] >> 33))
+        sizes[r["batch_id"]] += r["length"]
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())  # each task's buckets are gapless
+    assert all(len(s) == 1 for s in shapes.values()) and max(sizes.values()) == 256
+    assert sum(n < 256 for n in sizes.values()) <= len(places)
 
 
 def test_digest_of_an_empty_text(spark):
