@@ -1,32 +1,42 @@
 """Main-text extraction by wrapper induction.
 
-Pages of one host share a template.  Each page's tree is aligned with the host's wrapper by simple
-tree matching: nodes match if their labels (name, classes, id) do and their parents match, and a
-dynamic program over two nodes' children finds the order-preserving matching with the most nodes.
-Neighbouring siblings of one label are one repeated node.  The aligned tree keeps, for each node,
-how many different texts it held; a node that held one text on several different pages is template,
-one that varies is a slot.
-
-Of a wrapper's slots, the content lies in the region of the article: an article or main element if
-there is one, else the smallest subtree that holds most of the text that varies and isn't linked.
-Slots below menus, headers, footers, sidebars, notices, adverts, forms and comments are left out,
-by element name and by the words in classes, ids and roles.  A page is read through the wrapper:
-its article region without template nodes and left-out parts, block by block.
-
-Partial wrappers are built where pages are read and merged by host, so a host with a third of all
-pages costs one wrapper a task.  Wrappers have a bounded size and are broadcast while all of them
-stay below ``most_bytes``; beyond it pages meet them in a join on the host.
+Pages of one host share a template.  A page is read as a tree of blocks: containers, and leaves that
+hold text and inline markup only; neighbouring leaves of one label are one repeated leaf.  One page
+of each host is its seed: the least by hash among those with the host's commonest set of structural
+elements.  Every page of the host is aligned with the seed by simple tree matching: nodes match if
+their labels (name, classes, id, role) do and their parents match, and a dynamic program over two
+nodes' children finds the order-preserving matching with the most nodes.  A matched node takes the
+seed node's place as its name, any other its parent's name and its own label, so the wrapper is the
+seed with all other pages' nodes inserted.  Lists of more than ``CELLS`` pairs of children match the
+k-th of a label with the k-th, as far as that keeps the order.
+
+What is counted at these names over all pages of a host, in a plain sum that has no order and drops
+nothing, decides what is content:
+
+* A text that a name shows on at least ``EVIDENCE`` different pages (told apart by 7 bits of a hash)
+  and on half of the pages that have the name is template; all other texts are varying slots.  If
+  only the first part of a block, up to its first inline element, is constant, just that part goes.
+* The region of the article is found from the root down: the child that holds four fifths of all
+  text that varies and isn't linked, until there is none or a heading stands beside it.  Element
+  names only settle where to stop: at an article, or a main element without one.
+
+Elements that never hold main text, and those whose class, id or role says that they don't, are left
+out when a page is read.  A page's text is what lies in its host's region and isn't template; a page
+on which the region is missing or empty is read by itself, as a host of one page.
 
 Defined results: a null page counts as empty and has the empty text; a null or malformed address
-belongs to the host ""; a host with a single page has no template nodes; repeated rows give
-repeated results; other columns are ignored; an empty table gives no rows.
+belongs to the host ""; a host of fewer than ``EVIDENCE`` different pages has no template; blocks
+below depth ``DEPTH`` belong to their ancestor there; repeated rows give repeated results; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,11 +44,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_schema, materialize, releasing, small_batches
-from tessera.llm.html_tree import Element, blocks, parse
+from tessera.llm.common import arrow_schema, materialize, releasing, small_batches, table_of
+from tessera.llm.html_tree import BLOCK, Element, parse
 
 #: Elements that never hold main text.
-DROPPED = frozenset("script style noscript template nav aside footer form button select textarea input iframe object svg canvas dialog head menu audio video".split())
+DROPPED = frozenset("script style noscript template nav aside footer form button select textarea input iframe object svg canvas dialog head title menu audio video".split())
 #: Words in a class, id or role that mark what isn't main text.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -46,70 +56,133 @@ MARKS = frozenset(
     "breadcrumbs pagination pager masthead footer copyright comment comments disqus reply replies respond complementary contentinfo hidden skip toolbar".split()
 )
 REGION = frozenset(("article", "main"))
-SKETCH, MOST_NODES, EVIDENCE = 16, 400, 3
+HEADINGS = frozenset(("h1", "h2"))
+DEPTH, CELLS, EVIDENCE, SHARE, MASS = 60, 1024, 3, 0.5, 0.8
+
+
+def is_marked(element: Element) -> bool:
+    """Whether the element's name, class, id or role says that it holds no main text."""
+    if element.name in DROPPED:
+        return True
+    if not element.attrs or element.name in ("html", "body"):
+        return False
+    words = set(re.findall(r"[a-z]+", " ".join(element.attrs.get(k, "") for k in ("class", "id", "role")).lower()))
+    return bool(words & ({"comment", "comments", "reply"} if element.name in REGION else MARKS))
 
 
 def label(element: Element) -> str:
+    """Name, classes, id and role; figures in them count as one, and separators of names are left out."""
+    if not element.attrs or element.name in ("html", "body"):
+        return element.name
     marks = " ".join(sorted(element.attrs.get("class", "").split())), element.attrs.get("id", ""), element.attrs.get("role", "")
-    return "|".join((element.name, *(re.sub(r"\d+", "0", m) for m in marks)))
+    return re.sub(r"[./^]", "_", re.sub(r"\d+", "0", "|".join((element.name, *marks)))) if any(marks) else element.name
 
 
-def is_dropped(of: str, inside: bool) -> bool:
-    """Whether the element with this label is left out; ``inside``: below the article."""
-    name, _, rest = of.partition("|")
-    if name in DROPPED or (name == "header" and not inside):
-        return True
-    words = set(re.findall(r"[a-z]+", rest.lower()))
-    if name in ("html", "body", "#root") or not words:
-        return False
-    if name in REGION:
-        return bool(words & {"comment", "comments", "reply"})
-    return bool(words & MARKS) or (not inside and "header" in words)
+@dataclass(slots=True)
+class Block:
+    """A leaf's text, its first part if more follow an inline element, and what follows that."""
+
+    text: str
+    first: str
+    rest: str
+    linked: int
 
 
 @dataclass(slots=True)
 class Node:
-    """A node of a wrapper: texts directly in it and its repeated or single children."""
+    """A container, or a leaf (label ends in "=") with its repeated blocks."""
 
     label: str
     children: list[Node] = field(default_factory=list)
-    texts: list[int] = field(default_factory=list)  # least hashes of the different texts, SKETCH at most
-    length: int = 0
-    linked: int = 0
-    pages: list[int] = field(default_factory=list)  # least hashes of the different pages that show a text here, EVIDENCE at most
-
-    def size(self) -> int:
-        return 1 + sum(c.size() for c in self.children)
-
-
-def outline(element: Element, linked: bool = False, depth: int = 0, page: int = 0) -> Node:
-    """A page's tree (``page``: its hash) with neighbouring siblings of one label merged."""
-    node = Node(label(element))
-    own = " ".join(" ".join(c for c in element.children if isinstance(c, str)).split())
-    linked = linked or element.name == "a"
-    if own:
-        node.texts = [zlib.crc32(own.encode("utf-8", "surrogatepass"))]
-        node.pages = [page]
-        node.length = len(own)
-        node.linked = len(own) if linked else 0
-    if depth < 60:
-        for child in element.children:
-            if isinstance(child, Element) and child.name not in ("script", "style", "br", "head"):
-                new = outline(child, linked, depth + 1, page)
-                if node.children and node.children[-1].label == new.label:
-                    node.children[-1] = align(node.children[-1], new)
+    blocks: list[Block] = field(default_factory=list)
+
+    def add(self, child: Node) -> None:
+        last = self.children[-1] if self.children else None
+        if child.blocks and last and last.label == child.label:
+            last.blocks += child.blocks
+        else:
+            self.children.append(child)
+
+
+def _collapsed(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
+
+
+def outline(page: Element) -> Node:
+    """A page's tree of blocks; nodes without text are left out.  Deep trees need no recursion."""
+    root = Node("#root")
+    open_ = [root]
+    over = [0]  # blocks below DEPTH that are open within the last container
+    parts: list[str] = []
+    linked: list[bool] = []
+    marks: list[int] = []  # where in ``parts`` inline elements start or end
+    links = 0
+
+    def flush() -> None:
+        whole = _collapsed(parts)
+        if whole:
+            cut = next((m for m in marks if any(p.strip() for p in parts[:m]) and any(p.strip() for p in parts[m:])), 0)
+            chars = min(len(whole), len(_collapsed([p for p, is_link in zip(parts, linked, strict=True) if is_link])) if any(linked) else 0)
+            open_[-1].add(Node("#text=", [], [Block(whole, _collapsed(parts[:cut]), _collapsed(parts[cut:]) if cut else whole, chars)]))
+        parts.clear()
+        linked.clear()
+        marks.clear()
+
+    todo: list[tuple[str, Element | str]] = [("in", page)]
+    while todo:
+        step, node = todo.pop()
+        if isinstance(node, str):
+            parts.append(node)
+            linked.append(links > 0)
+        elif step == "out":
+            if node.name in BLOCK:
+                flush()
+                if over[-1]:
+                    over[-1] -= 1
+                    continue
+                over.pop()
+                done = open_.pop()
+                if len(done.children) == 1 and done.children[0].label == "#text=":
+                    leaf = done.children[0]
+                    for b in leaf.blocks:
+                        open_[-1].add(Node(done.label + "=", [], [b]))
+                elif done.children:
+                    open_[-1].add(done)
+            else:
+                links -= node.name == "a"
+                marks.append(len(parts))
+        elif node.name == "br":
+            parts.append("\n")
+            linked.append(False)
+        elif node is page or not is_marked(node):
+            if node is not page:
+                if node.name in BLOCK:
+                    flush()
+                    if len(open_) > DEPTH:
+                        over[-1] += 1
+                    else:
+                        open_.append(Node(label(node)))
+                        over.append(0)
                 else:
-                    node.children.append(new)
-    return node
+                    links += node.name == "a"
+                    marks.append(len(parts))
+                todo.append(("out", node))
+            todo.extend(("in", c) for c in reversed(node.children))
+    flush()
+    return root
 
 
 def matching(a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
     """Size of the largest simple tree matching and the matched pairs among the roots' children."""
     if a.label != b.label:
         return 0, []
-    n, m = len(a.children), len(b.children)
-    if [c.label for c in a.children] == [c.label for c in b.children]:
-        return 1 + n, [(i, i) for i in range(n)]  # equal sequences match one to one
+    left, right = [c.label for c in a.children], [c.label for c in b.children]
+    n, m = len(left), len(right)
+    if left == right and len(set(left)) == n:  # there is one matching of all children only
+        return 1 + sum(matching(x, y)[0] for x, y in zip(a.children, b.children, strict=True)), [(i, i) for i in range(n)]
+    if n * m > CELLS:
+        pairs = in_turn(left, right)
+        return 1 + len(pairs), pairs
     best = [[0] * (m + 1) for _ in range(n + 1)]
     weight = [[matching(x, y)[0] for y in b.children] for x in a.children]
     for i in range(1, n + 1):
@@ -127,154 +200,188 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
     return 1 + best[n][m], pairs[::-1]
 
 
-def align(a: Node, b: Node) -> Node:
-    """The tree that holds both, matched nodes merged and others inserted in order."""
-    merged = Node(a.label, [], sorted({*a.texts, *b.texts})[:SKETCH], a.length + b.length, a.linked + b.linked, sorted({*a.pages, *b.pages})[:EVIDENCE])
-    i = j = 0
-    for x, y in [*matching(a, b)[1], (len(a.children), len(b.children))]:
-        merged.children += a.children[i:x] + b.children[j:y]
-        if x < len(a.children):
-            merged.children.append(align(a.children[x], b.children[y]))
-        i, j = x + 1, y + 1
-    return merged
-
-
-@dataclass(slots=True)
-class Wrapper:
-    """What is known of a host: the aligned tree and a sketch of its different pages."""
-
-    tree: Node
-    pages: list[int]
+def in_turn(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """The k-th of each label on the left with the k-th on the right: a longest part that keeps the order."""
+    places: dict[str, list[int]] = defaultdict(list)
+    for j, of in enumerate(right):
+        places[of].append(j)
+    turn: dict[str, int] = defaultdict(int)
+    ends: list[int] = []  # least last right place of a rising sequence, by its length
+    at: list[int] = []
+    found: list[tuple[int, int, int]] = []  # (left, right, the pair before it)
+    for i, of in enumerate(left):
+        if turn[of] < len(places[of]):
+            j = places[of][turn[of]]
+            turn[of] += 1
+            k = bisect.bisect_left(ends, j)
+            found.append((i, j, at[k - 1] if k else -1))
+            ends[k : k + 1], at[k : k + 1] = [j], [len(found) - 1]
+    pairs, step = [], at[-1] if at else -1
+    while step >= 0:
+        i, j, step = found[step]
+        pairs.append((i, j))
+    return pairs[::-1]
+
+
+def named(seed: Node | None, page: Node) -> Iterator[tuple[str, Node]]:
+    """(name, node) of all nodes of a page in page order, as its alignment with the seed names them."""
+
+    def walk(node: Node, twin: Node | None, name: str) -> Iterator[tuple[str, Node]]:
+        yield name, node
+        partner = dict((j, i) for i, j in matching(twin, node)[1]) if twin and node.children else {}
+        for j, child in enumerate(node.children):
+            if j in partner:
+                yield from walk(child, twin.children[partner[j]], f"{name}.{partner[j]}")
+            else:
+                yield from walk(child, None, f"{name}/{child.label}")
 
-    @staticmethod
-    def of(page: Element, source: str) -> Wrapper:
-        key = zlib.crc32(source.encode("utf-8", "surrogatepass"))
-        return Wrapper(outline(page, page=key), [key])
+    return walk(page, seed if seed and seed.label == page.label else None, "0")
 
-    def merge(self, other: Wrapper) -> Wrapper:
-        small, large = sorted((self.tree, other.tree), key=Node.size)
-        tree = align(self.tree, other.tree)
-        return Wrapper(tree if tree.size() <= MOST_NODES else (large if large.size() <= MOST_NODES else small), sorted({*self.pages, *other.pages})[:SKETCH])
 
-    def dump(self) -> bytes:
-        rows: list[list] = []
+def above(name: str) -> str:
+    """The name of a node's parent; "" for the root."""
+    return name[: max(name.rfind("."), name.rfind("/"), 0)]
 
-        def add(node: Node) -> None:
-            rows.append([node.label, node.texts, node.length, node.linked, node.pages, len(node.children)])
-            for c in node.children:
-                add(c)
 
-        add(self.tree)
-        return zlib.compress(json.dumps([self.pages, rows]).encode())
+def text_hash(text: str) -> int:
+    from xxhash import xxh64_intdigest
 
-    @staticmethod
-    def load(data: bytes) -> Wrapper:
-        pages, rows = json.loads(zlib.decompress(data))
-        rows = iter(rows)
+    return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-        def take() -> Node:
-            of, texts, length, linked, shown, n = next(rows)
-            return Node(of, [take() for _ in range(n)], texts, length, linked, shown)
 
-        return Wrapper(take(), pages)
+@dataclass(slots=True)
+class Seen:
+    """What pages show at the names of their nodes: sums that can be added in any order."""
+
+    nodes: dict[str, list] = field(default_factory=dict)  # name -> [label, pages, characters that aren't linked]
+    texts: dict[tuple[str, int], list] = field(default_factory=dict)  # (name, text) -> [pages, such characters, bits of pages]
+
+    def add(self, page_hash: int, nodes: list[tuple[str, Node]]) -> None:
+        mass: dict[str, int] = defaultdict(int)
+        labels: dict[str, str] = {}
+        shown: dict[tuple[str, int], int] = defaultdict(int)
+        inside: dict[str, bool] = {"": False}  # below an article or main element
+        counts: dict[str, bool] = {"": True}  # what stands in a header outside of those has no weight
+        for name, node in nodes:
+            of, parent = node.label.partition("|")[0], above(name)
+            labels[name] = node.label
+            mass[name] += 0
+            inside[name] = inside[parent] or of in REGION
+            counts[name] = counts[parent] and (inside[name] or of != "header")
+            total = 0
+            for b in node.blocks:
+                own = len(b.text) - b.linked if counts[name] else 0
+                total += own
+                shown[name, text_hash(b.text)] += own
+                if b.first:
+                    labels[name + "^"] = node.label
+                    shown[name + "^", text_hash(b.first)] += min(own, len(b.first))
+            while total and name:
+                mass[name] += total
+                name = above(name)
+        for name, of in labels.items():
+            entry = self.nodes.setdefault(name, [of, 0, 0])
+            entry[1] += 1
+            entry[2] += mass[name]
+        bit = 1 << (page_hash & 127)
+        for key, own in shown.items():
+            entry = self.texts.setdefault(key, [0, 0, 0])
+            entry[0] += 1
+            entry[1] += own
+            entry[2] |= bit
+
+    def constants(self) -> dict[str, set[int]]:
+        """The template's texts by name."""
+        found: dict[str, set[int]] = defaultdict(set)
+        for (name, text), (n, _, bits) in self.texts.items():
+            if bits.bit_count() >= EVIDENCE and n >= SHARE * self.nodes[name][1]:
+                found[name].add(text)
+        return found
 
+    def wrapper(self) -> Wrapper:
+        template = self.constants()
+        mass = {name: own for name, (_, _, own) in self.nodes.items()}
+        for name, texts in template.items():
+            if not name.endswith("^"):
+                gone = sum(self.texts[name, t][1] for t in texts)
+                while name:
+                    if name in mass:
+                        mass[name] -= gone
+                    name = above(name)
+        region = region_of({name: (of, n, mass[name]) for name, (of, n, _) in self.nodes.items()})
+        return Wrapper(region, {n: t for n, t in template.items() if n == region or n.startswith((region + ".", region + "/", region + "^"))})
+
+
+def region_of(nodes: dict[str, tuple[str, int, int]]) -> str:
+    """The name of the article's region; ``nodes``: name -> (label, pages, varying characters that aren't linked)."""
+    children: dict[str, list[str]] = defaultdict(list)
+    for name in nodes:
+        if name != "0" and not name.endswith("^"):
+            children[above(name)].append(name)
+
+    def element(name: str) -> str:
+        return nodes[name][0].partition("|")[0].rstrip("=")
+
+    total, here = nodes["0"][2] if "0" in nodes else 0, "0"
+    while here in nodes and element(here) != "article":
+        below = [c for c in children[here] if not nodes[c][0].endswith("=") and element(c) != "header"]
+        best = max(below, key=lambda c: (nodes[c][2], c), default=None)
+        if best is None or nodes[best][2] < MASS * total or (element(here) == "main" and element(best) != "article"):
+            break
+        headed = any(element(c) in HEADINGS and nodes[c][0].endswith("=") and nodes[c][1] >= SHARE * nodes[here][1] for c in children[here])
+        if headed and element(best) not in REGION:
+            break
+        here = best
+    return here
 
-Path = tuple[str, ...]
 
+@dataclass(slots=True)
+class Wrapper:
+    """A host's region and the template's texts within it, by name."""
 
-def article_path(tree: Node) -> Path:
-    """Labels from the root to the article region."""
-    named: list[tuple[int, Path]] = []
+    region: str
+    template: dict[str, set[int]]
 
-    def weigh(node: Node, path: Path, inside: bool) -> int:
-        if is_dropped(node.label, inside):
-            return 0
-        region = node.label.partition("|")[0] in REGION
-        mass = node.length - node.linked + sum(weigh(c, (*path, c.label), inside or region) for c in node.children)
-        if region and mass:
-            named.append((mass, path))
-        return mass
+    def dump(self) -> bytes:
+        return zlib.compress(json.dumps([self.region, sorted((n, sorted(t)) for n, t in self.template.items())]).encode())
 
-    total = weigh(tree, (tree.label,), False)
-    if named:
-        return max(named, key=lambda x: (x[0] if x[1][-1].startswith("article") else 0, x[0]))[1]
-    node, path = tree, (tree.label,)
-    while True:
-        best = max(((weigh(c, (), True), c) for c in node.children), key=lambda x: x[0], default=(0, None))
-        if best[1] is None or best[0] < 0.8 * total or best[1].label.partition("|")[0] in ("p", "ul", "ol", "table", "h1", "h2"):
-            return path
-        node, path = best[1], (*path, best[1].label)
+    @staticmethod
+    def load(data: bytes) -> Wrapper:
+        region, template = json.loads(zlib.decompress(data))
+        return Wrapper(region, {n: set(t) for n, t in template})
 
+    def read(self, nodes: list[tuple[str, Node]]) -> str:
+        region, below, out = self.region, (self.region + ".", self.region + "/"), []
+        for name, node in nodes:
+            if node.blocks and (name == region or name.startswith(below)):
+                whole, part = self.template.get(name, ()), self.template.get(name + "^", ())
+                for b in node.blocks:
+                    if not whole or text_hash(b.text) not in whole:
+                        out.append(b.rest if part and b.first and text_hash(b.first) in part else b.text)
+        return "\n\n".join(out)
 
-@dataclass(slots=True)
-class Reader:
-    """A wrapper made ready to read pages."""
 
-    region: Path
-    template: dict[Path, int]  # nodes below the region that are constant, with their text's hash
-    varied: set[Path]  # those of them with text below that isn't: only their own text goes
+def seed_tree(source: str | None) -> Node | None:
+    return None if source is None else outline(parse(source))
 
-    @staticmethod
-    def of(wrapper: Wrapper) -> Reader:
-        region = article_path(wrapper.tree)
-        template: dict[Path, int] = {}
-
-        varied: set[Path] = set()
-
-        def walk(node: Node, path: Path) -> bool:
-            """Whether all text from here on is constant, each on EVIDENCE different pages."""
-            below = all([walk(c, (*path, c.label)) for c in node.children])
-            constant = len(node.texts) == 1 and len(node.pages) >= EVIDENCE
-            if constant and len(path) > len(region) and path[: len(region)] == region:
-                template[path] = node.texts[0]
-            if not below:
-                varied.add(path)
-            return below and (constant or not node.texts)
-
-        if len(wrapper.pages) >= EVIDENCE:
-            walk(wrapper.tree, (wrapper.tree.label,))
-        return Reader(region, template, varied & template.keys())
-
-    def find(self, page: Element) -> list[Element]:
-        found: list[Element] = []
-        todo = [(page, 1)] if label(page) == self.region[0] else []
-        while todo:
-            node, depth = todo.pop()
-            if depth == len(self.region):
-                found.append(node)
-            else:
-                todo += [(c, depth + 1) for c in reversed(node.children) if isinstance(c, Element) and label(c) == self.region[depth]]
-        return found
 
-    def read(self, page: Element) -> str:
-        found = self.find(page)
-        if not found:
-            return ""
-        constant: set[int] = set()
-        if self.template:
-            todo: list[tuple[Element, Path]] = [(e, self.region) for e in found]
-            while todo:
-                node, path = todo.pop()
-                if path in self.template:
-                    own = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
-                    if zlib.crc32(own.encode("utf-8", "surrogatepass")) == self.template[path]:
-                        if path in self.varied:
-                            node.children = [c for c in node.children if not isinstance(c, str)]
-                        else:
-                            constant.add(id(node))
-                todo += [(c, (*path, label(c))) for c in node.children if isinstance(c, Element)]
-        skip = lambda e: id(e) in constant or is_dropped(label(e), True)
-        return "\n\n".join(b for e in found for b in blocks(e, skip))
-
-
-def extract(source: str, reader: Reader | None) -> str:
-    """The main text; a page that the wrapper doesn't fit is read through a wrapper of its own."""
-    page = parse(source)
-    text = reader.read(page) if reader else ""
-    return text or (Reader.of(Wrapper.of(page := parse(source), source)).read(page) if source else "")
+def extract(source: str, seed: Node | None, wrapper: Wrapper | None) -> str:
+    """The main text of a page."""
+    if not source:
+        return ""
+    page = outline(parse(source))
+    text = wrapper.read(list(named(seed, page))) if wrapper else ""
+    if text:
+        return text
+    alone, own = Seen(), list(named(None, page))
+    alone.add(0, own)
+    return alone.wrapper().read(own)
 
 
 HOST = r"^(?i)\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
+STRUCTURE = r"(?i)<(html|body|main|article|section|div|header|footer|nav|aside|form|table|ul|ol|h1|h2)\b"
+SEEN = "host string, node string, label string, text long, n long, mass long, low long, high long"
+WRAPPERS = "host string, wrapper binary"
 TEXTS = "page_id long, url string, text string, n_chars long"
 
 
@@ -283,70 +390,129 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
 
 
-def induce(pages: DataFrame, most_hosts: int = 2000) -> DataFrame:
-    """host, wrapper: over all pages of each host."""
+def seeds(pages: DataFrame, most_hosts: int = 200_000) -> DataFrame:
+    """host, seed: the page that each host's pages are aligned with."""
+    used = F.array_join(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(STRUCTURE), 1), F.lower))), " ")
+    rows = pages.select("host", used.alias("used"), F.xxhash64("html").alias("key"))
+    kinds = rows.groupBy("host", "used").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
+    chosen = materialize(kinds.groupBy("host").agg(F.max_by("key", F.struct("n", "used")).alias("key")), "wrapper-seeds")
+    small = chosen.count() <= most_hosts
+    keyed = pages.select("host", "html", F.xxhash64("html").alias("key")).join(F.broadcast(chosen) if small else chosen, ["host", "key"])
+    return keyed.groupBy("host").agg(F.min("html").alias("seed"))
+
+
+class Known:
+    """What the pages of ``rows`` need of their hosts: broadcast up to ``most_bytes``, else joined to them."""
+
+    def __init__(self, rows: DataFrame, table: DataFrame, columns: list[str], most_bytes: int) -> None:
+        size = table.agg(F.coalesce(F.sum(F.octet_length("host") + sum(F.octet_length(c) for c in columns)), F.lit(0))).first()[0]
+        self.columns, self.shared, self.rows = columns, None, rows
+        if size <= most_bytes:
+            self.shared = rows.sparkSession.sparkContext.broadcast({r["host"]: tuple(r[c] for c in columns) for r in table.collect()})
+        else:
+            self.rows = rows.join(table, "host", "left")
+
+    def of(self):
+        """A function from a batch to the columns' values of each row."""
+        columns, shared = self.columns, self.shared
+
+        def values(batch: pa.RecordBatch) -> list[tuple]:
+            if shared is None:
+                return list(zip(*(batch[c].to_pylist() for c in columns), strict=True))
+            return [shared.value.get(h, (None,) * len(columns)) for h in batch["host"].to_pylist()]
+
+        return values
+
+
+def _kept(cache: dict, host: str, make):
+    if host not in cache:
+        if len(cache) >= 500:
+            cache.clear()
+        cache[host] = make()
+    return cache[host]
+
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Wrapper] = {}
+def seen(pages: DataFrame, table: DataFrame, most_bytes: int, most: int = 200_000) -> DataFrame:
+    """host, node, label, text, n, mass, low, high: what all pages show; ``text`` is null for the node itself."""
+    known = Known(pages.select("host", "html"), table, ["seed"], most_bytes)
+    seed_of = known.of()
+
+    def signed(bits: int) -> int:
+        return bits - (1 << 64) if bits >> 63 else bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hosts: dict[str, Seen] = defaultdict(Seen)
+        trees: dict[str, Node] = {}
 
         def sent() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([w.dump() for w in known.values()], pa.binary())], names=["host", "wrapper"])
+            rows = [(host, name, of, None, n, own, 0, 0) for host, s in hosts.items() for name, (of, n, own) in s.nodes.items()]
+            rows += [(host, name, None, text, n, own, signed(bits & (1 << 64) - 1), signed(bits >> 64)) for host, s in hosts.items() for (name, text), (n, own, bits) in s.texts.items()]
+            return table_of(SEEN, rows).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if rows else None
 
+        size = 0
         for batch in batches:
-            for host, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-                new = Wrapper.of(parse(source), source)
-                known[host] = known[host].merge(new) if host in known else new
-                if len(known) > most_hosts:
+            for host, (source,), html in zip(batch["host"].to_pylist(), seed_of(batch), batch["html"].to_pylist(), strict=True):
+                seed = _kept(trees, host, lambda source=source: seed_tree(source))
+                of = hosts[host]
+                size -= len(of.nodes) + len(of.texts)
+                of.add(text_hash(html), list(named(seed, outline(parse(html)))))
+                size += len(of.nodes) + len(of.texts)
+                if size > most:
                     yield sent()
-                    known.clear()
-        if known:
+                    hosts.clear()
+                    size = 0
+        if hosts:
             yield sent()
 
-    def merge(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by host; equal inputs in equal order give equal wrappers."""
-        at, wrapper = None, None
-        out: list[tuple[str, bytes]] = []
-        for batch in groups:
-            for host, data in zip(batch["host"].to_pylist(), batch["wrapper"].to_pylist(), strict=True):
-                new = Wrapper.load(data)
-                if host == at:
-                    wrapper = wrapper.merge(new)
-                else:
-                    if wrapper is not None:
-                        out.append((at, wrapper.dump()))
-                    at, wrapper = host, new
-        if wrapper is not None:
-            out.append((at, wrapper.dump()))
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.string()), pa.array([w for _, w in out], pa.binary())], names=["host", "wrapper"])
-
-    spec = "host string, wrapper binary"
-    parts = _pages(pages).select("host", "html").mapInArrow(releasing(partial), spec)
-    return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(releasing(merge), spec)
+    return known.rows.mapInArrow(releasing(run), SEEN)
 
 
-def main_texts(pages: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
-    """page_id, url, text, n_chars: a row for each row of ``pages``."""
+def _decide(key: tuple, table: pa.Table) -> pa.Table:
+    """A host's wrapper from its nodes and the texts that may be template."""
+    found = Seen()
+    for r in table.to_pylist():
+        if r["text"] is None:
+            found.nodes[r["node"]] = [r["label"], r["n"], r["mass"]]
+        else:
+            found.texts[r["node"], r["text"]] = [r["n"], r["mass"], (r["low"] & (1 << 64) - 1) | (r["high"] & (1 << 64) - 1) << 64]
+    return table_of(WRAPPERS, [(key[0].as_py(), found.wrapper().dump())])
+
+
+def induce(pages: DataFrame, table: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """host, wrapper: over all pages (host, html) of each host; ``table``: what ``seeds`` gives.
+
+    Of nodes, those on a twentieth of a host's pages or more go into a decision, and the texts that
+    half of a node's pages show; so a host's rows there are bounded by what its pages hold on average.
+    """
+    summed = seen(pages, table, most_bytes).groupBy("host", "node", "text").agg(
+        F.max("label").alias("label"), F.sum("n").alias("n"), F.sum("mass").alias("mass"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high")
+    )
+    evidence = F.bit_count("low") + F.bit_count("high") >= EVIDENCE
+    counts = materialize(summed.where(F.col("text").isNull() | evidence), "wrapper-counts")
+    nodes = counts.where(F.col("text").isNull())
+    whole = nodes.where("node = '0'").select("host", F.col("n").alias("_of"))
+    often = nodes.join(whole, "host").where(F.col("n") * 20 >= F.col("_of")).drop("_of")
+    shown = often.select("host", "node", F.col("n").alias("_of"))
+    constant = counts.where(F.col("text").isNotNull()).join(shown, ["host", "node"]).where(F.col("n") >= SHARE * F.col("_of")).drop("_of")
+    return often.unionByName(constant).groupBy("host").applyInArrow(releasing(_decide), WRAPPERS)
+
+
+def main_texts(pages: DataFrame, most_bytes: int = 16 << 20, induced: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars: a row for each row of ``pages``; without ``induced`` every page is read by itself."""
     small_batches(pages.sparkSession)
-    wrappers = materialize(induce(pages), "wrappers")
-    size = wrappers.agg(F.coalesce(F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.lit(0))).first()[0]
     rows, schema = _pages(pages), arrow_schema(TEXTS)
-    known = None
-    if size <= most_bytes:
-        known = pages.sparkSession.sparkContext.broadcast({r["host"]: bytes(r["wrapper"]) for r in wrappers.collect()})
-    else:
-        rows = rows.join(wrappers, "host", "left")
+    table = materialize(seeds(rows) if induced else rows.select("host", F.col("html").alias("seed")).limit(0), "wrapper-seeds")
+    wrappers = induce(rows, table, most_bytes) if induced else table.select("host", F.col("seed").cast("binary").alias("wrapper"))
+    known = Known(rows, materialize(table.join(wrappers, "host"), "wrappers"), ["seed", "wrapper"], most_bytes)
+    parts_of = known.of()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict[str, Reader] = {}
+        ready: dict[str, tuple[Node | None, Wrapper | None]] = {}
         for batch in batches:
-            loaded = batch["wrapper"].to_pylist() if known is None else map(known.value.get, batch["host"].to_pylist())
             texts = []
-            for host, data, source in zip(batch["host"].to_pylist(), loaded, batch["html"].to_pylist(), strict=True):
-                if host not in ready and data is not None:
-                    if len(ready) > 2000:
-                        ready.clear()
-                    ready[host] = Reader.of(Wrapper.load(data))
-                texts.append(extract(source, ready.get(host)))
+            for host, (source, data), html in zip(batch["host"].to_pylist(), parts_of(batch), batch["html"].to_pylist(), strict=True):
+                seed, wrapper = _kept(ready, host, lambda source=source, data=data: (seed_tree(source), data and Wrapper.load(bytes(data))))
+                texts.append(extract(html, seed, wrapper))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
-    return rows.mapInArrow(releasing(run), TEXTS)
+    return known.rows.mapInArrow(releasing(run), TEXTS)
