@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import inspect
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -116,10 +117,13 @@ def text_or_empty(col: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share.  Where none is set, a local master gets a temporary
+    one; on a cluster that would be a folder of each machine's own, so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     global _own
     if _own is None:
         _own = tempfile.mkdtemp(prefix="tessera-shared-")
@@ -170,28 +174,35 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root: the least node of each connected component of the edges (a, b), longs in any order.
 
     Edges should come through ``shrink``.  Large-star and small-star steps alternate until nothing
-    changes; every round is written to the shared folder.
+    changes; every round is written to the shared folder.  The centre of a large star is a hot key of
+    ``lookup``: its minimum is broadcast, so its edges stay where they are.
     """
 
-    def larger(e: DataFrame) -> DataFrame:
+    def moved(e: DataFrame, least: DataFrame, total: int) -> DataFrame:
+        """The far ends of the edges ``e`` with the least node next to their near ends."""
+        return lookup(e, least, ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+
+    def larger(e: DataFrame, total: int) -> DataFrame:
         """Each node's larger neighbours move to the least of its neighbourhood."""
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        return moved(both.where("b > a"), least, 2 * total).distinct()
 
-    def smaller(e: DataFrame) -> DataFrame:
+    def smaller(e: DataFrame, total: int) -> DataFrame:
         """Each node and its smaller neighbours move to the least of them (edges run from large to small)."""
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        moved = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+        least = e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        return moved(e, least, total).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
     oriented = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = materialize(oriented.distinct(), name)
+    total = now.count()
     while True:
-        after = materialize(smaller(larger(now)), name)
-        if after.count() == now.count() and after.exceptAll(now).isEmpty():
+        half = materialize(larger(now, total), name)
+        after = materialize(smaller(half, half.count()), name)
+        size = after.count()
+        if size == total and after.exceptAll(now).isEmpty():
             return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now = after
+        now, total = after, size
 
 
 class Forest:

@@ -2,18 +2,23 @@
 
 A text's key is its 64-bit hash.  The directory starts with one bucket; a bucket with more than
 ``capacity`` distinct keys is split by one more leading bit of the key, and the directory doubles
-whenever the split bucket was as deep as the directory itself.  Only a histogram over
-2**``max_depth`` key prefixes reaches the driver.  Each owner task holds whole buckets, which are
-ranges of keys, groups its rows by key and text, so equal keys are told apart by their bytes, and
-numbers the different texts of one key as a chain.  The index is written to the shared folder.
+whenever the split bucket was as deep as the directory itself.  The capacity grows with the corpus,
+so a directory has about 2**14 buckets at most; a histogram over 2**``max_depth`` key prefixes is
+all that reaches the driver.  A bucket whose keys agree in all those bits isn't split further: it
+overflows, and holds its keys in one chain after another.
+
+Each owner task holds whole buckets, which are ranges of keys.  It groups its rows by key and text,
+so equal keys are told apart by their bytes, and numbers the different texts of one key as a chain.
+The index is written to the shared folder.  A row finds its entry through the directory: by bucket,
+key and, within the chain, the text's SHA-256.
 
 A key that holds a thousandth of all rows or more (a thousand such keys at most) is combined
 before it moves, so a text that fills a third of the table costs one row a task.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest doc_id
 stays, a null doc_id being the least; of rows equal in doc_id and text one stays; other columns
-never matter and are kept by ``deduplicate`` (of tied rows, the largest by its other columns);
-an empty table gives no rows.
+never matter, whatever their names, and are kept by ``deduplicate`` (of tied rows, the largest by
+its other columns); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -67,54 +72,72 @@ def bucket_of(key: Column, depth: int, directory: list[int]) -> Column:
     return F.element_at(table, address(key, depth) + 1)
 
 
-def _keyed(docs: DataFrame, key: Column | None) -> DataFrame:
-    key = F.xxhash64(F.col("_text")) if key is None else key
-    return docs.withColumn("_text", text_or_empty()).withColumn("_key", key)
+#: About so many buckets at most; a row's bucket is looked up in a literal of a few times that length.
+BUCKETS = 1 << 14
+
+
+class Directory:
+    """The directory for the texts of ``rows`` (text, carry), and which keys are hot."""
 
+    def __init__(self, rows: DataFrame, capacity: int, max_depth: int, key: Column | None) -> None:
+        self.key = F.xxhash64("text") if key is None else key
+        counts = materialize(rows.groupBy(self.key.alias("key")).agg(F.count(F.lit(1)).alias("n")), "exact-keys")
+        self.total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        histogram = {r[0]: r[1] for r in counts.groupBy(address(F.col("key"), max_depth).alias("p")).count().collect()}  # 2**max_depth rows at most
+        self.depth, self.directory = extendible_directory(histogram, max(capacity, distinct // BUCKETS), max_depth)
+        least = max(self.total // 1000, 2)
+        self.hot = [r[0] for r in counts.where(F.col("n") >= least).select("key").collect()]  # 1000 keys at most
 
-def build_index(docs: DataFrame, carry: Column, capacity: int = 4096, max_depth: int = 16, key: Column | None = None) -> tuple[DataFrame, int]:
-    """(index, number of rows).  The index has one row per distinct text: bucket, _key, _text, top
-    (the largest ``carry``) and group_size.  ``key`` may replace the hash of ``_text``."""
-    keyed = _keyed(docs, key)
-    counts = materialize(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), "exact-keys")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    histogram = {r[0]: r[1] for r in counts.groupBy(address(F.col("_key"), max_depth).alias("p")).count().collect()}
-    depth, directory = extendible_directory(histogram, capacity, max_depth)
-    least = max(total // 1000, 2)
-    hot = [r[0] for r in counts.where(F.col("n") >= least).select("_key").collect()]  # 1000 keys at most
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with bucket and key."""
+        keyed = rows.withColumn("key", self.key)
+        return keyed.withColumn("bucket", bucket_of(F.col("key"), self.depth, self.directory))
 
-    rows = keyed.select(bucket_of(F.col("_key"), depth, directory).alias("bucket"), "_key", "_text", carry.alias("_carry"))
-    is_hot = F.col("_key").isin(hot) if hot else F.lit(False)
+
+def build_index(rows: DataFrame, directory: Directory) -> DataFrame:
+    """One row per distinct text of ``rows`` (text, carry): bucket, key, text, top (the largest
+    ``carry``) and group_size."""
+    placed = directory.placed(rows)
+    is_hot = F.col("key").isin(directory.hot) if directory.hot else F.lit(False)
 
     def chained(part: DataFrame) -> DataFrame:
-        return part.groupBy("bucket", "_key", "_text").agg(F.max("_carry").alias("top"), F.count(F.lit(1)).alias("group_size"))
+        return part.groupBy("bucket", "key", "text").agg(F.max("carry").alias("top"), F.count(F.lit(1)).alias("group_size"))
 
-    owners = rows.where(~is_hot).repartition(F.col("bucket"))
-    return chained(owners).unionByName(chained(rows.where(is_hot))), total
+    owners = placed.where(~is_hot).repartition(F.col("bucket"))
+    return chained(owners).unionByName(chained(placed.where(is_hot)))
 
 
 def exact_groups(docs: DataFrame, capacity: int = 4096, max_depth: int = 16, key: Column | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, bucket, slot: a row for each row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found, total = build_index(docs, F.col("doc_id"), capacity, max_depth, key)
-    entries = found.select("bucket", "_key", F.sha2("_text", 256).alias("text_sha256"), F.col("top").alias("keep_id"), "group_size")
-    chain = Window.partitionBy("bucket", "_key").orderBy(F.col("keep_id").desc(), "text_sha256")
+    """doc_id, keep_id, group_size, kept, text_sha256, bucket, slot: a row for each row of ``docs``.
+
+    ``key`` may replace the hash of the column ``text``.
+    """
+    rows = docs.select(text_or_empty().alias("text"), F.col("doc_id").cast("long").alias("carry"))
+    directory = Directory(rows, capacity, max_depth, key)
+    found = build_index(rows, directory)
+    entries = found.select("bucket", "key", F.sha2("text", 256).alias("text_sha256"), F.col("top").alias("keep_id"), "group_size")
+    chain = Window.partitionBy("bucket", "key").orderBy(F.col("keep_id").desc(), "text_sha256")
     index = materialize(entries.withColumn("slot", F.row_number().over(chain)), "exact-index")
 
-    members = _keyed(docs, key).select("doc_id", "_key", F.sha2("_text", 256).alias("text_sha256"))
-    members = lookup(members, index, ["_key", "text_sha256"], "group_size", total)
-    copy = Window.partitionBy("_key", "text_sha256", "doc_id").orderBy(F.lit(0))
-    return members.select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(copy) == 1)).alias("kept"),
-        "text_sha256", "bucket", "slot",
-    )
+    members = directory.placed(rows).select(F.col("carry").alias("doc_id"), "bucket", "key", F.sha2("text", 256).alias("text_sha256"))
+    members = lookup(members, index, ["bucket", "key", "text_sha256"], "group_size", directory.total)
+    members = materialize(members.withColumn("part", F.spark_partition_id()), "exact-members")
+    # Of rows equal in doc_id and text one stays: the first of each part, then the first of those, so no task gets them all.
+    stays = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    same = ["bucket", "key", "text_sha256", "doc_id"]
+    turn = F.row_number().over(Window.partitionBy(*same, "part").orderBy(F.lit(0)))
+    numbered = materialize(stays.withColumn("turn", turn), "exact-stays")
+    firsts = numbered.where("turn = 1").withColumn("kept", F.row_number().over(Window.partitionBy(*same).orderBy("part")) == 1).drop("turn")
+    rest = numbered.where("turn > 1").drop("turn").unionByName(members.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))))
+    whole = firsts.unionByName(rest.withColumn("kept", F.lit(False)))
+    return whole.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "bucket", "slot")
 
 
 def deduplicate(docs: DataFrame, capacity: int = 4096, max_depth: int = 16) -> DataFrame:
     """The rows that stay, with the columns of ``docs``; the texts are those of the index itself."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    carry = F.struct("doc_id", F.col("text").isNotNull().alias("_given"), *[F.col(f"`{c}`") for c in rest])
-    index, _ = build_index(docs, carry, capacity, max_depth)
-    text = F.when(F.col("top._given"), F.col("_text")).alias("text")
-    return index.select(*[text if c == "text" else F.col(f"top.`{c}`").alias(c) for c in docs.columns])
+    others = F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0)])
+    rows = docs.select(text_or_empty().alias("text"), F.struct("doc_id", F.col("text").isNotNull().alias("given"), others.alias("others")).alias("carry"))
+    index = materialize(build_index(rows, Directory(rows, capacity, max_depth, None)), "exact-index")
+    text = F.when(F.col("top.given"), F.col("text")).alias("text")
+    return index.select(*[text if c == "text" else F.col("top.doc_id") if c == "doc_id" else F.col(f"top.others.`{c}`").alias(c) for c in docs.columns])

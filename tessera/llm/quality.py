@@ -187,7 +187,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``threshold``, unchanged."""
+    """The rows of ``docs`` whose score reaches ``threshold``, unchanged.  Without any label there is no
+    classifier that could reject a row, and all stay."""
     model = fit(materialize(vectors(docs), "quality-stats"), labels)
     if model is None:
         return docs

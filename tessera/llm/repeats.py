@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, packed, releasing, small_batches, table_of, text_or_empty, unpacked
+from tessera.llm.common import lookup, materialize, packed, releasing, small_batches, table_of, text_or_empty, unpacked
 
 ANCHOR = 24
 LAST = 2**63 - 1
@@ -453,13 +453,18 @@ def strip_repeats(docs: DataFrame, least: int = 50, chunk_bytes: int = 12 << 20)
     A character of which only a part is covered stays.  Null texts stay null.
     """
     found, _, total = removals(docs, least, chunk_bytes, keep_texts=True)
+    found = materialize(found.select("text_sha256", "first_doc", "n_bytes", "kept"), "repeats-kept")
     rest = [c for c in docs.columns if c != "text"]
-    members = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.col("text").isNotNull().alias("_given")).alias("_row"), F.sha2(text_or_empty(), 256).alias("text_sha256"))
+    row = F.struct(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col("text").isNotNull().alias("given"))
+    members = docs.select(row.alias("row"), F.sha2(text_or_empty(), 256).alias("text_sha256"))
     sizes = members.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n"))
-    table = found.select("text_sha256", "first_doc", "n_bytes", "kept").join(sizes, "text_sha256")
+    short = F.col("n_bytes") < least  # such texts stay whole; longer ones have no bound that a broadcast of hot ones could rely on
+    table = found.withColumn("kept", F.when(short, F.col("kept"))).join(sizes, "text_sha256")
     joined = lookup(members, table, ["text_sha256"], "n", total)
-    copy = ~F.col("_row.doc_id").cast("long").eqNullSafe(F.col("first_doc")) & (F.col("n_bytes") >= least)
-    text = F.when(F.col("_row._given"), F.when(copy, F.lit("")).otherwise(F.col("kept").cast("string")))
-    kept = joined.select("_row", text.alias("_text"))
-    count = F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in rest else None
-    return kept.select(*[F.col("_text").alias(c) if c == "text" else count.alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    first = F.col("row.rest.doc_id").cast("long").eqNullSafe(F.col("first_doc")) & ~short
+    texts = joined.where(first).drop("kept").join(found.select("text_sha256", "kept"), "text_sha256")
+    rest_ = joined.where(~first).withColumn("kept", F.coalesce("kept", F.lit(b"")))
+    whole = texts.unionByName(rest_).select("row", F.col("kept").cast("string").alias("text"))
+    text = F.when(F.col("row.given"), F.col("text"))
+    count = F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in rest else None
+    return whole.select(*[text.alias(c) if c == "text" else count.alias(c) if c == "n_chars" else F.col(f"row.rest.`{c}`").alias(c) for c in docs.columns])

@@ -332,7 +332,8 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame
     Texts are linked if the Jaccard similarity of their sets of shingles is at least ``least``.  Equal
     sets are one entry.  Entries that share a band of min-hashes are compared, by the sets themselves:
     first the least of each band's group with the others, then all of the group that this leaves in
-    different components.  No pair is set aside for a link that isn't verified.
+    different components.  No pair is set aside for a link that isn't verified.  Of rows equal in
+    doc_id and text the largest by its other columns stays.
     """
     key = F.xxhash64(text_or_empty())
 
@@ -386,5 +387,8 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame
     if not more.isEmpty():
         roots = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))), "near-components").withColumnRenamed("node", "sid")
     rooted = entries.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    stay = rooted.groupBy("root").agg(F.min("first").alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.tid").alias("_tid"))
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_tid")), "left_semi")
+    stay = rooted.groupBy("root").agg(F.min("first").alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.tid").alias("tid"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"))
+    kept = whole.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("tid")), "left_semi")
+    once = kept.groupBy("doc_id", "key").agg(F.max("row").alias("row"))  # of rows equal in doc_id and text
+    return once.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, repeats, simhash
-from tessera.llm.common import components, shrink
+from tessera.llm.common import components, shared_dir, shrink
 
 
 def test_directory_doubles_and_splits():
@@ -23,7 +23,7 @@ def test_directory_doubles_and_splits():
 @pytest.mark.parametrize("key,capacity", [(None, 1), (None, 4096), ("length", 1), ("one", 2)])
 def test_exact_groups(spark, key, capacity):
     source = odd_docs(spark)
-    forced = {None: None, "length": F.shiftleft(F.pmod(F.length("_text"), F.lit(8)).cast("long"), 58), "one": F.lit(5).cast("long")}[key]
+    forced = {None: None, "length": F.shiftleft(F.pmod(F.length("text"), F.lit(8)).cast("long"), 58), "one": F.lit(5).cast("long")}[key]
     found = exact_dedup.exact_groups(source, capacity, 6, forced)
     rows = [(r["doc_id"], r["text"] or "") for r in source.collect()]
     groups = defaultdict(list)
@@ -42,6 +42,70 @@ def test_hot_copies(spark):
     assert found.count() == 6000 and table(found.where("kept AND group_size > 1").select("doc_id", "group_size")) == [(2999, 3000)]
 
 
+INSIDE = (
+    "_text _key _given _id _tid _row text_sha256 key carry top bucket group_size given others row tid sid n root first keys counts least chunk owner kept first_doc n_bytes "
+    "n_removed part turn slot keep_id kind a b m signature place fingerprint component_id node low size"
+).split()
+
+
+def clashing(spark, rows):
+    """Documents with a column for each name that operators use inside; their values tell the rows apart."""
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in INSIDE)
+    return spark.createDataFrame([(i, t, len(t or ""), *(f"{c} of {i}" for c in INSIDE)) for i, t in rows], schema)
+
+
+def values_kept(source, found):
+    """Whether all rows of ``found`` have their own document's values in all columns but the text and its length."""
+    names = [c for c in source.columns if c not in ("text", "n_chars")]
+    own = {tuple(r) for r in source.select(*[f"`{c}`" for c in names]).collect()}
+    rows = [tuple(r) for r in found.select(*[f"`{c}`" for c in names]).collect()]
+    return found.columns == source.columns and found.schema["text"].dataType == source.schema["text"].dataType and len(rows) == len(set(rows)) and set(rows) <= own
+
+
+@pytest.mark.parametrize("operator", [exact_dedup.deduplicate, simhash.near_dedup, repeats.strip_repeats])
+def test_columns_of_any_name_keep_their_values(spark, operator):
+    rows = [(1, LONG), (2, LONG + "x y"), (3, LONG), (4, ""), (5, None), (6, "short"), (7, "other words " * 30)]
+    source = clashing(spark, rows)
+    found = operator(source)
+    assert values_kept(source, found)
+    want = {"deduplicate": {2, 3, 5, 6, 7}, "near_dedup": {1, 4, 6, 7}, "strip_repeats": {1, 2, 3, 4, 5, 6, 7}}[operator.__name__]
+    assert {r["doc_id"] for r in found.select("doc_id").collect()} == want
+    texts = {r["doc_id"]: r["text"] for r in found.select("doc_id", "text").collect()}
+    if operator is not repeats.strip_repeats:
+        assert all(texts[i] == t for i, t in rows if i in texts)
+    else:
+        assert texts[1] == LONG and texts[3] == "" and texts[5] is None and texts[6] == "short" and len(texts[2]) < 60
+    assert operator(source.limit(0)).count() == 0
+
+
+def test_repeated_rows_of_one_id(spark):
+    """Of rows equal in doc_id and text one stays, also if there are many in many partitions."""
+    rows = [(None, "the same words in every row")] * 500 + [(3, "another text altogether")] * 20 + [(4, "alone")]
+    source = docs(spark, rows).repartition(7)
+    groups = exact_dedup.exact_groups(source)
+    assert groups.count() == 521 and table(groups.where("kept").select("doc_id", "group_size")) == sorted([(None, 500), (3, 20), (4, 1)], key=repr)
+    for operator in (exact_dedup.deduplicate, simhash.near_dedup):
+        assert table(operator(source).select("doc_id")) == sorted([(None,), (3,), (4,)], key=repr)
+
+
+def test_shared_folder(spark):
+    class Cluster:
+        class sparkContext:
+            master = "yarn"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster)
+
+
 def test_deduplicate_keeps_columns(spark):
     source = odd_docs(spark)
     found = exact_dedup.deduplicate(source)
