@@ -8,11 +8,13 @@ depths are mixed.  The trained weights give the probability of each further bit
 path; a context that was never seen hands over to the deepest one that was.
 
 At scale the counts are those of distinct strings of ``DEPTH`` + 1 bytes.  Each task sends what it
-counted, packed by owner of the last two context bytes; the owners sum and keep the model as a
-table in the shared folder, with the sums for the nodes above (65,280 rows at most), which is all
-the driver sees.  For scoring, each chunk of texts asks the owners for the distinct strings it
-holds and gets back their code lengths, to 1/1024 bit; nothing that grows with the corpus is
-broadcast.
+counted, packed by owner of the last two context bytes; pairs of bytes that make up 1/``HEAVY`` of
+the corpus or more (``HEAVY`` at most, by a count over all texts) are dealt by the third byte as
+well, so the commonest pair is no owner's alone.  The owners sum and keep the model as a table in
+the shared folder, with the sums for the nodes above (65,280 rows at most, and as many for heavy
+pairs), which is all the driver sees.  For scoring, each chunk of texts asks the owners for the
+distinct strings it holds and gets back their code lengths, to 1/1024 bit; nothing that grows with
+the corpus is broadcast.
 
 The same exchange counts words, for a unigram base score.  Words are told apart by a 64-bit hash.
 
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import crc_bucket, materialize, packed, packed_sorted, releasing, small_batches, table_of, text_or_empty, unpacked, unpacked_sorted
 
 DEPTH = 7
-TOP = 2  # owners hold whole subtrees below the last TOP context bytes
+TOP = 2  # owners hold whole subtrees below the last TOP context bytes, or one more if those are heavy
+HEAVY = 256
 END = b"\n"
 SLICE = 1 << 18
 UNITS = 1024  # of a bit
@@ -72,6 +75,7 @@ class Tree:
     ones: dict[int, np.ndarray]
     odds: dict[int, np.ndarray]  # log of own estimate over product of children
     weighted: np.ndarray  # log probability at depth TOP
+    below: np.ndarray  # that of the children of the nodes at depth TOP, summed
     parent: dict[int, np.ndarray]
     prefix: np.ndarray  # decision (8 bits) and last TOP bytes of the nodes at depth TOP
     order: np.ndarray  # of the strings
@@ -111,29 +115,53 @@ def grow(keys: np.ndarray, counts: np.ndarray, level: int) -> Tree:
         kt = log_kt(zeros[depth], ones[depth])
         odds[depth] = kt - children
         weighted = np.logaddexp(kt, children) - LN2
-    return Tree(zeros, ones, odds, weighted, parent, at, order, node)
+    return Tree(zeros, ones, odds, weighted, children, parent, at, order, node)
 
 
 @dataclass
 class Upper:
-    """Counts and odds of the nodes above depth TOP, by depth and node number."""
+    """Counts and odds of the nodes above depth TOP, by depth and node number, and of heavy pairs' nodes."""
 
     zeros: list[np.ndarray]
     ones: list[np.ndarray]
     odds: list[np.ndarray]
     tokens: int
     distinct: int
+    heavy: np.ndarray  # whether each pair of bytes is heavy
+    shared: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # decision and pair, ascending; zeros, ones, odds
 
     @staticmethod
-    def of(index: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray, tokens: int, distinct: int) -> Upper:
-        """``index``: decision * 256 + last byte; ``weighted``: the sum over the children."""
+    def of(index: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray, tokens: int, distinct: int, heavy: np.ndarray | None = None) -> Upper:
+        """``index``: decision * 256 + last byte, with ``weighted`` the sum over the children; or,
+        with HEAVY_NODE added, decision * 65536 + a heavy pair."""
+        heavy = np.zeros(65536, bool) if heavy is None else heavy
+        pairs = index >= HEAVY_NODE
+        order = np.argsort(index[pairs], kind="stable")
+        key, z2, o2, w2 = (x[pairs][order] for x in (index - HEAVY_NODE, zeros, ones, weighted))
+        kt = log_kt(z2, o2)
         z, o, w = (np.zeros(65536, t) for t in (np.int64, np.int64, np.float64))
-        z[index], o[index], w[index] = zeros, ones, weighted
+        z[index[~pairs]], o[index[~pairs]], w[index[~pairs]] = zeros[~pairs], ones[~pairs], weighted[~pairs]
+        for into, value in ((z, z2), (o, o2), (w, np.logaddexp(kt, w2) - LN2)):
+            np.add.at(into, key >> 8, value)
+        shared = key, z2, o2, kt - w2
         kt = log_kt(z, o)
         odds = kt - w
         low = np.logaddexp(kt, w) - LN2
         z0, o0 = z.reshape(256, 256).sum(1), o.reshape(256, 256).sum(1)
-        return Upper([z0, z], [o0, o], [log_kt(z0, o0) - low.reshape(256, 256).sum(1), odds], tokens, distinct)
+        return Upper([z0, z], [o0, o], [log_kt(z0, o0) - low.reshape(256, 256).sum(1), odds], tokens, distinct, heavy, shared)
+
+    def complete(self, tree: Tree) -> None:
+        """Gives the nodes of heavy pairs, of which an owner knows a part, what all owners know."""
+        mine = np.flatnonzero(self.heavy[(tree.prefix & np.uint64(0xFFFF)).astype(np.int64)])
+        key, *known = self.shared
+        want = tree.prefix[mine].astype(np.int64)
+        at = np.searchsorted(key, want)
+        hit = np.append(key, -1)[at] == want
+        for into, values in zip((tree.zeros[TOP], tree.ones[TOP], tree.odds[TOP]), known, strict=True):
+            into[mine] = np.where(hit, np.append(values, 0)[at], 0)
+
+
+HEAVY_NODE = 1 << 24
 
 
 def _node(zeros: np.ndarray, ones: np.ndarray, odds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +185,7 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, upper: Upper) -> np.ndarr
     above = [_node(*x) for x in zip(upper.zeros, upper.ones, upper.odds, strict=True)]
     for level in range(8):
         tree = grow(keys, counts, level)
+        upper.complete(tree)
         # One value a node is enough down from the deepest nodes: a node's path is the same for its strings.
         at = np.arange(len(tree.zeros[DEPTH]))
         p, seen = _mix(np.zeros(len(at)), np.zeros(len(at), bool), _node(tree.zeros[DEPTH], tree.ones[DEPTH], None), at)
@@ -172,8 +201,11 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, upper: Upper) -> np.ndarr
     return bits
 
 
-def owner_of(keys: np.ndarray, owners: int) -> np.ndarray:
-    return ((keys >> np.uint64(48)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(owners)
+def owner_of(keys: np.ndarray, owners: int, heavy: np.ndarray) -> np.ndarray:
+    dealt = keys >> np.uint64(48)
+    more = np.flatnonzero(heavy[dealt.astype(np.int64)])
+    dealt[more] = keys[more] >> np.uint64(40) | np.uint64(1 << 24)
+    return (dealt * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(owners)
 
 
 #: A-Z to lower case, white space to spaces; line feeds are then free to end texts.
@@ -288,13 +320,13 @@ def _by_owner(keys: np.ndarray, owner: np.ndarray) -> dict[int, np.ndarray]:
 COUNTS = "owner int, keys binary, counts binary, words binary, word_counts binary"
 MODEL = "owner int, keys binary, counts binary, words binary, word_counts binary, upper binary, zeros binary, ones binary, weighted binary, tokens long, distinct_words long"
 ASKED = "owner int, chunk int, keys binary, words binary"
-TOLD = "chunk int, owner int, bits binary, word_counts binary"
+TOLD = "chunk int, owner int, bits binary, more binary, word_counts binary"
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
 
 
-def _count(owners: int, most: int = 3_000_000):
+def _count(owners: int, heavy: np.ndarray, most: int = 3_000_000):
     def sent(keys: np.ndarray, counts: np.ndarray, words: np.ndarray, word_counts: np.ndarray) -> pa.RecordBatch:
-        mine, theirs = _by_owner(keys, owner_of(keys, owners)), _by_owner(words, words % np.uint64(owners))
+        mine, theirs = _by_owner(keys, owner_of(keys, owners, heavy)), _by_owner(words, words % np.uint64(owners))
         none = np.zeros(0, np.int64)
         rows = []
         for o in sorted({*mine, *theirs}):
@@ -331,29 +363,55 @@ def _count(owners: int, most: int = 3_000_000):
     return run
 
 
-def _learn(key: tuple, table: pa.Table) -> pa.Table:
-    """An owner's part of the model."""
-    lists = {c: table[c].to_pylist() for c in ("keys", "counts", "words", "word_counts")}
-    keys, counts = _summed([unpacked_sorted(b) for b in lists["keys"]], [unpacked(b, np.int64) for b in lists["counts"]])
-    words, word_counts = _summed([unpacked_sorted(b) for b in lists["words"]], [unpacked(b, np.int64) for b in lists["word_counts"]])
-    z, o, w = (np.zeros(65536, t) for t in (np.int64, np.int64, np.float64))
-    if len(keys):
-        for level in range(8):
-            tree = grow(keys, counts, level)
-            at = (tree.prefix >> np.uint64(8 * TOP - 8)).astype(np.int64)
-            z += np.bincount(at, tree.zeros[TOP], 65536).astype(np.int64)
-            o += np.bincount(at, tree.ones[TOP], 65536).astype(np.int64)
-            w += np.bincount(at, tree.weighted, 65536)
-    used = np.flatnonzero(z + o)
-    row = (key[0].as_py(), packed_sorted(keys), packed(counts), packed_sorted(words), packed(word_counts), packed(used), packed(z[used]), packed(o[used]), packed(w[used]), int(word_counts.sum()), len(words))
-    return table_of(MODEL, [row])
-
-
-def train(docs: DataFrame, owners: int) -> tuple[DataFrame, Upper]:
+def _learn(heavy: np.ndarray):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """An owner's part of the model."""
+        lists = {c: table[c].to_pylist() for c in ("keys", "counts", "words", "word_counts")}
+        keys, counts = _summed([unpacked_sorted(b) for b in lists["keys"]], [unpacked(b, np.int64) for b in lists["counts"]])
+        words, word_counts = _summed([unpacked_sorted(b) for b in lists["words"]], [unpacked(b, np.int64) for b in lists["word_counts"]])
+        z, o, w = (np.zeros(65536, t) for t in (np.int64, np.int64, np.float64))
+        shared: list[tuple[np.ndarray, ...]] = []
+        if len(keys):
+            for level in range(8):
+                tree = grow(keys, counts, level)
+                partly = heavy[(tree.prefix & np.uint64(0xFFFF)).astype(np.int64)]
+                at = (tree.prefix[~partly] >> np.uint64(8 * TOP - 8)).astype(np.int64)
+                z += np.bincount(at, tree.zeros[TOP][~partly], 65536).astype(np.int64)
+                o += np.bincount(at, tree.ones[TOP][~partly], 65536).astype(np.int64)
+                w += np.bincount(at, tree.weighted[~partly], 65536)
+                shared.append((tree.prefix[partly].astype(np.int64) + HEAVY_NODE, *(x[partly] for x in (tree.zeros[TOP], tree.ones[TOP], tree.below))))
+        used = np.flatnonzero(z + o)
+        upper, z, o, w = (np.concatenate(x) for x in zip((used, z[used], o[used], w[used]), *shared, strict=True))
+        row = (key[0].as_py(), packed_sorted(keys), packed(counts), packed_sorted(words), packed(word_counts), packed(upper), packed(z), packed(o), packed(w), int(word_counts.sum()), len(words))
+        return table_of(MODEL, [row])
+
+    return run
+
+
+def heavy_pairs(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """Bytes of all texts, and whether each pair of neighbouring bytes (the last first) is 1/HEAVY of them or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(65536, np.int64)
+        for batch in batches:
+            for group in _groups(batch["text"].to_pylist()):
+                raw = np.frombuffer("\n".join(group).encode("utf-8", "surrogatepass").translate(_LOWER), np.uint8)
+                found += np.bincount(raw[:-1] | raw[1:].astype(np.uint16) << 8, minlength=65536)
+                found[0] += len(raw) < 2  # a single byte counts too
+        used = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(found[used])], names=["pair", "n"])
+
+    counted = texts.mapInArrow(releasing(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
+    volume, heavy = sum(r["n"] for r in counted), np.zeros(65536, bool)
+    heavy[[r["pair"] for r in counted if r["n"] * HEAVY >= volume]] = True
+    return volume, heavy
+
+
+def train(docs: DataFrame, owners: int, heavy: np.ndarray) -> tuple[DataFrame, Upper]:
     """The model: its table, by owner, and the nodes above the owners' subtrees."""
     texts = docs.select(text_or_empty().alias("text"))
-    counted = texts.mapInArrow(releasing(_count(owners)), COUNTS).repartition(owners, "owner")
-    model = materialize(counted.groupBy("owner").applyInArrow(releasing(_learn), MODEL), "ctw-model")
+    counted = texts.mapInArrow(releasing(_count(owners, heavy)), COUNTS).repartition(owners, "owner")
+    model = materialize(counted.groupBy("owner").applyInArrow(releasing(_learn(heavy)), MODEL), "ctw-model")
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,10 +420,10 @@ def train(docs: DataFrame, owners: int) -> tuple[DataFrame, Upper]:
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["i", "z", "o", "w"])
 
     upper = model.select("upper", "zeros", "ones", "weighted").mapInArrow(unfold, "i long, z long, o long, w double")
-    rows = upper.groupBy("i").agg(F.sum("z"), F.sum("o"), F.sum("w")).collect()  # 65,280 rows at most
+    rows = upper.groupBy("i").agg(F.sum("z"), F.sum("o"), F.sum("w")).collect()  # 65,280 rows at most, twice
     i, z, o, w = (np.array([r[k] for r in rows]) for k in range(4)) if rows else (np.zeros(0, np.int64),) * 4
     tokens, distinct = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct_words"), F.lit(0))).first()
-    return model, Upper.of(i, z, o, w, tokens, distinct)
+    return model, Upper.of(i, z, o, w, tokens, distinct, heavy)
 
 
 class Chunk:
@@ -374,7 +432,7 @@ class Chunk:
     With ``keep``, each slice's distinct keys and where they occur are kept for scoring.
     """
 
-    def __init__(self, table: pa.Table, owners: int, keep: bool = False) -> None:
+    def __init__(self, table: pa.Table, owners: int, heavy: np.ndarray, keep: bool = False) -> None:
         rows = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         self.ids, self.texts = [r[0] for r in rows], [r[1] for r in rows]
         self.sizes = np.zeros(len(rows), np.int64)
@@ -396,7 +454,7 @@ class Chunk:
             if not keep and len(found) > 64:
                 found, words = [_distinct(found)], [_distinct(words)]
         self.keys, self.words = _distinct(found), _distinct(words)
-        self.by_owner = _by_owner(self.keys, owner_of(self.keys, owners))
+        self.by_owner = _by_owner(self.keys, owner_of(self.keys, owners, heavy))
         self.words_by_owner = _by_owner(self.words, self.words % np.uint64(owners))
 
 
@@ -406,9 +464,9 @@ def _added(into: np.ndarray, text: np.ndarray, value: np.ndarray) -> None:
     into[low : low + len(summed)] += summed
 
 
-def _ask(owners: int):
+def _ask(owners: int, heavy: np.ndarray):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        chunk, none, rows = Chunk(table, owners), np.zeros(0, np.int64), []
+        chunk, none, rows = Chunk(table, owners, heavy), np.zeros(0, np.int64), []
         for o in sorted({*chunk.by_owner, *chunk.words_by_owner}):
             i, j = chunk.by_owner.get(o, none), chunk.words_by_owner.get(o, none)
             rows.append((o, key[0].as_py(), packed_sorted(chunk.keys[i]), packed(chunk.words[j])))
@@ -427,7 +485,7 @@ def _tell(upper: Upper):
         every = _distinct([keys, *lists])
         known = np.zeros(len(every), np.int64)
         known[np.searchsorted(every, keys)] = counts
-        bits = np.minimum(np.rint(code_lengths(every, known, upper) * UNITS), 65535).astype(np.uint16)
+        bits = np.rint(code_lengths(every, known, upper) * UNITS).astype(np.uint32)
         rows = []
         for chunk, mine, w in zip(asked["chunk"].to_pylist(), lists, asked["words"].to_pylist(), strict=True):
             w = unpacked(w, np.uint64)
@@ -436,23 +494,24 @@ def _tell(upper: Upper):
             if len(words):
                 hit = words[np.minimum(at, len(words) - 1)] == w
                 found[hit] = word_counts[at[hit]]
-            rows.append((chunk, key[0].as_py(), packed(bits[np.searchsorted(every, mine)]), packed(found)))
+            told = bits[np.searchsorted(every, mine)]  # 64 bits or more are rare: their upper half packs well by itself
+            rows.append((chunk, key[0].as_py(), packed(told.astype(np.uint16)), packed((told >> 16).astype(np.uint16)), packed(found)))
         return table_of(TOLD, rows)
 
     return run
 
 
-def _score(owners: int, tokens: int, distinct: int):
+def _score(owners: int, heavy: np.ndarray, tokens: int, distinct: int):
     total = math.log10(tokens + 0.1 * (distinct + 1))
 
     def run(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         if not len(table):
             return table_of(SCORES, [])
-        chunk = Chunk(table, owners, keep=True)
+        chunk = Chunk(table, owners, heavy, keep=True)
         bits, counts = np.zeros(len(chunk.keys), np.int64), np.zeros(len(chunk.words), np.int64)
-        for o, b, c in zip(*(told[x].to_pylist() for x in ("owner", "bits", "word_counts")), strict=True):
+        for o, b, m, c in zip(*(told[x].to_pylist() for x in ("owner", "bits", "more", "word_counts")), strict=True):
             if o in chunk.by_owner:
-                bits[chunk.by_owner[o]] = unpacked(b, np.uint16)
+                bits[chunk.by_owner[o]] = unpacked(b, np.uint16).astype(np.int64) + (unpacked(m, np.uint16).astype(np.int64) << 16)
             if o in chunk.words_by_owner:
                 counts[chunk.words_by_owner[o]] = unpacked(c, np.int64)
         lengths, tokens_of, known, base = (np.zeros(len(chunk.ids)) for _ in range(4))
@@ -477,22 +536,22 @@ def _score(owners: int, tokens: int, distinct: int):
     return run
 
 
-def score(docs: DataFrame, train_on: Column, chunk_bytes: int = 10 << 20) -> DataFrame:
+def score(docs: DataFrame, train_on: Column, chunk_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score, bits_per_byte, train_tokens for each row of ``docs``.
 
     ``train_on`` says which rows to learn from.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    volume, heavy = heavy_pairs(rows.select("text"))
     chunks = max(1, -(-volume // chunk_bytes))
-    owners = min(chunks, 4096)
-    model, upper = train(rows.where(train_on), owners)
+    owners = min(chunks, 65536)
+    model, upper = train(rows.where(train_on), owners, heavy)
     chunked = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text").repartition(chunks, "chunk")
     of = chunked.groupBy("chunk")
-    asked = of.applyInArrow(releasing(_ask(owners)), ASKED)
+    asked = of.applyInArrow(releasing(_ask(owners, heavy)), ASKED)
     told = asked.groupBy("owner").cogroup(model.groupBy("owner")).applyInArrow(releasing(_tell(upper)), TOLD)
-    found = of.cogroup(told.groupBy("chunk")).applyInArrow(releasing(_score(owners, upper.tokens, upper.distinct)), SCORES)
+    found = of.cogroup(told.groupBy("chunk")).applyInArrow(releasing(_score(owners, heavy, upper.tokens, upper.distinct)), SCORES)
     return found.withColumn("train_tokens", F.lit(upper.tokens).cast("long"))
 
 

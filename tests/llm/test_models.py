@@ -67,8 +67,9 @@ def brute_ctw(train, texts, depth=ctw.DEPTH):
     return out
 
 
-@pytest.mark.parametrize("chunk_bytes", [100, 1 << 20])
-def test_ctw_equals_the_tree(spark, chunk_bytes):
+@pytest.mark.parametrize("chunk_bytes,heavy", [(100, 256), (1 << 20, 4), (50, 10**9)])
+def test_ctw_equals_the_tree(spark, monkeypatch, chunk_bytes, heavy):
+    monkeypatch.setattr(ctw, "HEAVY", heavy)  # from few heavy pairs to all
     rng = np.random.default_rng(0)
     words = ["The", "cat", "sat", "on", "mat", "dög", "ran"]
     rows = [(i, "  ".join(rng.choice(words, rng.integers(0, 12)))) for i in range(30)] + [(30, None), (31, "unseen zebra\ttext")]
