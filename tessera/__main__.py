@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import json
+import os
 from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import SparkSession
 
-from tessera.operators.encoders import GraphAttentionEncoder, HashedTokenEncoder
+from tessera.operators.encoders import GraphAttentionEncoder, HashedTokenEncoder, load
 from tessera.operators.retrieval import macro
-from tessera.plans.evaluate import SHOWN, ResultCache, cached_summary, evaluate_formula, evaluate_text
+from tessera.plans.evaluate import SHOWN, Config, ResultCache, cached_summary, evaluate_formula, evaluate_text
 from tessera.plans.index_build import build_index
 from tessera.sources.files import formula_topics, posts, qrels, text_topics
 
@@ -33,6 +35,9 @@ def _parser() -> argparse.ArgumentParser:
         command.add_argument("--prime", action="store_true", help="rank judged documents only")
         command.add_argument("--cache", help="JSON file that keeps the results")
         command.add_argument("--force", action="store_true", help="don't read the cache")
+        command.add_argument("--checkpoint", help="file with the encoder; without it, the stand-in")
+        command.add_argument("--batch-size", type=int, default=64 if name == "eval-text" else 512)
+        command.add_argument("--config", help="YAML file; its model settings are those of the stand-in")
         if name == "eval-text":
             command.add_argument("--posts-xml", default="")
             command.add_argument("--posts-jsonl", default="")
@@ -51,16 +56,21 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
         found: dict[str, Any] = {s: sum(r["status"] == s for r in rows) for s in ("written", "skipped")} | {"rows": sum(r["n_rows"] for r in rows)}
         print(json.dumps(found))
         return found
-    key = {k: v for k, v in vars(given).items() if k not in ("cache", "force")}
+    key = {k: v for k, v in vars(given).items() if k not in ("cache", "force", "batch_size")}
+    if given.checkpoint:
+        key["checkpoint_mtime"] = os.path.getmtime(given.checkpoint)
+    stand_in = HashedTokenEncoder if given.command == "eval-text" else GraphAttentionEncoder
+    settings = Config.load(given.config).model if given.config else {}
+    encoder = load(given.checkpoint)[0] if given.checkpoint else stand_in(**{k: v for k, v in settings.items() if k in {f.name for f in dataclasses.fields(stand_in)}})
     judged = qrels(spark, given.qrels, "skip" if given.command == "eval-text" else "error")
 
     def scored():
         if given.command == "eval-text":
             corpus = posts(spark, given.posts_xml, given.posts_jsonl)
-            return evaluate_text(text_topics(spark, given.topics), corpus, judged, HashedTokenEncoder(), given.top_k, given.quick_run, prime=given.prime)
+            return evaluate_text(text_topics(spark, given.topics), corpus, judged, encoder, given.top_k, given.quick_run, prime=given.prime, batch_size=given.batch_size)
         index = spark.read.parquet(given.index)
         order = ["shard", "id"] if "shard" in index.columns else ["id"]
-        return evaluate_formula(formula_topics(spark, given.topics), index, judged, GraphAttentionEncoder(), order, given.top_k, given.quick_run, prime=given.prime)
+        return evaluate_formula(formula_topics(spark, given.topics), index, judged, encoder, order, given.top_k, given.quick_run, prime=given.prime, batch_size=given.batch_size)
 
     values = cached_summary(ResultCache(given.cache), key, scored, given.force) if given.cache else macro(scored()).first().asDict()
     for name, value in values.items():

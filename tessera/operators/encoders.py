@@ -6,7 +6,12 @@ it is pickled once per job and runs on Arrow batches.
 
 from __future__ import annotations
 
-import zlib
+import dataclasses
+import hashlib
+import io
+import itertools
+import json
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -33,26 +38,46 @@ def unit(v: np.ndarray, eps: float = 1e-12) -> np.ndarray:
 class HashedTokenEncoder:
     """Deterministic stand-in for a text model: the masked mean of hashed token vectors, normalised.
 
-    A token's vector has a sign in each of a few places that its crc32 gives; at most ``max_length``
-    tokens count, as in a truncating tokeniser, or all if it is None.
+    A token's vector has a sign in each of eight places, which the eight 16-bit numbers of its md5 give:
+    the lowest bit is the sign, the rest modulo the dimension the place.  At most ``max_length`` tokens
+    count, as in a truncating tokeniser, or all if it is None.
     """
 
     dimension: int = 256
     max_length: int | None = 256
-    places: int = 8
 
-    def encode(self, values: Sequence[str | None]) -> list[np.ndarray | None]:
-        out = []
+    def vectors(self, tokens: Sequence[str]) -> np.ndarray:
+        raw = b"".join(hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in tokens)
+        numbers = np.frombuffer(raw, ">u2").reshape(-1, 8).astype(np.int64)
+        found = np.zeros((len(tokens), self.dimension), np.int8)
+        np.add.at(found, (np.arange(len(tokens))[:, None], (numbers >> 1) % self.dimension), np.where(numbers & 1, 1, -1).astype(np.int8))
+        return found
+
+    def encode(self, values: Sequence[str | None], most: int = 1 << 16) -> list[np.ndarray | None]:
+        out: list[np.ndarray | None] = []
+        held: list[list[str]] = []
+        size = 0
         for text in values:
-            tokens = (text or "").lower().split()[: self.max_length]
-            total = np.zeros(self.dimension)
-            for token in tokens:
-                state = zlib.crc32(token.encode("utf-8", "surrogatepass"))
-                for _ in range(self.places):
-                    state = (state * 1664525 + 1013904223) % 2**32
-                    total[(state >> 8) % self.dimension] += 1.0 if state & 128 else -1.0
-            out.append(unit(total / max(len(tokens), 1e-9)).astype(np.float32))
-        return out
+            held.append((text or "").lower().split(None, self.max_length or -1)[: self.max_length])
+            size += len(held[-1])
+            if size >= most:
+                out += self._means(held, most)
+                held, size = [], 0
+        return out + self._means(held, most)
+
+    def _means(self, texts: list[list[str]], most: int) -> list[np.ndarray]:
+        """Each distinct token is hashed once; sums run over ``most`` tokens at a time."""
+        places: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        ids = np.fromiter((places[t] for tokens in texts for t in tokens), np.int64)
+        vectors = self.vectors(list(places)) if places else np.zeros((1, self.dimension), np.int8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        of = np.repeat(np.arange(len(texts)), sizes)
+        total = np.zeros((len(texts), self.dimension), np.int64)
+        for at in range(0, len(ids), most):
+            rows = of[at : at + most]
+            begins = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            total[rows[begins]] += np.add.reduceat(vectors[ids[at : at + most]], begins, axis=0, dtype=np.int64)
+        return list(unit(total / np.maximum(sizes, 1)[:, None]).astype(np.float32))
 
 
 @dataclass
@@ -124,17 +149,46 @@ class GraphAttentionEncoder:
         return [None if g is None else self.forward(g) for g in values]
 
 
-def encode_column(rows: DataFrame, encoder: Encoder, column: str, keep: list[str], alias: str = "embedding") -> DataFrame:
-    """``keep`` and the nullable embedding (array<float>) of ``column``."""
+ENCODERS = {"hashed": HashedTokenEncoder, "graph": GraphAttentionEncoder}
+
+
+def save(encoder: Encoder, path: str, **extra: Any) -> None:
+    """A checkpoint: one file with the encoder's settings, its weights and ``extra`` (epoch, loss and so on)."""
+    kind = next(n for n, c in ENCODERS.items() if type(encoder) is c)
+    settings = {f.name: getattr(encoder, f.name) for f in dataclasses.fields(encoder) if f.name != "weights"}
+    with open(path, "wb") as out:
+        np.savez(out, __settings__=np.array(json.dumps({"kind": kind, "settings": settings, "extra": extra})), **getattr(encoder, "weights", {}))
+
+
+def load(path: str) -> tuple[Encoder, dict[str, Any]]:
+    """The encoder of a checkpoint and what was kept with it; it reaches the executors as a broadcast of ``encode_column``."""
+    with open(path, "rb") as source, np.load(io.BytesIO(source.read())) as found:
+        known = json.loads(str(found["__settings__"]))
+        weights = {n: found[n] for n in found.files if n != "__settings__"}
+    settings = known["settings"] | ({"weights": weights} if weights else {})
+    return ENCODERS[known["kind"]](**settings), known["extra"]
+
+
+def encode_batch(encoder: Encoder, values: Sequence[Any]) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of the values that can be encoded, and which those are."""
+    found = encoder.encode(values)
+    mask = np.array([v is not None for v in found], bool)
+    return np.array([v for v in found if v is not None], np.float32).reshape(-1, encoder.dimension), mask
+
+
+def encode_column(rows: DataFrame, encoder: Encoder, column: str, keep: list[str], alias: str = "embedding", batch_size: int | None = None) -> DataFrame:
+    """``keep`` and the nullable embedding (array<float>) of ``column``; at most ``batch_size`` values go to the encoder at once."""
     chosen = rows.select(*keep, F.col(column).alias("_value"))
     kept = rows.select(*keep).schema
     spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{alias}` array<float>"
     shared = rows.sparkSession.sparkContext.broadcast(encoder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = shared.value.encode(batch["_value"].to_pylist())
-            encoded = pa.array([None if v is None else v.tolist() for v in vectors], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], encoded], names=[*batch.schema.names[:-1], alias])
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch_size or max(1, whole.num_rows)):
+                batch = whole.slice(at, batch_size)
+                vectors = shared.value.encode(batch["_value"].to_pylist())
+                encoded = pa.array([None if v is None else v.tolist() for v in vectors], pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], encoded], names=[*batch.schema.names[:-1], alias])
 
     return chosen.mapInArrow(run, spec)

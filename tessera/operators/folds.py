@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 
 def first_by(rows: DataFrame, keys: list[str], value: str, order: list[str], alias: str | None = None) -> DataFrame:
     """The first non-empty ``value`` of each non-empty key; partial aggregation before the shuffle."""
@@ -42,26 +44,36 @@ def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """A gapless number from 0 in a global order, without bringing the rows into one partition.
 
-    Rows are range-partitioned and numbered within partitions; the counts of the partitions, one
-    row each, give the offsets.
+    Rows are range-partitioned, sorted, numbered within partitions and written once; the counts of
+    the partitions, one row each, give the offsets, so both come from the same partitioning.
     """
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    local = sorted_.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    local = local.withColumn("_i", F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)))
-    spans = local.groupBy("_p").agg((F.max("_i") + 1).alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spans.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    return local.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_i")).drop("_p", "_i", "_o")
+    local = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    local = local.withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    local = materialize(local, "numbered")
+    spans = local.groupBy("__part").agg((F.max("__place") + 1).alias("__size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spans.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    return local.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__offset") + F.col("__place")).drop("__part", "__place", "__offset")
 
 
 def exact_split(rows: DataFrame, key: str, share: int = 10, seed: int = 42) -> DataFrame:
-    """``split``: 'val' for exactly max(1, n // share) rows in seeded order, else 'train'."""
-    total = rows.count()
-    chosen = max(1, total // share) if total else 0
-    val = rows.select(F.col(key).alias("_k")).withColumn("_h", seeded("_k", seed)).orderBy("_h", "_k").limit(chosen).select("_k")
-    return rows.join(val.withColumn("_v", F.lit(True)), F.col(key) == F.col("_k"), "left").select(
-        *[F.col(c) for c in rows.columns], F.when(F.col("_v"), "val").otherwise("train").alias("split")
-    )
+    """``split``: 'val' for exactly max(1, n // share) rows in seeded order, else 'train'.
+
+    The seeded order is a hash, so rows are counted by its first four digits (65,536 counts at most);
+    only the rows with the digits among which the border lies are put in order.
+    """
+    digits = F.substring(seeded(key, seed), 1, 4)
+    counts = sorted((r[0] or "", r[1]) for r in rows.groupBy(digits).count().collect())
+    total = sum(n for _, n in counts)
+    wanted, border, before = (max(1, total // share) if total else 0), "", 0
+    for prefix, n in counts:
+        border = prefix
+        if before + n >= wanted:
+            break
+        before += n
+    at = F.coalesce(digits, F.lit(""))
+    near = numbered(rows.where(at == border), [seeded(key, seed), F.col(key)], "__n").withColumn("split", F.when(F.col("__n") < wanted - before, "val").otherwise("train")).drop("__n")
+    return rows.where(at != border).withColumn("split", F.when(at < border, "val").otherwise("train")).unionByName(near)
 
 
 def batches(rows: DataFrame, key: str, size: int, seed: int | None = 42, drop_last: bool = True) -> DataFrame:

@@ -7,9 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 
 def _ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
     """``rank`` by score, then id, descending; kept up to ``k``, which Spark also applies before the shuffle."""
@@ -18,34 +21,59 @@ def _ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
     return found if k is None else found.where(F.col("rank") <= k)
 
 
+def _blocked(queries: DataFrame, size: int) -> DataFrame:
+    """block, q, topic_id, embedding: each task's queries in blocks of about ``size`` bytes."""
+    spec = f"block long, q int, topic_id {queries.schema['topic_id'].dataType.simpleString()}, embedding array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, place, volume = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            sizes = [8 * n for n in batch["embedding"].value_lengths().to_pylist()]
+            blocks, places = [], []
+            for n in sizes:
+                if volume and volume + n > size:
+                    block, place, volume = block + 1, 0, 0
+                blocks.append(block)
+                places.append(place)
+                place, volume = place + 1, volume + n
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(places, pa.int32()), batch["topic_id"], batch["embedding"]], names=["block", "q", "topic_id", "embedding"])
+
+    rows = queries.select("topic_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("embedding").isNotNull())
+    return materialize(rows.mapInArrow(run, spec), "search-queries")
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 1000, digits: int | None = 6, block_bytes: int = 32 << 20) -> DataFrame:
     """topic_id, doc_id, score, rank: the ``k`` best documents of each query by inner product.
 
-    ``queries`` (topic_id, embedding) are sent to the corpus (doc_id, embedding) in blocks of at most
-    ``block_bytes``, so what is broadcast is bounded and more queries mean more passes.  Each Arrow
-    batch of the corpus is one matrix product of which only the best ``k`` per query leave the task;
-    the ranks are taken over those.  Scores are rounded before ranking, if at all.
+    Tasks write ``queries`` (topic_id, embedding) in blocks of at most a quarter of ``block_bytes``;
+    the corpus (doc_id, embedding) is passed over for as many blocks together as fit ``block_bytes``,
+    which is all that the driver holds and broadcasts at a time.  If that takes more than one pass,
+    each one's results are written and its broadcast is dropped before the next.  Each Arrow batch
+    of the corpus is one matrix product of which only the best ``k`` per query leave the task; the
+    ranks are taken over those.  Scores are rounded before ranking, if at all.
     """
-    id_type, doc_type = queries.schema["topic_id"].dataType, corpus.schema["doc_id"].dataType
-    spec = f"q int, doc_id {doc_type.simpleString()}, score double"
-    order = queries.select("topic_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    parts, held, volume = [], [], 0
-    blocks: list[list] = []
-    for row in order.toLocalIterator():
-        held.append((row["topic_id"], row["embedding"]))
-        volume += 8 * len(row["embedding"])
-        if volume >= block_bytes:
-            blocks.append(held)
-            held, volume = [], 0
-    if held or not blocks:
-        blocks.append(held)
-    spark = corpus.sparkSession
-    for block in blocks:
-        ids = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(block)], f"q int, topic_id {id_type.simpleString()}")
-        shared = spark.sparkContext.broadcast(np.array([v for _, v in block], np.float64).T)
-
-        def local(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matrix = shared.value
+    spec = f"block long, q int, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
+    held = _blocked(queries, max(1, block_bytes // 4))
+    sizes = held.groupBy("block").agg(F.sum(8 * F.size("embedding")).alias("n")).orderBy("block").collect()  # a row a block
+    passes: list[list[int]] = [[]]
+    volume = 0
+    for row in sizes:
+        if volume and volume + row["n"] > block_bytes:
+            passes.append([])
+            volume = 0
+        passes[-1].append(row["block"])
+        volume += row["n"]
+    rows = corpus.select("doc_id", "embedding").where(F.col("embedding").isNotNull())
+
+    def search(blocks: list[int]) -> tuple[DataFrame, Broadcast]:
+        mine = held.where(F.col("block").isin(blocks))
+        found = sorted(mine.select("block", "q", "embedding").collect())
+        shared = corpus.sparkSession.sparkContext.broadcast((np.array([(r[0], r[1]) for r in found], np.int64).reshape(-1, 2), np.array([r[2] for r in found], np.float64).T))
+
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, matrix = shared.value
             for batch in batches:
                 if not batch.num_rows or not matrix.size:
                     continue
@@ -53,17 +81,25 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 1000, digits: int | No
                 scores = vectors @ matrix
                 if digits is not None:
                     scores = np.round(scores, digits)
-                docs = batch["doc_id"]
                 if batch.num_rows > k:  # ties at the edge all leave the task; the ranks settle them
                     edge = -np.partition(-scores, k - 1, axis=0)[k - 1]
                     row, column = np.nonzero(scores >= edge)
                 else:
                     row, column = np.indices(scores.shape).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(column.astype(np.int32)), docs.take(pa.array(row)), pa.array(scores[row, column])], names=["q", "doc_id", "score"])
-
-        found = corpus.select("doc_id", "embedding").where(F.col("embedding").isNotNull()).mapInArrow(local, spec)
-        parts.append(found.join(F.broadcast(ids), "q").drop("q"))
-    return _ranked(reduce(DataFrame.unionByName, parts), k).select("topic_id", "doc_id", "score", "rank")
+                columns = pa.array(names[column, 0]), pa.array(names[column, 1].astype(np.int32)), batch["doc_id"].take(pa.array(row)), pa.array(scores[row, column])
+                yield pa.RecordBatch.from_arrays(list(columns), names=["block", "q", "doc_id", "score"])
+
+        named = rows.mapInArrow(local, spec).join(F.broadcast(mine.select("block", "q", "topic_id")), ["block", "q"])
+        return _ranked(named, k).select("topic_id", "doc_id", "score", "rank"), shared
+
+    if len(passes) == 1:
+        return search(passes[0])[0]
+    parts = []
+    for blocks in passes:
+        found, shared = search(blocks)
+        parts.append(materialize(found, "search-results"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def judged_run(run: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -22,6 +22,7 @@ from tessera.operators.retrieval import macro, metrics, top_k
 CUTOFFS = (5, 10, 15, 20, 30, 100, 200, 500, 1000)
 SHOWN = (10, 100, 1000)
 QUICK_TEXT, QUICK_FORMULA, SEED = 50_000, 100_000, 42
+QUERY_BATCH = 32
 
 
 @dataclass(frozen=True)
@@ -71,12 +72,12 @@ def search_and_score(topics: DataFrame, corpus: DataFrame, qrels: DataFrame, k:
     return metrics(run, qrels, list(cutoffs), level, prime)
 
 
-def evaluate_text(topics: DataFrame, posts: DataFrame, qrels: DataFrame, encoder: Encoder, k: int = 1000, quick: bool = False, level: int = 1, prime: bool = False) -> DataFrame:
+def evaluate_text(topics: DataFrame, posts: DataFrame, qrels: DataFrame, encoder: Encoder, k: int = 1000, quick: bool = False, level: int = 1, prime: bool = False, batch_size: int | None = 64) -> DataFrame:
     """topic_id and measures for topics (topic_id, query) over posts (post_id, text)."""
     if quick:
         posts = hash_sample(posts, "post_id", QUICK_TEXT, SEED)
-    corpus = encode_column(posts, encoder, "text", ["post_id"]).withColumnRenamed("post_id", "doc_id")
-    return search_and_score(encode_column(topics, encoder, "query", ["topic_id"]), corpus, qrels, k, level, prime=prime)
+    corpus = encode_column(posts, encoder, "text", ["post_id"], batch_size=batch_size).withColumnRenamed("post_id", "doc_id")
+    return search_and_score(encode_column(topics, encoder, "query", ["topic_id"], batch_size=QUERY_BATCH), corpus, qrels, k, level, prime=prime)
 
 
 def formula_corpus(index: DataFrame, order: list[str], quick: bool = False) -> DataFrame:
@@ -85,13 +86,13 @@ def formula_corpus(index: DataFrame, order: list[str], quick: bool = False) -> D
     return hash_sample(rows, "old_visual_id", QUICK_FORMULA, SEED) if quick else rows
 
 
-def evaluate_formula(topics: DataFrame, index: DataFrame, qrels: DataFrame, encoder: Encoder, order: list[str], k: int = 1000, quick: bool = False, level: int = 2, prime: bool = False) -> DataFrame:
+def evaluate_formula(topics: DataFrame, index: DataFrame, qrels: DataFrame, encoder: Encoder, order: list[str], k: int = 1000, quick: bool = False, level: int = 2, prime: bool = False, batch_size: int | None = 512) -> DataFrame:
     """The same for formulas: topics are resolved to trees by equal LaTeX; unresolved ones aren't scored."""
     graph = tree_to_graph()
 
     def encoded(rows: DataFrame, key: str) -> DataFrame:
         graphs = rows.select(key, graph(F.col("opt")).alias("graph")).where(F.col("graph").isNotNull())
-        return encode_column(graphs, encoder, "graph", [key])
+        return encode_column(graphs, encoder, "graph", [key], batch_size=batch_size)
 
     queries = encoded(first_match(topics.withColumnRenamed("query", "latex"), index, "latex", "opt", order), "topic_id")
     corpus = encoded(formula_corpus(index, order, quick), "old_visual_id").withColumnRenamed("old_visual_id", "doc_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import strip
 from tessera.operators.joins import issue_null, parallel_join
-from tessera.sources.files import exists, formula_files
+from tessera.sources.files import exists, formula_files, formula_schema, listed, need, shard_of
 
 
 def assemble(latex: DataFrame, opt: DataFrame, slt: DataFrame, strict: bool = True, optional: tuple[str, ...] = ()) -> DataFrame:
@@ -25,15 +25,25 @@ def missing_shards(available: DataFrame, written: DataFrame) -> DataFrame:
     return available.join(written.select("shard").distinct(), "shard", "left_anti")
 
 
+def shard_sizes(index: DataFrame) -> DataFrame:
+    """shard, n_rows."""
+    return index.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def build_index(spark: SparkSession, latex_path: str, opt_path: str, slt_path: str, out: str, force: bool = False, strict: bool = True) -> DataFrame:
-    """Write the missing shards (all of them with ``force``) and return shard, n_rows, status."""
-    families = [formula_files(spark, p) for p in (latex_path, opt_path, slt_path)]
-    done = spark.read.parquet(out).groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows")) if exists(spark, f"{out}/shard=*") else None
-    before = [] if done is None else done.collect()  # one row a shard
-    skipped = [] if force else [r["shard"] for r in before]
-    if skipped:
-        families = [f.where(~F.col("shard").isin(skipped)) for f in families]
-    rows = assemble(*families, strict=strict)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy("shard").parquet(out)
+    """Write the missing shards (all of them with ``force``) and return shard, n_rows, status.
+
+    Shards are files, so those that are written already aren't read again.
+    """
+    done = [r["shard"] for r in shard_sizes(spark.read.parquet(out)).select("shard").collect()] if exists(spark, f"{out}/shard=*") else []  # one row a shard
+    skipped = [] if force else done
+    families = []
+    for path in (latex_path, opt_path, slt_path):
+        files = [f for f in listed(spark, need(spark, path)[0]) if f.endswith(".tsv")]
+        families.append([f for f in files if shard_of(f) not in skipped])
+    if any(families):
+        rows = [formula_files(spark, f) if f else spark.createDataFrame([], formula_schema()) for f in families]
+        assembled = assemble(*rows, strict=strict)
+        assembled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy("shard").parquet(out)
     status = F.when(F.col("shard").isin(skipped), "skipped").otherwise("written") if skipped else F.lit("written")
-    return spark.read.parquet(out).groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("status", status)
+    return shard_sizes(spark.read.parquet(out)).withColumn("status", status)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -31,6 +32,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return matches is not None and len(matches) > 0
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The files that ``path`` names: itself, those a glob matches, or those in a folder."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for status in system.globStatus(found) or []:
+        inner = system.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [s.getPath().toString() for s in inner if s.isFile()]
+    return sorted(out)
+
+
+def shard_of(path: str) -> int | None:
+    """The number in a formula file's name."""
+    found = re.search(r"(\d+)\.tsv$", path)
+    return int(found[1]) if found else None
+
+
 def need(spark: SparkSession, *paths: str) -> list[str]:
     for path in paths:
         if not exists(spark, path):
@@ -38,12 +56,16 @@ def need(spark: SparkSession, *paths: str) -> list[str]:
     return list(paths)
 
 
-def formula_files(spark: SparkSession, path: str) -> DataFrame:
-    """The columns of the formula files below ``path`` and ``shard``, the number in each file's name.
+def formula_schema() -> T.StructType:
+    return T.StructType([*schemas.FORMULA_FILE.fields, T.StructField("shard", T.IntegerType())])
+
+
+def formula_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The columns of the formula files at ``path`` and ``shard``, the number in each file's name.
 
     Quotes are doubled, and may hold tabs and line breaks.  Empty fields are empty texts.
     """
-    need(spark, path)
+    need(spark, *([path] if isinstance(path, str) else path))
     reader = spark.read.schema(schemas.FORMULA_FILE).options(sep="\t", header=True, quote='"', escape='"', multiLine=True, maxCharsPerColumn=-1, enforceSchema=True)
     rows = reader.csv(path).withColumn("shard", F.regexp_extract(F.input_file_name(), r"(\d+)\.tsv$", 1).cast("int"))
     return rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in schemas.FORMULA_FILE.names], "shard")

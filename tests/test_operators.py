@@ -1,12 +1,13 @@
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import folds, joins, loss, pairs, retrieval
-from tessera.operators.encoders import GraphAttentionEncoder, HashedTokenEncoder, encode_column
-from tessera.plans.training import EarlyStopping, clamp_temperature, linear_warmup, one_cycle
+from tessera.operators.encoders import GraphAttentionEncoder, HashedTokenEncoder, encode_batch, encode_column, load, save
+from tessera.plans.training import AdamW, EarlyStopping, cached_gradient_step, clamp_temperature, clipped, contrastive, epoch_shares, linear_warmup, one_cycle
 
 
 def rows(df):
@@ -128,6 +129,100 @@ def test_encoders(spark):
     assert none is None and np.allclose(a, b, atol=1e-5) and np.linalg.norm(a) == pytest.approx(1, abs=1e-6)
 
 
+def dense_attention(encoder, graph):
+    """The graph encoder's forward pass by adjacency matrices, head by head."""
+    w, n = encoder.weights, len(graph["x"])
+    adjacent = np.eye(n, dtype=bool)
+    adjacent[graph["dst"], graph["src"]] = True
+    x = w["embed"][graph["x"]]
+    for i in range(encoder.layers):
+        heads = []
+        for k in range(encoder.heads):
+            h = x @ w[f"{i}.project"][:, k * encoder.hidden : (k + 1) * encoder.hidden]
+            score = (h @ w[f"{i}.target"][k])[:, None] + (h @ w[f"{i}.source"][k])[None, :]
+            score = np.where(adjacent, np.where(score > 0, score, 0.2 * score), -np.inf)
+            share = np.exp(score - score.max(1, keepdims=True))
+            heads.append(share / share.sum(1, keepdims=True) @ h)
+        y = np.hstack(heads) + w[f"{i}.bias"] + x @ w[f"{i}.residual"]
+        x = (y - y.mean()) / np.sqrt(y.var() + 1e-5) * w[f"{i}.scale"] + w[f"{i}.shift"]
+    z = np.r_[x.mean(0), x.max(0)] @ w["head1"] + w["bias1"]
+    z = 0.5 * z * (1 + np.tanh(np.sqrt(2 / np.pi) * (z + 0.044715 * z**3))) @ w["head2"] + w["bias2"]
+    return z / np.linalg.norm(z)
+
+
+def test_graph_attention_equals_its_dense_form(spark):
+    from tessera.functions.trees import VOCABULARY, parse_tree
+    from tessera.plans import catalogue, file_queries
+
+    path = "/root/testdata/sf0.001"
+    if not os.path.isdir(path):
+        pytest.skip("the driver's tables aren't here")
+    gat = GraphAttentionEncoder(embedding=16, hidden=16, heads=2, layers=2, dimension=32)
+    ids = {tag: i + 1 for i, tag in enumerate(VOCABULARY)}
+    graphs = {r["id"]: parse_tree(r["opt"], ids) for r in file_queries.formulas(spark, path).collect()}
+    found = {r["id"]: [int(c) for c in r["components"].split(",")] for r in catalogue.QUERIES["graph_attention_encode"](spark, path).collect()}
+    assert set(found) == {i for i, g in graphs.items() if g}
+    for i, components in found.items():
+        assert np.abs(np.array(components) - 10000 * dense_attention(gat, graphs[i])).max() < 1
+
+
+def test_checkpoints(tmp_path):
+    gat = GraphAttentionEncoder(hidden=4, heads=1, layers=1, embedding=4, dimension=8, seed=3)
+    graph = {"x": [5, 1], "src": [0, 1], "dst": [1, 0]}
+    for encoder, value in ((gat, graph), (HashedTokenEncoder(16, None), "a b")):
+        save(encoder, str(tmp_path / "best"), epoch=4, loss=0.5)
+        again, extra = load(str(tmp_path / "best"))
+        assert extra == {"epoch": 4, "loss": 0.5} and np.array_equal(again.encode([value])[0], encoder.encode([value])[0])
+    vectors, mask = encode_batch(gat, [graph, None, graph])
+    assert vectors.shape == (2, 8) and mask.tolist() == [True, False, True]
+    assert encode_batch(gat, [])[0].shape == (0, 8)
+
+
+@pytest.mark.parametrize("micro", [1, 3, 8])
+def test_cached_gradients_equal_the_whole_batch(micro):
+    rng = np.random.default_rng(0)
+    q, p, w = rng.normal(size=(8, 5)), rng.normal(size=(8, 5)), rng.normal(size=(5, 4))
+    unit = lambda y: y / np.linalg.norm(y, axis=1, keepdims=True)
+
+    def backward(x, g):
+        y = x @ w
+        n = np.linalg.norm(y, axis=1, keepdims=True)
+        u = y / n
+        return {"w": x.T @ ((g - u * (g * u).sum(1, keepdims=True)) / n)}
+
+    loss, gradients = cached_gradient_step(lambda x: unit(x @ w), backward, q, p, micro, 0.5)
+    for i, j in ((0, 0), (4, 3), (2, 1)):
+        values = []
+        for step in (1e-5, -1e-5):
+            v = w.copy()
+            v[i, j] += step
+            values.append(contrastive(unit(q @ v), unit(p @ v), 0.5)[0])
+        assert gradients["w"][i, j] == pytest.approx((values[0] - values[1]) / 2e-5, abs=1e-6)
+    assert math.sqrt((clipped({"w": gradients["w"] * 1000})["w"] ** 2).sum()) == pytest.approx(1, abs=1e-3)
+    weights, optimiser = {"w": w.copy()}, AdamW()
+    for _ in range(50):
+        weights_before = weights["w"].copy()
+        w = weights["w"]
+        value, g = cached_gradient_step(lambda x: unit(x @ w), backward, q, p, micro, 0.5)
+        optimiser.update(weights, clipped(g), 0.05)
+    assert value < loss and not np.array_equal(weights_before, weights["w"])
+
+
+def test_epoch_shares(spark):
+    df = spark.range(23).withColumnRenamed("id", "k")
+    shares = [{(r["rank"], r["step"]): r["k"] for r in epoch_shares(df, "k", e, 4).collect()} for e in (0, 0, 1)]
+    assert set(shares[0]) == {(r, s) for r in range(4) for s in range(5)} and len(set(shares[0].values())) == 20
+    assert shares[0] == shares[1] != shares[2]
+
+
+def test_split_takes_no_share_of_the_table_into_one_task(spark):
+    """Only rows with the border's hash digits are ordered, and no plan takes a share of the rows in order."""
+    df = spark.range(20000).withColumnRenamed("id", "k")
+    found = folds.exact_split(df, "k")
+    assert "TakeOrdered" not in found._jdf.queryExecution().toString() and "GlobalLimit" not in found._jdf.queryExecution().toString()
+    assert found.where("split = 'val'").count() == 2000 and found.count() == 20000
+
+
 def test_training_control():
     assert linear_warmup(0, 1.0) == 0.01 and linear_warmup(500, 1.0) == 1.0
     rates = [one_cycle(s, 100, 1.0) for s in range(100)]
@@ -142,5 +237,5 @@ def test_hashed_text_encode_takes_whole_texts(spark, tmp_path):
 
     start = " ".join(f"w{i}" for i in range(300))
     spark.createDataFrame([(1, start + " one"), (2, start + " other"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    found = {r["doc_id"]: r["components"] for r in catalogue.QUERIES["hashed_text_encode"](spark, str(tmp_path)).collect()}
-    assert len(found[1]) == 64 and found[1] != found[2] and found[3] == [0.0] * 64
+    found = {r["doc_id"]: [int(c) for c in r["components"].split(",")] for r in catalogue.QUERIES["hashed_text_encode"](spark, str(tmp_path)).collect()}
+    assert len(found[1]) == 64 and found[1] != found[2] and found[3] == [0] * 64
