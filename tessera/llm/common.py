@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import inspect
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +12,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import materialize, shared_dir  # noqa: F401  (for the operators)
+
 
 def arrow_schema(spec: str) -> pa.Schema:
     """``"doc_id long, text string"`` as an Arrow schema."""
@@ -116,31 +115,6 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Where none is set, a local master gets a temporary
-    one; on a cluster that would be a folder of each machine's own, so it is an error there."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    global _own
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="tessera-shared-")
-    return _own
-
-
-_own: str | None = None
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -1,4 +1,6 @@
+import hashlib
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -127,29 +129,66 @@ def test_long_text_across_slices():
     assert np.bincount(of, minlength=3).tolist() == [1, len(text.split()), 0] and len(np.unique(hashes)) == len(set((text + " x").lower().split()))
 
 
+def spans_of(text):
+    """All spans of the text behind its sentinels."""
+    padded = [None] * (prefix_hash.SPAN - 1) + list(text)
+    return {tuple(padded[i : i + prefix_hash.SPAN]) for i in range(len(text))}
+
+
+def brute_likeness(a, b):
+    """(share of the common prefix, Dice coefficient of the spans)."""
+    if a == b:
+        return 1.0, 1.0
+    if not a or not b:
+        return 0.0, 0.0
+    prefix = len(os.path.commonprefix([a, b]))
+    x, y = spans_of(a), spans_of(b)
+    return 2 * prefix / (len(a) + len(b)), 2 * len(x & y) / (len(x) + len(y))
+
+
 def brute_prefix(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    from xxhash import xxh64_intdigest
+
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (xxh64_intdigest((r[1] or "").encode(), 42) + 2**63) % 2**64))
     out = []
     for k, (i, t) in enumerate(rows):
         t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
         q = len(t) // 4
         edited = t[: len(t) - q] + after[:q]
-        out.append((i, len(t), prefix_hash.fingerprint(t), prefix_hash.fingerprint(edited)))
+        out.append((i, len(t), prefix_hash.fingerprint(t), prefix_hash.fingerprint(edited), hashlib.sha256(edited.encode()).hexdigest(), brute_likeness(t, edited), brute_likeness(t, after)))
     return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("range_bytes", [200, 1 << 20])
 def test_edited_pairs(spark, range_bytes):
-    source = odd_docs(spark)
+    rng = np.random.default_rng(2)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "é😀"]
+    more = [(100 + i, " ".join(rng.choice(words, rng.integers(1, 400)))) for i in range(20)] + [(None, f"null {i}") for i in range(5)]
+    source = odd_docs(spark).select("doc_id", "text", "chunk", "fingerprint").unionByName(docs(spark, more).selectExpr("doc_id", "text", "1 AS chunk", "'z' AS fingerprint"))
     found = prefix_hash.edited_pairs(source, range_bytes=range_bytes).collect()
-    got = sorted(((r["doc_id"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"]) for r in found), key=repr)
-    assert got == brute_prefix([(r["doc_id"], r["text"]) for r in source.collect()])
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in found)
+    names = ("doc_id", "n_chars", "fingerprint", "edited_fingerprint", "edited_sha256", "near_edited", "near_next")
+    got = sorted((tuple(r[c] for c in names) for r in found), key=repr)
+    want = brute_prefix([(r["doc_id"], r["text"]) for r in source.select("doc_id", "text").collect()])
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for mine, brute in zip(got, want, strict=True):
+        for value, (prefix, dice) in zip(mine[5:], brute[5:], strict=True):
+            # never below the exact prefix share, and otherwise what a sample of 64 spans estimates
+            assert prefix - 1e-12 <= value <= 1 and abs(value - max(prefix, dice)) < 0.25
     assert prefix_hash.edited_pairs(source.limit(0)).count() == 0
     alone = prefix_hash.edited_pairs(docs(spark, [(1, "abcd efgh")])).first()
     assert alone["near_next"] == 1.0 and alone["near_edited"] < 1
 
 
+def test_exact_common_prefix():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 15, 16, 17, 500, 5000):
+        a = "".join(rng.choice(list("abé"), n))
+        for k in {0, 1, n // 3, max(n - 1, 0), n}:
+            b = a[:k] + "Z" + a[k + 1 :]
+            for x, y in ((a, b), (a, a[:k]), (a, a)):
+                assert prefix_hash.common_prefix(x, y, prefix_hash.sketch(x), prefix_hash.sketch(y), block=100) == len(os.path.commonprefix([x, y]))
+
+
 def test_prefix_hash_spans_and_extensions():
     text = "abcabcabd" + "é😀" * 5
     h = prefix_hash.PrefixHash(text)
@@ -181,6 +220,40 @@ def corpus(spark, n=400):
     return docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")
 
 
+def brute_quality(rows, labels, width=256, bandwidth=2.0, ridge=1e-2, seed=7, cells=1000):
+    """The classifier in dense form: all features in one matrix, ridge as least squares, isotonic by minima of maxima."""
+    stats = np.array([quality.statistics(t or "") for _, t in rows])
+    mean, scale = stats.mean(0), stats.std(0)
+    rng = np.random.default_rng(seed)
+    w = rng.standard_normal((stats.shape[1], width)) / (bandwidth * math.sqrt(stats.shape[1]))
+    z = np.clip((stats - mean) / np.where(scale > 1e-9, scale, 1), -6, 6)
+    x = np.hstack([np.cos(z @ w + rng.uniform(0, 2 * math.pi, width)) * math.sqrt(2 / width), np.ones((len(z), 1))])
+    use = np.array([i in labels and zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in rows])
+    y = np.array([labels.get(i, 0) for i, _ in rows], float)[use]
+    penalty = np.sqrt(ridge * use.sum() / width) * np.eye(width + 1)[:width]
+    beta = np.linalg.lstsq(np.vstack([x[use], penalty]), np.r_[y, np.zeros(width)], rcond=None)[0]
+    raw = np.clip(x @ beta, -0.5, 1.5)
+    cell = np.floor((raw[use] + 0.5) / 2 * cells)
+    at = np.unique(cell)
+    level, weight = np.array([y[cell == c].mean() for c in at]), np.array([(cell == c).sum() for c in at])
+    mean_of = lambda i, j: np.average(level[i : j + 1], weights=weight[i : j + 1])
+    fitted = np.array([max(min(mean_of(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))])
+    grid = np.r_[-0.5, (at + 0.5) / cells * 2 - 0.5, 1.5]
+    return np.clip(0.999 * np.interp(raw, grid, np.r_[fitted[0], fitted, fitted[-1]]) + 0.001 * (raw + 0.5) / 2, 0, 1)
+
+
+def test_quality_equals_the_dense_form(spark):
+    rng = np.random.default_rng(11)
+    rows, known = [], {}
+    for i in range(150):
+        p = rng.random()
+        rows.append((i, " ".join(rng.choice(["word", "other", "SHOUT!!", "x", "longer-word", "12"], rng.integers(1, 40), p=[p / 2, p / 2, (1 - p) / 2, (1 - p) / 4, (1 - p) / 8, (1 - p) / 8]))))
+        known[i] = int(rng.random() < p)
+    found = {r["doc_id"]: r["score"] for r in quality.classify(docs(spark, rows), spark.createDataFrame(list(known.items()), "doc_id long, quality int")).collect()}
+    want = brute_quality(rows, known)
+    assert np.abs(np.array([found[i] for i, _ in rows]) - want).max() < 1e-6
+
+
 def test_quality_on_held_out_rows(spark):
     source, labels = corpus(spark)
     known = dict(labels.collect())
