@@ -9,21 +9,23 @@ at lengths that grow by a fourth root of two, and the ``size`` least mixed value
 ``span`` code points (a span ends at every code point; before the text stands a run of sentinels,
 so short texts have as many spans as code points).  The likeness of two fingerprints is the larger
 of two shares: the Dice coefficient of the span sets as their least values estimate it, and the
-common prefix that a binary search over the prefix values finds, of the mean length.  It is 1 for
-equal texts, about 3/4 if the last quarter differs, about 0 for unrelated texts.  Two texts of
-which one is empty have likeness 0, two empty ones 1.
+common prefix, of the mean length.  A binary search over the prefix values finds between which two
+lengths the prefix ends; with the texts at hand, a binary search over the prefix arrays of that
+stretch finds its exact end (``common_prefix``).  The likeness is 1 for equal texts, about 3/4 if
+the last quarter differs, about 0 for unrelated texts.  Two texts of which one is empty have
+likeness 0, two empty ones 1.
 
 Texts are read in blocks of ``block`` code points, so memory doesn't grow with a text's length
 beyond the text itself.
 
-``edited_pairs`` meets every document with the next one by doc_id.  Range boundaries are ids of
-the table; each row goes to one range, and the first row of a range also goes to the one before,
-so every pair meets in one pass over one shuffle of the texts and nothing is collected but the
-boundaries.
+``edited_pairs`` meets every document with the next one by doc_id.  Spark deals the ids and hashes
+of the texts into ranges; the least of each is a boundary, ``RANGES`` at most, which is all that is
+collected.  Each row goes to one range, and the first row of a range also goes to the one before,
+so every pair meets in one pass over one shuffle of the texts.
 
-Defined results: a null text counts as empty; a null doc_id comes before all others; of equal
-doc_ids the lesser text comes first; the only document is its own next one; other columns are
-ignored; an empty table gives no rows.
+Defined results: a null text counts as empty; a null doc_id counts as the least long; of equal
+doc_ids the text with the lesser 64-bit hash comes first; the only document is its own next one;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_schema, releasing, small_batches, text_or_empty
@@ -92,11 +94,17 @@ class PrefixHash:
         """Length of the longest common prefix of the texts that start at ``a`` here and ``b`` there."""
         other = other or self
         low, high = 0, min(self.n - a, other.n - b)
+        same = self.alike(other) if a == b == 0 else lambda n: self.equal(a, b, n, other)
         while low < high:
             mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.equal(a, b, mid, other) else (low, mid - 1)
+            low, high = (mid, high) if same(mid) else (low, mid - 1)
         return low
 
+    def alike(self, other: PrefixHash):
+        """Whether prefixes of a length are equal: spans from the start need no shift."""
+        (a, b), (c, d) = self.sums, other.sums
+        return lambda n: a[n] == c[n] and b[n] == d[n]
+
 
 def _mixed(values: np.ndarray) -> np.ndarray:
     x = values * np.uint64(0x9E3779B97F4A7C15)
@@ -140,65 +148,94 @@ def as_string(s: tuple) -> str:
     return "".join(f"{w:08x}" for w in whole) + f"-{n:x}-" + prefixes.astype(">u8").tobytes().hex() + "-" + least.astype(">u8").tobytes().hex()
 
 
-def common_prefix(a: np.ndarray, b: np.ndarray) -> int:
-    """The longest of the sampled lengths up to which two texts agree, by binary search."""
+def agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of the sampled prefixes of two texts agree, by binary search."""
     low, high = 0, min(len(a), len(b))
     while low < high:
         mid = (low + high + 1) // 2
         low, high = (mid, high) if a[mid - 1] == b[mid - 1] else (low, mid - 1)
-    return int(PREFIXES[low - 1]) if low else 0
-
-
-def likeness(a: tuple, b: tuple, size: int = SIZE) -> float:
+    return low
+
+
+def common_prefix(text: str, other: str, a: tuple, b: tuple, block: int = BLOCK) -> int:
+    """Length of the longest common prefix of two texts, given their sketches."""
+    known = agreeing(a[3], b[3])
+    at = int(PREFIXES[known - 1]) if known else 0
+    end = min(len(text), len(other), int(PREFIXES[known]) if known < len(PREFIXES) else len(text))
+    while at < end:
+        stop = min(end, at + block)
+        if stop - at <= 64:  # arrays cost more than they save
+            at += next((i for i, (x, y) in enumerate(zip(text[at:stop], other[at:stop], strict=True)) if x != y), stop - at)
+            break
+        n = PrefixHash(text[at:stop]).common_extension(0, 0, PrefixHash(other[at:stop]))
+        at += n
+        if at < stop:
+            break
+    return at
+
+
+def likeness(a: tuple, b: tuple, size: int = SIZE, prefix: int | None = None) -> float:
     """The Dice coefficient of the span sets, estimated from the ``size`` least values of their
-    union, or the share of the common prefix if that is larger."""
+    union, or the share of the common prefix if that is larger; ``prefix`` is its exact length, if known."""
     if a[:2] == b[:2]:
         return 1.0
     if not a[1] or not b[1]:
         return 0.0
+    if prefix is None:
+        known = agreeing(a[3], b[3])
+        prefix = int(PREFIXES[known - 1]) if known else 0
     least = np.unique(np.concatenate([a[2], b[2]]))[:size]
     jaccard = float(np.isin(least, a[2]).__and__(np.isin(least, b[2])).mean())
-    return max(2 * jaccard / (1 + jaccard), 2 * common_prefix(a[3], b[3]) / (a[1] + b[1]))
+    return max(2 * jaccard / (1 + jaccard), 2 * prefix / (a[1] + b[1]))
 
 
 def fingerprint(text: str, span: int = SPAN, size: int = SIZE) -> str:
     return as_string(sketch(text, span, size))
 
 
+RANGES = 1 << 16
+
+
 def with_next(docs: DataFrame, range_bytes: int = 16 << 20) -> DataFrame:
     """part, ahead, doc_id, text, sorted within partitions: the rows of a range and then, marked
     ``ahead``, what follows its last row."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    volume, nulls, first, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.count(F.lit(1))).first()
-    if not n:
+    rows = rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    least = F.struct("d", "h")
+    volume, first = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.min(least)).first()
+    if first is None:
         return spark.createDataFrame([], "part int, ahead boolean, doc_id long, text string")
-    parts = max(1, -(-volume // range_bytes))
-    steps = [i / parts for i in range(1, parts)]
-    found = rows.agg(F.percentile_approx("doc_id", steps, 10 * parts + 1000)).first()[0] if steps else None
-    bounds = sorted(set(found or []) - ({first} if not nulls else set()))
+    parts = min(max(1, -(-volume // range_bytes)), RANGES)
+    dealt = rows.select("d", "h").repartitionByRange(parts, "d", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(least).alias("b"))
+    bounds = sorted({tuple(r["b"]) for r in dealt.collect()} - {tuple(first)}) if parts > 1 else []  # RANGES at most
     last = len(bounds)
-    part = F.lit(0)
+    part, begins = F.lit(0), F.lit(False)
     if bounds:
         wide = max(1, round(len(bounds) ** 0.5))
-        text = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
-        coarse = F.split(F.lit(",".join(map(str, bounds[::wide]))), ",").cast("array<long>")
-        group = F.greatest(F.size(F.filter(coarse, lambda b: b <= F.col("doc_id"))) - 1, F.lit(0))
-        within = F.size(F.filter(F.slice(text, group * wide + 1, F.lit(wide)), lambda b: b <= F.col("doc_id")))
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(group * wide + within)
-    here = F.struct(part.cast("int").alias("part"), F.lit(False).alias("ahead"))
-    begins = F.col("doc_id").isin(bounds) if bounds else F.lit(False)
-    is_first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == first
+
+        def listed(some: list[tuple[int, int]]) -> Column:
+            d, h = (F.split(F.lit(",".join(str(b[i]) for b in some)), ",").cast("array<long>") for i in (0, 1))
+            return F.arrays_zip(d.alias("d"), h.alias("h"))
+
+        before = lambda b: (b["d"] < F.col("d")) | ((b["d"] == F.col("d")) & (b["h"] <= F.col("h")))
+        every = listed(bounds)
+        group = F.greatest(F.size(F.filter(listed(bounds[::wide]), before)) - 1, F.lit(0))
+        part = group * wide + F.size(F.filter(F.slice(every, group * wide + 1, F.lit(wide)), before))
+        bound = F.get(every, part - 1)
+        begins = F.coalesce((bound["d"] == F.col("d")) & (bound["h"] == F.col("h")), F.lit(False))
+    rows = rows.withColumn("part", part.cast("int"))
     copies = F.array_compact(
         F.array(
-            here,
-            F.when(begins, F.struct((part - 1).cast("int").alias("part"), F.lit(True).alias("ahead"))),
-            F.when(is_first, F.struct(F.lit(last).alias("part"), F.lit(True).alias("ahead"))),
+            F.struct(F.col("part"), F.lit(False).alias("ahead")),
+            F.when(begins, F.struct((F.col("part") - 1).alias("part"), F.lit(True).alias("ahead"))),
+            F.when((F.col("d") == first[0]) & (F.col("h") == first[1]), F.struct(F.lit(last).alias("part"), F.lit(True).alias("ahead"))),
         )
     )
-    dealt = rows.select(F.explode(copies).alias("at"), "doc_id", "text").select("at.part", "at.ahead", "doc_id", "text")
-    return dealt.repartition(max(parts, 1), "part").sortWithinPartitions("part", "ahead", "doc_id", "text")
+    dealt = rows.select(F.explode(copies).alias("at"), "d", "h", "doc_id", "text").select("at.part", "at.ahead", "d", "h", "doc_id", "text")
+    whole = dealt.repartition(max(parts, 1), "part").sortWithinPartitions("part", "ahead", "d", "h", "doc_id", "text")
+    return whole.select("part", "ahead", "doc_id", "text")
 
 
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -213,8 +250,9 @@ def edited_pairs(docs: DataFrame, span: int = SPAN, size: int = SIZE, range_byte
         quarter = len(text) // 4
         edited = text[: len(text) - quarter] + after[:quarter]
         changed = sketch(edited, span, size)
+        kept, ahead = common_prefix(text, edited, own, changed), common_prefix(text, after, own, next_own)
         digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        return doc_id, len(text), digest, as_string(own), as_string(changed), likeness(own, changed, size), likeness(own, next_own, size)
+        return doc_id, len(text), digest, as_string(own), as_string(changed), likeness(own, changed, size, kept), likeness(own, next_own, size, ahead)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, waiting, rows = None, None, []
