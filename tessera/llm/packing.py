@@ -60,7 +60,6 @@ def _cuts() -> np.ndarray:
         table[word, kind] = True
     table[_LETTER, _DIGIT] = table[_DIGIT, _LETTER] = True
     table[_MARK, word] = True  # a quote may start a contraction, so none is cut after it
-    table[_BREAK, word] = True
     return table.ravel()
 
 
@@ -74,6 +73,9 @@ def boundaries(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         ends[latin[np.isin(data[latin], _LATIN)]] = _LETTER
     cut = np.zeros(len(data), bool)
     cut[1:] = _cuts()[ends[:-1] * np.uint8(7) + kind[1:]]
+    # A line break is a match by itself if it is the only white space before a word; of more, the last one is.
+    solid = (ends >= _LETTER) & (ends <= _QUOTE)
+    cut[2:] |= solid[:-2] & (kind[1:-1] == _BREAK) & ((kind[2:] == _LETTER) | (kind[2:] == _DIGIT))
     cut[starts[starts < len(data)]] = True
     return np.flatnonzero(cut)
 

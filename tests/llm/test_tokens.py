@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import zlib
 from collections import Counter, defaultdict
 
@@ -34,7 +35,16 @@ def test_pieces_encode_as_the_whole(text):
     assert enc.decode_bytes(enc.encode_ordinary(text)) == text.encode()
 
 
-@settings(max_examples=300, deadline=None)
+def test_token_ids_of_all_short_strings():
+    """Every string of up to five of the characters that splitting depends on."""
+    texts = ["".join(t) for n in range(6) for t in itertools.product("a1'! \né", repeat=n)]
+    enc = packing.encoder(JSON)
+    whole = [e.ids for e in enc.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    ids, at = packing.token_ids(pa.array(texts), JSON)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == whole
+
+
+@settings(max_examples=1500, deadline=None)
 @given(TEXT)
 def test_token_ids_equal_the_library(text):
     texts = ["", text, "a", text[::-1]]
