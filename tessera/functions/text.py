@@ -17,9 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
-# Fixed formats: the class of a mathematics span and the token that replaces it.
+# The class of a mathematics span, the token that replaces it, and the patterns of a span, a tag,
+# a formula in double dollars and one in single dollars.
 SPAN_CLASS = "math-container"
 OPEN, CLOSE = "[MATH]", "[/MATH]"
+SPAN = r'<span\s+class="math-container"[^>]*>(.*?)</span>'
+TAG = r"<[^>]+>"
+DOUBLE_DOLLARS = r"\$\$([^$]+)\$\$"
+SINGLE_DOLLARS = r"(?<!\$)\$([^$\n]+)\$(?!\$)"
 
 #: What Python's str.strip() and \s take for white space.
 SPACE = r"[\s\x1c-\x1f]"
@@ -42,7 +47,7 @@ def collapse(col: Column) -> Column:
 
 def strip_tags(col: Column) -> Column:
     """Tags become spaces."""
-    return F.regexp_replace(col, "<[^>]+>", " ")
+    return F.regexp_replace(col, TAG, " ")
 
 
 def math_spans(col: Column) -> Column:
@@ -66,8 +71,10 @@ def math_spans(col: Column) -> Column:
 
 def latex_dollars(col: Column) -> Column:
     """``$$x$$``, then single ``$x$`` on one line without neighbouring dollars, become tokens."""
-    kept = f"{OPEN}$1{CLOSE}"
-    return F.regexp_replace(F.regexp_replace(F.coalesce(col, F.lit("")), r"\$\$([^$]+)\$\$", kept), r"(?<!\$)\$([^$\n]+)\$(?!\$)", kept)
+    col = F.coalesce(col, F.lit(""))
+    for pattern in (DOUBLE_DOLLARS, SINGLE_DOLLARS):
+        col = F.regexp_replace(col, pattern, f"{OPEN}$1{CLOSE}")
+    return col
 
 
 def formula_list(col: Column) -> Column:
@@ -80,8 +87,8 @@ def join_parts(*cols: Column) -> Column:
     return strip(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in cols]))
 
 
-_SPAN = re.compile(rf'<span\s+class="{SPAN_CLASS}"[^>]*>(.*?)</span>', re.DOTALL)
-_TAG = re.compile(r"<[^>]+>")
+_SPAN = re.compile(SPAN, re.DOTALL)
+_TAG = re.compile(TAG)
 
 
 def _token(found: re.Match) -> str:
