@@ -32,6 +32,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return matches is not None and len(matches) > 0
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove the file or folder ``path``, if it is there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def listed(spark: SparkSession, path: str) -> list[str]:
     """The files that ``path`` names: itself, those a glob matches, or those in a folder."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -130,12 +130,14 @@ def test_config(tmp_path):
 
 
 def test_streamed_last_write_wins(spark, tmp_path):
-    source, state = tmp_path / "in", str(tmp_path / "state")
-    for i, batch in enumerate(([("a", 1, 0), ("b", 1, 1)], [("a", 2, 2)])):
+    source, state = tmp_path / "in", tmp_path / "state"
+    for batch in ([("a", 1, 0), ("b", 1, 1)], [("a", 2, 2)], [("b", 0, 0), ("c", 3, 3)]):
         spark.createDataFrame(batch, "k string, v int, o int").coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema("k string, v int, o int").parquet(str(source))
-        last_write_wins(stream, ["k"], "v", ["o"], state, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        last_write_wins(stream, ["k"], "v", ["o"], str(state), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert rows(spark.read.parquet(f"{state}/version=1")) == [("a", 2, 2), ("b", 1, 1)]
+    assert rows(spark.read.parquet(f"{state}/version=2")) == [("a", 2, 2), ("b", 1, 1), ("c", 3, 3)]
+    assert not (state / "version=0").exists()
 
 
 def test_commands(spark, tmp_path, capsys):
