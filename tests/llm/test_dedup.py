@@ -158,6 +158,19 @@ def test_near_groups_of_odd_rows(spark):
     assert simhash.near_groups(source.limit(0), 4, 4).count() == 0
 
 
+def test_near_groups_of_one_text_in_a_third_of_all_rows(spark):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(words)) for i in range(300, 600)]
+    rows += [(i, " ".join(words[:i] + ["changed"] + words[i + 1 :])) for i in range(0, 300, 2)]  # near it
+    rows += [(1000 + i, " ".join(f"u{i}.{k}" for k in range(20))) for i in range(300)] + [(2000 + i, None) for i in range(150)]
+    prints = brute_simhash(rows, 4, 4)
+    of = brute_components(prints, 4)
+    least = {c: min(rows[i][0] for i in range(len(rows)) if of[i] == c) for c in set(of)}
+    found = simhash.near_groups(docs(spark, rows).repartition(7), 4, 4).select("doc_id", "fingerprint", "component_id").collect()
+    assert sorted((r[0], as_unsigned(r[1]), r[2]) for r in found) == sorted((rows[i][0], prints[i], least[of[i]]) for i in range(len(rows)))
+    assert sum(r[2] == 2000 for r in found) >= 150 and sum(c == of[0] for c in of) > 400
+
+
 @pytest.mark.parametrize("distance", [4, 7])
 def test_links_connect_what_is_near(spark, distance):
     rng = np.random.default_rng(distance)
@@ -261,6 +274,15 @@ def test_removed_bytes_of_random_overlaps(spark, seed):
     assert table(repeats.removed_bytes(docs(spark, rows), 50, 700)) == brute_repeats(rows, 50)
 
 
+def test_removed_bytes_of_a_passage_in_many_surroundings(spark):
+    """A third of all documents hold one passage, each among its own words, some of them cut short."""
+    rng = np.random.default_rng(9)
+    passage = "".join(rng.choice(list("abcdefgh"), 90))
+    own = lambda: "".join(rng.choice(list("uvwxyz "), 40))
+    rows = [(i, own() + (passage[i % 7 : 90 - i % 5] if i % 3 == 0 else "") + own()) for i in range(600)]
+    assert table(repeats.removed_bytes(docs(spark, rows), 50, 4096)) == brute_repeats(rows, 50)
+
+
 def test_strip_repeats_keeps_whole_characters(spark):
     shared = "é" * 40  # 80 bytes
     rows = [(1, "a" + shared, "x", 5), (2, "b" + shared + "c", "y", 6), (3, None, "z", 0), (4, "b" + shared + "c", "w", 6)]

@@ -5,11 +5,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from helpers import table
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, template, wrapper
+from tessera.llm import chat, queries, template, wrapper
 from tessera.llm.html_tree import blocks, parse
 
 PIECES = st.lists(st.sampled_from(["\\", "<", "s>", "</s>", "[INST]", " [/INST]", "/", "[ROLE]", "<<SYS>>", "a", " ", "[", "]", "[ASST]", "\n", "<</SYS>>", "😀"]), max_size=8).map("".join)
@@ -36,6 +37,23 @@ def test_chat_tables(spark):
     assert chat.digests(source.limit(0)).count() == 0
 
 
+SPOKEN = "conv_id long, turn long, role string, text string"
+TALK = [(7, t, ["user", "assistant"][t % 2], f"turn {t} \\ </s>" * (t % 4)) for t in range(3000)] + [(100 + i, t, ["system", "tool"][t], "hi") for i in range(300) for t in range(2)]
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None)], TALK], ids=["empty", "nulls", "one long conversation"])
+def test_chat_query_and_its_sql(spark, tmp_path, rows):
+    import duckdb
+
+    spark.createDataFrame(rows, SPOKEN).repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    found = queries.op4_chat(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(queries.OP4_SQL).fetchall()
+    assert table(found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")) == sorted(want, key=repr)
+    assert len(want) == 1 + len({r[0] for r in rows})
+
+
 def render(source, **values):
     return "".join(t for t, _ in template.compile_template(source)(values))
 
