@@ -8,94 +8,163 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import materialize
 
 
-def _ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
-    """``rank`` by score, then id, descending; kept up to ``k``, which Spark also applies before the shuffle."""
+def _ranked(scores: DataFrame) -> DataFrame:
+    """``rank`` by score, then id, descending."""
     order = Window.partitionBy("topic_id").orderBy(F.col("score").desc(), F.col("doc_id").desc())
-    found = scores.withColumn("rank", F.row_number().over(order))
-    return found if k is None else found.where(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(order))
 
 
-def _blocked(queries: DataFrame, size: int) -> DataFrame:
-    """block, q, topic_id, embedding: each task's queries in blocks of about ``size`` bytes."""
-    spec = f"block long, q int, topic_id {queries.schema['topic_id'].dataType.simpleString()}, embedding array<double>"
+def blocked(rows: DataFrame, vector: str, size: int) -> DataFrame:
+    """``rows`` written with block and q: each task's rows in blocks of about ``size`` bytes of vectors, q from 0 in each."""
+    kept = rows.where(F.col(vector).isNotNull())
+    spec = T.StructType([T.StructField("block", T.LongType()), T.StructField("q", T.IntegerType()), *kept.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block, place, volume = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            sizes = [8 * n for n in batch["embedding"].value_lengths().to_pylist()]
             blocks, places = [], []
-            for n in sizes:
-                if volume and volume + n > size:
+            for n in batch[vector].value_lengths().to_pylist():
+                if volume and volume + 8 * n > size:
                     block, place, volume = block + 1, 0, 0
                 blocks.append(block)
                 places.append(place)
-                place, volume = place + 1, volume + n
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(places, pa.int32()), batch["topic_id"], batch["embedding"]], names=["block", "q", "topic_id", "embedding"])
+                place, volume = place + 1, volume + 8 * n
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(places, pa.int32()), *batch.columns], names=["block", "q", *batch.schema.names])
 
-    rows = queries.select("topic_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("embedding").isNotNull())
-    return materialize(rows.mapInArrow(run, spec), "search-queries")
+    return materialize(kept.mapInArrow(run, spec), "search-queries")
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 1000, digits: int | None = 6, block_bytes: int = 32 << 20) -> DataFrame:
+def passes(held: DataFrame, vector: str, most_bytes: int, most_rows: int) -> list[list[int]]:
+    """The blocks of ``blocked`` that go together: at most so many bytes of vectors and rows, or one block."""
+    sizes = held.groupBy("block").agg(F.sum(8 * F.size(vector)).alias("bytes"), F.count(F.lit(1)).alias("rows")).orderBy("block").collect()  # a row a block
+    out: list[list[int]] = []
+    volume, rows = most_bytes, 0
+    for row in sizes:
+        if volume + row["bytes"] > most_bytes or rows + row["rows"] > most_rows:
+            out.append([])
+            volume = rows = 0
+        out[-1].append(row["block"])
+        volume, rows = volume + row["bytes"], rows + row["rows"]
+    return out
+
+
+class Running:
+    """The ``k`` best (score, id) of each of ``n`` queries among the rows shown so far, ties by id, descending.
+
+    Rows below a query's k-th best score are turned away at once; the others wait until there are
+    as many as are kept, then one sort merges them, so memory stays within about 2 n k rows.
+    """
+
+    def __init__(self, n: int, k: int, ids: pa.DataType) -> None:
+        self.n, self.k, self.ids = n, k, ids
+        self.edge = np.full(n, -np.inf)
+        self.kept: list[pa.Table] = []
+        self.waiting = 0
+
+    def add(self, scores: np.ndarray, ids: pa.Array) -> None:
+        """A score for each row and query, and the rows' ids."""
+        row, query = np.nonzero(scores >= self.edge)
+        if not len(row):
+            return
+        self.kept.append(pa.table([pa.array(query.astype(np.int32)), pa.array(scores[row, query]), ids.take(pa.array(row))], names=["query", "score", "id"]))
+        self.waiting += len(row)
+        if self.waiting > max(self.n * self.k, 1 << 16):
+            self.merge()
+
+    def merge(self) -> pa.Table:
+        """What is kept, by query and rank."""
+        empty = pa.table([pa.array([], pa.int32()), pa.array([], pa.float64()), pa.array([], self.ids)], names=["query", "score", "id"])
+        whole = pa.concat_tables(self.kept or [empty]).sort_by([("query", "ascending"), ("score", "descending"), ("id", "descending")]).combine_chunks()
+        query = whole["query"].to_numpy()
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        last = np.flatnonzero(rank == self.k - 1)
+        self.edge[query[last]] = whole["score"].to_numpy()[last]
+        self.kept, self.waiting = [whole.filter(pa.array(rank < self.k))], 0
+        return self.kept[0]
+
+
+FAN = 64  # tasks whose results meet first
+
+
+def merged(found: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """``rank`` up to ``k`` within ``keys`` of each task's best rows (column ``task``).
+
+    The results of ``FAN`` tasks are cut to ``k`` before those meet, so no key brings the rows of
+    all tasks into one place; Spark also cuts each task's before either shuffle.
+    """
+    near = Window.partitionBy(*keys, F.floor(F.col("task") / FAN)).orderBy(*order)
+    found = found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    return found.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).drop("task")
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 1000, digits: int | None = 6, block_bytes: int = 32 << 20, state_rows: int = 4 << 20) -> DataFrame:
     """topic_id, doc_id, score, rank: the ``k`` best documents of each query by inner product.
 
     Tasks write ``queries`` (topic_id, embedding) in blocks of at most a quarter of ``block_bytes``;
-    the corpus (doc_id, embedding) is passed over for as many blocks together as fit ``block_bytes``,
-    which is all that the driver holds and broadcasts at a time.  If that takes more than one pass,
-    each one's results are written and its broadcast is dropped before the next.  Each Arrow batch
-    of the corpus is one matrix product of which only the best ``k`` per query leave the task; the
-    ranks are taken over those.  Scores are rounded before ranking, if at all.
+    the corpus (doc_id, embedding) is passed over once for as many blocks together as fit ``block_bytes``
+    and have at most ``state_rows`` / k queries, which is all that the driver holds and broadcasts at a
+    time.  If that takes more than one pass, each one's results are written and its broadcast is
+    dropped before the next.  A task multiplies slices of its rows by the queries' matrix and keeps
+    each query's best ``k`` so far (``Running``), so tasks x k rows a query leave Python, and those
+    meet in a tree (``merged``).  Scores are rounded before ranking, if at all.  Null ids and vectors
+    take no part, nor does a vector whose length isn't the queries'.
     """
-    spec = f"block long, q int, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
-    held = _blocked(queries, max(1, block_bytes // 4))
-    sizes = held.groupBy("block").agg(F.sum(8 * F.size("embedding")).alias("n")).orderBy("block").collect()  # a row a block
-    passes: list[list[int]] = [[]]
-    volume = 0
-    for row in sizes:
-        if volume and volume + row["n"] > block_bytes:
-            passes.append([])
-            volume = 0
-        passes[-1].append(row["block"])
-        volume += row["n"]
-    rows = corpus.select("doc_id", "embedding").where(F.col("embedding").isNotNull())
+    if k < 1:
+        raise ValueError("k must be positive")
+    spec = f"task int, block long, q int, doc_id {corpus.schema['doc_id'].dataType.simpleString()}, score double"
+    held = blocked(queries.select("topic_id", F.col("embedding").cast("array<double>").alias("embedding")), "embedding", max(1, block_bytes // 4))
+    rows = corpus.select("doc_id", "embedding").where(F.col("doc_id").isNotNull() & F.col("embedding").isNotNull())
 
     def search(blocks: list[int]) -> tuple[DataFrame, Broadcast]:
         mine = held.where(F.col("block").isin(blocks))
         found = sorted(mine.select("block", "q", "embedding").collect())
-        shared = corpus.sparkSession.sparkContext.broadcast((np.array([(r[0], r[1]) for r in found], np.int64).reshape(-1, 2), np.array([r[2] for r in found], np.float64).T))
+        sizes = sorted({len(r[2]) for r in found})
+        parts = [(np.array([r[:2] for r in found if len(r[2]) == n], np.int64), np.array([r[2] for r in found if len(r[2]) == n], np.float64).T) for n in sizes]
+        shared = corpus.sparkSession.sparkContext.broadcast(dict(zip(sizes, parts, strict=True)))
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, matrix = shared.value
+            from pyspark import TaskContext
+
+            best: dict[int, Running] = {}
             for batch in batches:
-                if not batch.num_rows or not matrix.size:
-                    continue
-                vectors = np.asarray(batch["embedding"].flatten(), np.float64).reshape(batch.num_rows, -1)
-                scores = vectors @ matrix
-                if digits is not None:
-                    scores = np.round(scores, digits)
-                if batch.num_rows > k:  # ties at the edge all leave the task; the ranks settle them
-                    edge = -np.partition(-scores, k - 1, axis=0)[k - 1]
-                    row, column = np.nonzero(scores >= edge)
-                else:
-                    row, column = np.indices(scores.shape).reshape(2, -1)
-                columns = pa.array(names[column, 0]), pa.array(names[column, 1].astype(np.int32)), batch["doc_id"].take(pa.array(row)), pa.array(scores[row, column])
-                yield pa.RecordBatch.from_arrays(list(columns), names=["block", "q", "doc_id", "score"])
-
-        named = rows.mapInArrow(local, spec).join(F.broadcast(mine.select("block", "q", "topic_id")), ["block", "q"])
-        return _ranked(named, k).select("topic_id", "doc_id", "score", "rank"), shared
-
-    if len(passes) == 1:
-        return search(passes[0])[0]
+                lengths = np.asarray(batch["embedding"].value_lengths())
+                for n, (_, matrix) in shared.value.items():
+                    fit = batch if (lengths == n).all() else batch.filter(pa.array(lengths == n))
+                    if not fit.num_rows:
+                        continue
+                    vectors = np.asarray(fit["embedding"].flatten(), np.float64).reshape(fit.num_rows, n)
+                    running = best.setdefault(n, Running(matrix.shape[1], k, fit.schema.field("doc_id").type))
+                    step = max(1, (1 << 21) // matrix.shape[1])
+                    for at in range(0, len(vectors), step):
+                        scores = vectors[at : at + step] @ matrix
+                        running.add(scores if digits is None else np.round(scores, digits), fit["doc_id"].slice(at, step))
+            task = TaskContext.get().partitionId()
+            for n, running in best.items():
+                names, whole = shared.value[n][0], running.merge()
+                for part in whole.to_batches(max_chunksize=1 << 16):
+                    at = part["query"].to_numpy()
+                    columns = [pa.array(np.full(len(at), task, np.int32)), pa.array(names[at, 0]), pa.array(names[at, 1].astype(np.int32)), part["id"], part["score"]]
+                    yield pa.RecordBatch.from_arrays(columns, names=["task", "block", "q", "doc_id", "score"])
+
+        best = merged(rows.mapInArrow(local, spec), ["block", "q"], [F.col("score").desc(), F.col("doc_id").desc()], k)
+        named = best.join(F.broadcast(mine.select("block", "q", "topic_id")), ["block", "q"])
+        return named.select("topic_id", "doc_id", "score", "rank"), shared
+
+    groups = passes(held, "embedding", block_bytes, max(1, state_rows // k)) or [[]]
+    if len(groups) == 1:
+        return search(groups[0])[0]
     parts = []
-    for blocks in passes:
+    for blocks in groups:
         found, shared = search(blocks)
         parts.append(materialize(found, "search-results"))
         shared.destroy()

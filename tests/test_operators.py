@@ -2,6 +2,7 @@ import math
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,33 @@ def test_top_k(spark, k, block):
     assert rows(found) == brute_top(q, c, k)
 
 
+def test_top_k_of_odd_rows(spark):
+    q = spark.createDataFrame([("t", [1.0, 2.0]), ("u", [1.0]), ("v", None)], "topic_id string, embedding array<double>")
+    c = spark.createDataFrame([("a", [1.0, 1.0]), ("b", [3.0]), (None, [9.0, 9.0]), ("c", None), ("d", [math.nan, 1.0]), ("e", [])], "doc_id string, embedding array<double>")
+    assert rows(retrieval.top_k(q, c, 3)) == [("t", "a", 3.0, 1), ("u", "b", 3.0, 1)]  # unequal lengths never meet, no number no rank
+
+
+@pytest.mark.parametrize("tasks", [1, 130])
+def test_merged_in_a_tree(spark, tasks):
+    df = spark.range(2000).select((F.col("id") % tasks).cast("int").alias("task"), (F.col("id") % 2).alias("q"), F.col("id").alias("doc_id"), (F.col("id") * 7919 % 101).alias("score"))
+    got = retrieval.merged(df, ["q"], [F.col("score").desc(), F.col("doc_id").desc()], 5)
+    want = [(q, d, d * 7919 % 101, n + 1) for q in (0, 1) for n, d in enumerate(sorted(range(q, 2000, 2), key=lambda d: (-(d * 7919 % 101), -d))[:5])]
+    assert rows(got.select("q", "doc_id", "score", "rank")) == sorted(want)
+
+
+@pytest.mark.parametrize("k", [1, 7, 500])
+def test_running_keeps_no_more_than_k_rows_a_query(k):
+    rng = np.random.default_rng(3)
+    scores, ids = rng.integers(0, 50, (3000, 40)).astype(float), [f"d{i}" for i in rng.permutation(3000)]
+    best = retrieval.Running(40, k, pa.string())
+    for at in range(0, 3000, 100):
+        best.add(scores[at : at + 100], pa.array(ids[at : at + 100]))
+        assert best.waiting <= max(40 * k, 1 << 16)
+    got = best.merge().to_pydict()
+    want = [(q, s, d) for q in range(40) for s, d in sorted(zip(scores[:, q], ids, strict=True), reverse=True)[:k]]
+    assert list(zip(got["query"], got["score"], got["id"], strict=True)) == want
+
+
 def test_top_k_without_queries_or_corpus(spark):
     none = spark.createDataFrame([], "topic_id string, embedding array<float>")
     corpus = spark.createDataFrame([("d", [1.0])], "doc_id string, embedding array<float>")
