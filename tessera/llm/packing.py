@@ -168,6 +168,8 @@ def encoder(path: str) -> Encoder:
 
 def token_ids(texts: pa.Array, path: str, memo: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts (no nulls), one after another, and the place of each text's first id."""
+    if not pa.types.is_string(texts.type):  # a session may hand over large or view types
+        texts = texts.cast(pa.string())
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     if not len(texts) or offsets[-1] == offsets[0]:
         return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)

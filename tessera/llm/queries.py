@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, chat, ctw, exact_dedup, hard_negatives, packing, prefix_hash, quality, repeats, simhash, wrapper
+from tessera.llm import byte_bpe, chat, ctw, exact_dedup, hard_negatives, packing, prefix_hash, quality, repeats, simhash, token_files, whitening, wrapper
 from tessera.llm.common import read
+from tessera.session import new_path
 
 
 def _vocabulary(name: str) -> str:
@@ -122,6 +123,16 @@ WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    token_files.write(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), path, end_id=2)
+    return token_files.documents(spark, path).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ctw": op1_ctw,
     "op2_prefix_hash": op2_prefix_hash,
@@ -134,5 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_repeats": op10_repeats,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_whitening": op12_whitening,
+    "op13_token_files": op13_token_files,
 }
 ORACLE_SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op11_hard_negatives": OP11_SQL}
