@@ -225,3 +225,19 @@ def graph_degree(spark, sf_dir):
     tags = rows.select("id", F.posexplode("g.x").alias("node", "tag"))
     edges = rows.select("id", F.explode("g.src").alias("node")).groupBy("id", "node").agg(F.count(F.lit(1)).alias("degree"))
     return tags.join(edges, ["id", "node"])
+
+
+@query("""
+WITH a AS (SELECT p_partkey AS id, p_partkey % 5 AS m, unnest(range(p_partkey % 5 + 1)) AS k FROM part),
+c AS (SELECT *, 2 * ((k + id) % 4) AS c, CAST(coalesce(sum(2 * ((k + id) % 4)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM a),
+l AS (SELECT *, unnest(range(c)) AS j FROM c)
+SELECT id, 0 AS parent, CAST(k + 1 AS INTEGER) AS node, 2 AS tag FROM c
+UNION ALL SELECT id, CAST(k + 1 AS INTEGER), CAST(m + 2 + before + j AS INTEGER), CASE WHEN j % 2 = 0 THEN 1 ELSE 0 END FROM l
+""")
+def tree_shapes(spark, sf_dir):
+    """Edges and tags of trees of different shapes: up to five branches with up to six leaves each."""
+    leaves = "repeat('<ci>x</ci><!-- <ci> --><zz a=\">\"/>', CAST((k + p_partkey) % 4 AS INT))"
+    tree = F.expr(f"concat('<math>', array_join(transform(sequence(0, CAST(p_partkey % 5 AS INT)), k -> concat('<apply>', {leaves}, '</apply>')), ' '), '</math>')")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tree_to_graph()(tree).alias("g"))
+    edges = rows.select("id", "g.x", F.explode(F.arrays_zip("g.src", "g.dst")).alias("e")).select("id", "x", F.col("e.src").alias("parent"), F.col("e.dst").alias("node"))
+    return edges.where("parent < node").select("id", "parent", "node", F.get("x", "node").alias("tag"))

@@ -5,11 +5,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from plain_trees import parse_tree
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.functions.trees import MAX_NODES, VOCABULARY, parse_tree, tree_to_graph, vocabulary_id
+from tessera.functions.trees import MAX_NODES, VOCABULARY, tree_to_graph, vocabulary_id
 
 SPAN = '<span class="math-container">{}</span>'
 CASES = ["$x$", "$$x$$", " $ x $ ", "x", "$", "$$", "$$$", "$a\nb$", "a$b", "", " ", "$$a$", " $x$ ", "\x1cy\x1c"]
@@ -70,15 +71,51 @@ def test_formula_list_and_parts(spark):
     assert [tuple(r) for r in out] == [("[MATH]x[/MATH] [MATH]y[/MATH]", "t"), ("", "u")]
 
 
-def test_trees(spark):
-    ids = {t: i + 1 for i, t in enumerate(VOCABULARY)}
+IDS = {t: i + 1 for i, t in enumerate(VOCABULARY)}
+
+TREES = [
+    None, "", "<a>", "<a/>", "<a", "<", "x", "<a><b/></a>", " <a><b/></a> ", "<a><b></a>", "<a><b></b >  </a>", "<a><b/></a><c/>", "<a/><c/>", "<a><b/></a></c>", "<a><b/></a><c", "<a><b/></a", "junk<a><b/></a>", "<a><b/></a>junk",
+    "<a><b/></a>&", "<a>&nbsp;<b/></a>", "<a>x & y<b/></a>", "<a>&#65;&#x41;&amp;<b/></a>", "<a>&#0;<b/></a>", "<a><b x=1/></a>", "<a><b x='1' x='2'/></a>", "<a><b t='<'/></a>", "<a><b t='>'/></a>", "<a><b x='a:b'/></a>", "<a><1b/></a>", "<a>]]><b/></a>",
+    "<a>\x01<b/></a>", "<a><!-- <c> --><b/></a>", "<a><b/></a><!-- <d/> -->", "<a><!-- -- --><b/></a>", "<a><b/></a><!-- -- -->", "<a><![CDATA[<c>]]><b/></a>", "<a><b/></a><![CDATA[x]]>", "<?xml version='1.0'?><a><b/></a>", "<a><b/></a><?x?>", "<!DOCTYPE a><a><b/></a>",
+    "<m:a><b/></m:a>", "<m:a xmlns:m='u'><m:b/></m:a>", "<a><m:b xmlns:m='u'/><m:c/></a>", "<a><q:cn xmlns:q='v'><b/></q:cn><c><q:x/></c></a>", "<a xmlns:p='u'><p:ci/><b p:x='1'><q:cn xmlns:q='v'><q:x/></q:cn></b></a>", "<a m:x='1'><b/></a>", "<a xmlns:p=''><b/></a>",
+    "<a><xml:b/></a>", "<é><b/></é>", "<math xmlns='http://m'><ci>x</ci><foo/></math>", "<math>" + "<apply><ci/></apply>" * 300 + "</math>", "<a>" * 300 + "</a>" * 300, "<ci>" + "<mn/>" * 3000 + "</ci>",
+]
+
+
+def test_trees_equal_the_parser(spark):
     assert len(VOCABULARY) == 80 and len(set(VOCABULARY)) == 80
-    assert parse_tree("<math xmlns='http://m'><ci>x</ci><foo/></math>", ids) == {"x": [5, 1, 0], "src": [0, 1, 0, 2], "dst": [1, 0, 2, 0], "num_nodes": 3}
-    assert [parse_tree(x, ids) for x in (None, "", "<a>", "<math/>")] == [None] * 4
-    wide = parse_tree("<math>" + "<apply><ci/></apply>" * 300 + "</math>", ids)
+    assert parse_tree("<math xmlns='http://m'><ci>x</ci><foo/></math>", IDS) == {"x": [5, 1, 0], "src": [0, 1, 0, 2], "dst": [1, 0, 2, 0], "num_nodes": 3}
+    wide = parse_tree(TREES[-3], IDS)
     assert wide["num_nodes"] == MAX_NODES and len(wide["src"]) == 2 * (MAX_NODES - 1)
-    rows = spark.createDataFrame([("<math><ci/></math>",), (None,), ("<",)], "v string").select(tree_to_graph()(F.col("v")).alias("g"))
-    assert [r[0] is not None for r in rows.collect()] == [True, False, False]
+    got = column(spark, TREES, tree_to_graph())
+    assert [(t, g and g.asDict()) for t, g in zip(TREES, got, strict=True)] == [(t, parse_tree(t, IDS)) for t in TREES]
+
+
+def random_tree(rng, size):
+    """XML of ``size`` nodes with random shape, names, text, attributes and ways of closing; every tenth is broken."""
+    children, names = {0: []}, rng.choice(["ci", "apply", "zz", "p:cn", "mn"], size)
+    for i in range(1, size):
+        children[i] = []
+        children[int(rng.integers(max(0, i - rng.integers(1, 30)), i))].append(i)
+
+    def shown(i):
+        inner = "".join(shown(c) + str(rng.choice(["", "x &lt; y", "<!-- <ci> -->", " "])) for c in children[i])
+        attributes = str(rng.choice(["", " a='>'", ' b="&amp;"', "\n"]))
+        return f"<{names[i]}{attributes}/>" if not inner and rng.random() < 0.5 else f"<{names[i]}{attributes}>{inner}</{names[i]}>"
+
+    whole = f"<math xmlns:p='u'>{shown(0)}</math>"
+    at = int(rng.integers(0, len(whole)))
+    return whole if rng.random() < 0.9 else whole[:at] + whole[at + int(rng.integers(1, 9)) :]
+
+
+def test_random_trees_equal_the_parser(spark):
+    rng = np.random.default_rng(11)
+    trees = [random_tree(rng, int(n)) for n in rng.integers(1, 60, 250)] + [random_tree(rng, 400) for _ in range(10)]
+    want = [parse_tree(t, IDS) for t in trees]
+    assert 5 < want.count(None) < 40
+    assert [g and g.asDict() for g in column(spark, trees, tree_to_graph())] == want
+    few = column(spark, trees[:50], tree_to_graph(["zz", "cn"], 7))
+    assert [g and g.asDict() for g in few] == [parse_tree(t, {"zz": 1, "cn": 2}, 7) for t in trees[:50]]
 
 
 def test_vocabulary(spark):

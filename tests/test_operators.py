@@ -179,7 +179,9 @@ def dense_attention(encoder, graph):
 
 
 def test_graph_attention_equals_its_dense_form(spark):
-    from tessera.functions.trees import VOCABULARY, parse_tree
+    from plain_trees import parse_tree
+
+    from tessera.functions.trees import VOCABULARY
     from tessera.plans import catalogue, file_queries
 
     path = "/root/testdata/sf0.001"
