@@ -1,21 +1,15 @@
 r"""Text functions: mathematics in HTML and LaTeX, tags, entities, white space.
 
-Mathematics becomes ``[MATH]...[/MATH]``.  Everything but entity decoding is built from JVM
-functions; entities need the HTML5 table of Python's ``html`` module and go through one
-Arrow-batched UDF, which then does the whole conversion in one pass (``html_to_text``).
+Mathematics becomes ``[MATH]...[/MATH]``.  Everything is built from JVM functions; a text without an
+ampersand or a span skips their part.  The names of entities are the HTML5 table of Python's ``html``.
 """
 
 from __future__ import annotations
 
-import html
-import re
-from collections.abc import Iterator
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.functions import pandas_udf
 
 # The class of a mathematics span, the token that replaces it, and the patterns of a span, a tag,
 # a formula in double dollars and one in single dollars.
@@ -50,23 +44,32 @@ def strip_tags(col: Column) -> Column:
     return F.regexp_replace(col, TAG, " ")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(F.struct(value.alias("value"))), lambda s: body(s["value"]))[0]
+
+
+def _token(inner: Column) -> Column:
+    """The text of a span without its dollars, as a token."""
+
+    def without(text: Column) -> Column:
+        between = lambda n: strip(F.substring(text, F.lit(n + 1), F.greatest(F.length(text) - 2 * n, F.lit(0))))
+        marked = lambda m: F.startswith(text, F.lit(m)) & F.endswith(text, F.lit(m))
+        return F.when(marked("$$"), between(2)).when(marked("$"), between(1)).otherwise(text)
+
+    return wrap_math(_let(strip(inner), without))
+
+
 def math_spans(col: Column) -> Column:
-    """``<span class="math-container">$x$</span>`` becomes a token.
+    """``<span class="math-container">$x$</span>`` becomes a token; a span of dollars alone is empty.
 
-    Double dollars are tried before single ones, and a span of dollars alone is empty.  Spans that
-    nest or never close differ from the exact definition, which ``html_to_text`` follows.
+    A span ends at the first ``</span>``; one that never ends stays as it is.
     """
-    head, body, tail = rf'<span\s+class="{SPAN_CLASS}"[^>]*>{SPACE}*', "((?:(?!</span>).)*?)", rf"{SPACE}*</span>"
-    forms = (
-        (rf"\$\${SPACE}*{body}{SPACE}*\$\$", "$1"),
-        (r"\$\$\$?", ""),
-        (rf"\${SPACE}*{body}{SPACE}*\$", "$1"),
-        (r"\$", ""),
-        (body, "$1"),
-    )
-    for inner, kept in forms:
-        col = F.regexp_replace(col, f"(?sU){head}{inner}{tail}", f"{OPEN}{kept}{CLOSE}")
-    return col
+    pattern = f"(?sU){SPAN}"
+    between = F.split(col, pattern, -1)
+    tokens = F.transform(F.regexp_extract_all(col, F.lit(pattern), 1), _token)
+    whole = F.array_join(F.flatten(F.zip_with(between, tokens, lambda b, t: F.array(b, t))), "")
+    return F.when(F.contains(col, F.lit(SPAN_CLASS)), whole).otherwise(col)
 
 
 def latex_dollars(col: Column) -> Column:
@@ -87,36 +90,56 @@ def join_parts(*cols: Column) -> Column:
     return strip(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in cols]))
 
 
-_SPAN = re.compile(SPAN, re.DOTALL)
-_TAG = re.compile(TAG)
+# Character references, as HTML5 reads them.
 
+_REFERENCE = r"^(#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[^\t\n\f <&#;]{1,32};?)"
+_BARE = sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True)  # longer ones are tried first
 
-def _token(found: re.Match) -> str:
-    inner = found[1].strip()
-    for mark in ("$$", "$"):
-        if inner.startswith(mark) and inner.endswith(mark):
-            inner = inner[len(mark) : -len(mark)].strip()
-            break
-    return f"{OPEN}{inner}{CLOSE}"
 
+def _character(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
-def plain_text(source: str | None) -> str:
-    """The exact definition of ``html_to_text`` for one value."""
-    return " ".join(html.unescape(_TAG.sub(" ", _SPAN.sub(_token, source or ""))).split())
 
+def _numbered(code: Column) -> Column:
+    """The character of a code: codes that can't stand for themselves are replaced, others aren't shown.  From 0x80 to
+    0x9F codes mean what they mean in Windows-1252."""
+    windows = [bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)]
+    hidden = code.between(0x1, 0x8) | code.between(0xE, 0x1F) | (code == 0xB) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    return (
+        F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "�")
+        .when(code.between(0x80, 0x9F), F.substring(F.lit("".join(windows)), (code - 0x7F).cast("int"), F.lit(1)))
+        .when(hidden, "")
+        .otherwise(_character(code))
+    )
 
-@pandas_udf(T.StringType())
-def html_to_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """HTML to text: mathematics spans, tags, entities, white space.  Null gives the empty text."""
-    for batch in batches:
-        yield batch.map(plain_text)
 
+def _reference(after: Column) -> Column:
+    """What follows an ampersand, with the reference at its start decoded."""
+    names = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in html5.items())), F.lit("\x01"), F.lit("\x02"))  # folded into one map
+
+    def decoded(name: Column) -> Column:
+        rest = F.substring(after, F.length(name) + 1, F.length(after))
+        hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+        digits = F.ltrim(F.regexp_replace(name, "[#xX;]", ""), F.lit("0"))
+        code = F.when(F.length(digits) > 7, 0x110000).otherwise(F.coalesce(F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("long"), F.lit(0)))
+        bare = F.regexp_extract(name, "^(" + "|".join(_BARE) + ")", 1)
+        named = F.coalesce(F.element_at(names, name), F.when(bare != "", F.concat(F.element_at(names, bare), F.substring(name, F.length(bare) + 1, F.length(name)))), F.concat(F.lit("&"), name))
+        return F.when(name == "", F.concat(F.lit("&"), after)).otherwise(F.concat(F.when(F.startswith(name, F.lit("#")), _let(code, _numbered)).otherwise(named), rest))
+
+    return _let(F.regexp_extract(after, _REFERENCE, 1), decoded)
 
-@pandas_udf(T.StringType())
-def unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Character references decoded once; null stays null."""
-    for batch in batches:
-        yield batch.map(lambda s: s if s is None else html.unescape(s))
+
+def unescape(col: Column) -> Column:
+    """Character references decoded once, as ``html.unescape`` does; null stays null."""
+    parts = F.split(col, "&", -1)
+    whole = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _reference), ""))
+    return F.when(F.contains(col, F.lit("&")), whole).otherwise(col)
+
+
+def html_to_text(col: Column | str) -> Column:
+    """HTML to text: mathematics spans, tags, entities, white space.  Null gives the empty text."""
+    col = F.col(col) if isinstance(col, str) else col
+    return collapse(unescape(strip_tags(math_spans(F.coalesce(col, F.lit(""))))))
 
 
 def strip_html(col: Column) -> Column:

@@ -1,10 +1,8 @@
-import html
+import html.entities
 import re
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from plain_trees import parse_tree
 from pyspark.sql import functions as F
 
@@ -21,22 +19,56 @@ def column(spark, values, fn, name="v"):
     return [r[0] for r in rows.select("i", fn(F.col("v")).alias("o")).orderBy("i").select("o").collect()]
 
 
+def plain_token(found):
+    inner = found[1].strip()
+    for mark in ("$$", "$"):
+        if inner.startswith(mark) and inner.endswith(mark):
+            inner = inner[len(mark) : -len(mark)].strip()
+            break
+    return f"[MATH]{inner}[/MATH]"
+
+
+def plain_text(source):
+    """HTML to text by Python's own functions."""
+    spans = re.sub(r'<span\s+class="math-container"[^>]*>(.*?)</span>', plain_token, source or "", flags=re.DOTALL)
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", " ", spans)).split())
+
+
 def test_math_spans_equal_the_exact_definition(spark):
     sources = [f"a {SPAN.format(c)} b" for c in CASES] + [f'<span  class="math-container" id="q">{c}</span>' for c in CASES]
-    exact = [tx._SPAN.sub(tx._token, s) for s in sources]
+    exact = [re.sub(r'<span\s+class="math-container"[^>]*>(.*?)</span>', plain_token, s, flags=re.DOTALL) for s in sources]
     assert column(spark, sources, tx.math_spans) == exact
+    assert column(spark, [None, "", "no span"], tx.math_spans) == [None, "", "no span"]
 
 
 def test_html_to_text(spark):
-    sources = [SPAN.format("$a &lt; b$") + " &amp;lt; <b>x</b> y", None, "", "<p>a</p><p>b</p>", SPAN.format("$a <i> b$")]
+    sources = [SPAN.format("$a &lt; b$") + " &amp;lt; <b>x</b> y", None, "", "<p>a</p><p>b</p>", SPAN.format("$a <i> b$")]
     assert column(spark, sources, tx.html_to_text) == ["[MATH]a < b[/MATH] &lt; x y", "", "", "a b", "[MATH]a b[/MATH]"]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["$", "$$", "<span class=\"math-container\">", "</span>", "<b>", "&lt;", "&amp;", " ", " ", "x", "<"]), max_size=12))
-def test_plain_text_is_idempotent_on_space(parts):
-    out = tx.plain_text("".join(parts))
-    assert out == out.strip() and not re.search(r"\s\s", out)
+def test_html_to_text_of_random_sources(spark):
+    """Among them spans that nest, overlap or never end."""
+    rng = np.random.default_rng(6)
+    parts = ["$", "$$", '<span class="math-container">', '<span class="math-container" x="1">', "</span>", "<b>", "&lt;", "&amp;", "&", " ", "\n", "\x1c", "\u3000", "x", "<", ">", "é"]
+    sources = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(1500)]
+    assert column(spark, sources, tx.html_to_text) == [plain_text(s) for s in sources]
+
+
+def test_unescape_equals_the_library(spark):
+    rng = np.random.default_rng(7)
+    names, parts = list(html.entities.html5), ["&", "#", "x", "amp", "lt", ";", "not", "in", "1", "65", "a", " ", "\n", "é", "<", "acute"]
+    codes = [*range(0x300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1FFFE, 0x1F600, 0x10FFFF, 0x110000, 10**11, 10**30]
+    sources = [f"&#{c}{e}" for c in codes for e in (";", "")] + [f"&#x{c:X};" for c in codes] + ["&" + n for n in names]
+    sources += ["&" + str(rng.choice(names)) + e for e in ("", ";", "x", " ") for _ in range(200)]
+    sources += ["".join(rng.choice(parts, 10)) for _ in range(1500)] + ["&#000000000065;&#x;&#;&;&&", "&notit; &notinx", "", "no reference"]
+    assert column(spark, sources, tx.unescape) == [html.unescape(s) for s in sources]
+    assert column(spark, [None], tx.unescape) == [None]
+
+
+def test_texts_need_no_python(spark):
+    rows = spark.createDataFrame([("a",)], "v string")
+    for fn in (tx.html_to_text, tx.strip_html):
+        assert "Python" not in rows.select(fn(F.col("v")))._jdf.queryExecution().toString()
 
 
 def test_latex_dollars(spark):
