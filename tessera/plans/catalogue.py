@@ -169,8 +169,8 @@ def qrel_parse_safe(spark, sf_dir):
     grade = F.when(F.col("event_id") % 7 == 0, "x").otherwise((F.col("event_id") % 4).cast("string"))
     whole = F.concat_ws("\t", F.col("user_id").cast("string"), F.lit("0"), (F.col("event_id") % 50).cast("string"), grade)
     short = F.concat_ws("\t", F.col("user_id").cast("string"), F.lit("0"), F.lit("1"))
-    lines = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 11 == 0, short).otherwise(whole).alias("value"), F.lit(0).alias("file_ord"), F.col("event_id").alias("line"))
-    return parse_qrels(lines)
+    lines = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 11 == 0, short).otherwise(whole).alias("value"), F.col("event_id").alias("line"))
+    return parse_qrels(lines, order=("line",))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.ref') AS ref, json_extract_string(props, '$.missing') AS missing FROM events")

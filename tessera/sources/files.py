@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tessera import schemas
 from tessera.functions.text import formula_list, html_to_text, join_parts, latex_dollars, strip
 from tessera.operators.folds import last_by
+from tessera.sources.records import records
 
 # The type codes of posts.
 POST_TYPES = {"question": "1", "answer": "2"}
@@ -69,12 +70,14 @@ def formula_schema() -> T.StructType:
 def formula_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The columns of the formula files at ``path`` and ``shard``, the number in each file's name.
 
-    Quotes are doubled, and may hold tabs and line breaks.  Empty fields are empty texts.
+    Quotes are doubled, and may hold tabs and line breaks.  Empty fields are empty texts.  A large file is
+    read in ranges (``records``).
     """
     need(spark, *([path] if isinstance(path, str) else path))
-    reader = spark.read.schema(schemas.FORMULA_FILE).options(sep="\t", header=True, quote='"', escape='"', multiLine=True, maxCharsPerColumn=-1, enforceSchema=True)
-    rows = reader.csv(path).withColumn("shard", F.regexp_extract(F.input_file_name(), r"(\d+)\.tsv$", 1).cast("int"))
-    return rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in schemas.FORMULA_FILE.names], "shard")
+    options = {"sep": "\t", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+    fields = F.from_csv(F.regexp_replace("record", r"\r\z", ""), schemas.FORMULA_FILE.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options)
+    rows = records(spark, path).select(fields.alias("f"), F.regexp_extract("path", r"(\d+)\.tsv$", 1).try_cast("int").alias("shard"))
+    return rows.select(*[F.coalesce(F.col(f"f.{c}"), F.lit("")).alias(c) for c in schemas.FORMULA_FILE.names], "shard")
 
 
 def posts_xml(spark: SparkSession, path: str, post_type: str | None = "answer", mode: str = "FAILFAST") -> DataFrame:
@@ -107,48 +110,60 @@ def posts(spark: SparkSession, xml_path: str, jsonl_path: str, post_type: str |
     raise MissingInputError(f"{xml_path} or {jsonl_path}")
 
 
+#: Columns of ``in_order``: lines and elements by file, split and place in the split.
+ORDER = ("file_ord", "file", "block", "place")
+
+
+def in_order(parts: list[DataFrame]) -> DataFrame:
+    """Rows of several reads, in that order, with the columns of ``ORDER``; files of one read go by their paths.
+
+    A split is read by one task from its start to its end, so an increasing number is a place in it; Spark
+    packs splits into tasks by size, so that number alone is no order of a folder's or a large file's lines.
+    """
+    where = lambda i: [F.lit(i).alias("file_ord"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")]
+    return reduce(DataFrame.unionByName, [p.select("*", *where(i)) for i, p in enumerate(parts)])
+
+
 def _topic_files(spark: SparkSession, paths: list[str], fields: list[str], tag: str) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("_number", *fields)])
     reader = spark.read.format("xml").options(rowTag=tag, mode="FAILFAST").schema(schema)
-    parts = [reader.load(p).withColumn("file_ord", F.lit(i)).withColumn("row", F.monotonically_increasing_id()) for i, p in enumerate(need(spark, *paths))]
-    return reduce(DataFrame.unionByName, parts).where(F.length(F.coalesce("_number", F.lit(""))) > 0)
+    return in_order([reader.load(p) for p in need(spark, *paths)]).where(F.length(F.coalesce("_number", F.lit(""))) > 0)
 
 
 def text_topics(spark: SparkSession, paths: list[str], tag: str = "Topic") -> DataFrame:
     """topic_id, query: title and question as text; of a repeated number the last one counts."""
     rows = _topic_files(spark, paths, ["Title", "Question"], tag)
     whole = strip(F.concat_ws(" ", html_to_text(F.coalesce("Title", F.lit(""))), html_to_text(F.coalesce("Question", F.lit("")))))
-    texts = rows.select(F.col("_number").alias("topic_id"), latex_dollars(whole).alias("query"), "file_ord", "row").where(F.length("query") > 0)
-    return last_by(texts, ["topic_id"], "query", ["file_ord", "row"])
+    texts = rows.select(F.col("_number").alias("topic_id"), latex_dollars(whole).alias("query"), *ORDER).where(F.length("query") > 0)
+    return last_by(texts, ["topic_id"], "query", list(ORDER))
 
 
 def formula_topics(spark: SparkSession, paths: list[str], tag: str = "Topic") -> DataFrame:
     """topic_id, query: the stripped formula; topics without one are skipped."""
     rows = _topic_files(spark, paths, ["Latex"], tag)
-    texts = rows.select(F.col("_number").alias("topic_id"), strip(F.coalesce("Latex", F.lit(""))).alias("query"), "file_ord", "row").where(F.length("query") > 0)
-    return last_by(texts, ["topic_id"], "query", ["file_ord", "row"])
+    texts = rows.select(F.col("_number").alias("topic_id"), strip(F.coalesce("Latex", F.lit(""))).alias("query"), *ORDER).where(F.length("query") > 0)
+    return last_by(texts, ["topic_id"], "query", list(ORDER))
 
 
-def parse_qrels(lines: DataFrame, on_bad_grade: str = "skip") -> DataFrame:
-    """topic_id, doc_id, grade from ``value``, ``file_ord`` and ``line``.
+def parse_qrels(lines: DataFrame, on_bad_grade: str = "skip", order: tuple[str, ...] = ORDER) -> DataFrame:
+    """topic_id, doc_id, grade from ``value`` and the columns of ``order``.
 
     Lines of fewer than four fields are skipped; a grade that isn't a number is skipped or, with
     ``on_bad_grade="error"``, fails the job.  Of a repeated judgment the last one counts.
     """
     fields = F.split(strip(F.col("value")), "\t")
-    rows = lines.select(fields.alias("f"), "file_ord", "line").where(F.size("f") >= 4)
+    rows = lines.select(fields.alias("f"), *order).where(F.size("f") >= 4)
     number = F.regexp_replace(strip(F.col("f")[3]), "_", "")
     grade = number.try_cast("double") if on_bad_grade == "skip" else number.cast("double")
-    rows = rows.select(F.col("f")[0].alias("topic_id"), F.col("f")[2].alias("doc_id"), grade.alias("grade"), "file_ord", "line")
+    rows = rows.select(F.col("f")[0].alias("topic_id"), F.col("f")[2].alias("doc_id"), grade.alias("grade"), *order)
     if on_bad_grade == "skip":
         rows = rows.where(F.col("grade").isNotNull())
-    return last_by(rows, ["topic_id", "doc_id"], "grade", ["file_ord", "line"])
+    return last_by(rows, ["topic_id", "doc_id"], "grade", list(order))
 
 
 def qrels(spark: SparkSession, paths: list[str], on_bad_grade: str = "skip") -> DataFrame:
-    """Judgments of the files in order; later files and lines win."""
-    parts = [spark.read.text(p, wholetext=False).withColumn("file_ord", F.lit(i)).withColumn("line", F.monotonically_increasing_id()) for i, p in enumerate(need(spark, *paths))]
-    return parse_qrels(reduce(DataFrame.unionByName, parts), on_bad_grade)
+    """Judgments of the files in order; later files and lines win, also those of a folder or a glob."""
+    return parse_qrels(in_order([spark.read.text(p) for p in need(spark, *paths)]), on_bad_grade)
 
 
 def qrel_precedence(paths: list[str]) -> list[str]:

@@ -1,6 +1,8 @@
 import csv
 import json
+from contextlib import contextmanager
 
+import numpy as np
 import pytest
 
 from tessera.__main__ import main
@@ -9,6 +11,7 @@ from tessera.plans.evaluate import Config, ResultCache, cached_summary, evaluate
 from tessera.plans.index_build import build_index
 from tessera.operators.encoders import GraphAttentionEncoder, HashedTokenEncoder
 from tessera.sources.files import MissingInputError, Splits, formula_files, formula_topics, posts, posts_jsonl, posts_xml, qrel_precedence, qrels, text_topics
+from tessera.sources.records import records
 from tessera.streaming.incremental import last_write_wins
 
 HEADER = ["id", "post_id", "thread_id", "type", "comment_id", "old_visual_id", "visual_id", "issue", "formula"]
@@ -38,6 +41,63 @@ def test_formula_files(spark, tmp_path):
         formula_files(spark, f"{tmp_path}/none*")
 
 
+@contextmanager
+def small_splits(spark, size):
+    """Files are read in ranges of ``size`` bytes, several to a task and larger ones first."""
+    conf = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("size", [1 << 20, 700, 90, 23])
+def test_ranges_of_a_file_equal_the_reader(spark, tmp_path, size):
+    rng = np.random.default_rng(size)
+    parts = ["a", "é", '"', "\t", "\n", "\n\n", " ", "\\", "$x$", ","]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(120)]
+    texts[60] = "long\n" * 60  # crosses many of the ranges
+    write_tsv(tmp_path / "3.tsv", [formula(i, t) for i, t in enumerate(texts[:100])])
+    write_tsv(tmp_path / "4.tsv", [formula(i, t) for i, t in enumerate(texts[100:], 100)])
+    (tmp_path / "5.tsv").write_text("\t".join(HEADER) + "\n")
+    (tmp_path / "6.tsv").write_text("")
+    with small_splits(spark, size):
+        found = formula_files(spark, [f"{tmp_path}/{n}.tsv" for n in (3, 4, 5, 6)])
+        if size < 1 << 20:
+            assert found.rdd.getNumPartitions() >= 8
+        assert rows(found.select("shard", "id", "formula")) == sorted([(3 if i < 100 else 4, str(i), t) for i, t in enumerate(texts)], key=str)
+
+
+def test_a_header_that_crosses_ranges_is_no_record(spark, tmp_path):
+    (tmp_path / "1.tsv").write_text('"i\n\nd"\t"' + "x" * 50 + '\ny"\n1\t"a\nb"\n\n2\tc')
+    for size in (1 << 20, 40, 7, 3):
+        with small_splits(spark, size):
+            assert rows(records(spark, f"{tmp_path}/1.tsv").select("record")) == [('1\t"a\nb"',), ("2\tc",)]
+            whole = records(spark, f"{tmp_path}/1.tsv", header=False).select("record")
+            assert rows(whole) == sorted([('"i\n\nd"\t"' + "x" * 50 + '\ny"',), ('1\t"a\nb"',), ("2\tc",)])
+
+
+@pytest.mark.parametrize("size", [1 << 20, 40])
+def test_the_last_line_of_a_folder_wins(spark, tmp_path, size):
+    folder = tmp_path / "year"
+    folder.mkdir()
+    for name, lines in (("a", 3), ("b", 40), ("c", 9)):  # Spark reads the largest file first
+        (folder / name).write_text("".join(f"t{i % 2}\t0\td{i % 3}\t{ord(name) * 100 + i}\n" for i in range(lines)))
+    want = {(f"t{i % 2}", f"d{i % 3}"): 9900.0 + i for i in range(9)}
+    with small_splits(spark, size):
+        assert {(r[0], r[1]): r[2] for r in qrels(spark, [str(folder)]).collect()} == want
+        late = tmp_path / "0"
+        late.write_text("t0\t0\td0\t1\n")
+        assert {(r[0], r[1]): r[2] for r in qrels(spark, [str(folder), str(late)]).collect()} == want | {("t0", "d0"): 1.0}
+        (folder / "a").write_text("<Topics>" + "".join(f'<Topic number="A.{i % 3}"><Latex>a{i}</Latex></Topic>\n' for i in range(20)) + "</Topics>")
+        (folder / "b").write_text('<Topics><Topic number="A.1"><Latex>b</Latex></Topic></Topics>')
+        (folder / "c").write_text("<Topics></Topics>")
+        assert rows(formula_topics(spark, [str(folder)])) == [("A.0", "a18"), ("A.1", "b"), ("A.2", "a17")]
+
+
 def test_index_build_and_increment(spark, tmp_path):
     for family in ("latex", "opt", "slt"):
         write_tsv(tmp_path / family / "1.tsv", [formula(1, " x "), formula(2, "", issue="bad"), formula(3, "y", issue="bad")])
