@@ -80,6 +80,16 @@ class HashedTokenEncoder:
         return list(unit(total / np.maximum(sizes, 1)[:, None]).astype(np.float32))
 
 
+@dataclass
+class TagCountEncoder:
+    """Deterministic stand-in for a graph model: how often each id of the vocabulary occurs, normalised."""
+
+    dimension: int = 81
+
+    def encode(self, values: Sequence[Any]) -> list[np.ndarray | None]:
+        return [None if g is None else unit(np.bincount(g["x"], minlength=self.dimension).astype(np.float64)).astype(np.float32) for g in values]
+
+
 @dataclass
 class GraphAttentionEncoder:
     """Graph attention in numpy: embedded node ids, attention layers with residuals and a layer norm

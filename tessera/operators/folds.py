@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +29,37 @@ def seeded(key: Column | str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), col.cast("string")))
 
 
+FEW = 1 << 16  # rows that are put in order in one place, if a count has shown that there are no more
+
+
 def hash_sample(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    """A uniform sample of ``k`` rows without replacement (all rows if fewer).
+    """A uniform sample of ``k`` rows without replacement (all rows if fewer): the first in the order of a hash.
 
-    Ordering by a hash and keeping the first k is a top-k per partition and a merge of those, not a
-    sort of all rows.
+    Rows are counted by the hash's first four digits, 65,536 counts at most.  All rows below the border, the
+    digits among which the k-th lies, are in; if more than ``FEW`` rows have these, they are counted by four more,
+    and so on.  Only those at the border are put in order, so no task or driver sees ``k`` rows.
     """
-    return rows.withColumn("_h", seeded(key, seed)).orderBy("_h", key).limit(k).drop("_h")
+    if k < 1:
+        return rows.limit(0)
+    whole = F.coalesce(seeded(key, seed), F.lit(""))
+    below, wanted, near = [], k, rows
+    for width in range(4, 33, 4):
+        digits = F.substring(whole, 1, width)
+        counts = sorted((r[0], r[1]) for r in near.groupBy(digits).count().collect())
+        if sum(n for _, n in counts) <= wanted:
+            return reduce(DataFrame.unionByName, below, near)
+        for border, at_border in counts:
+            if at_border >= wanted:
+                break
+            wanted -= at_border
+        below.append(near.where(digits < border))
+        near = near.where(digits == border)
+        if at_border <= FEW:
+            chosen = near.orderBy(seeded(key, seed), key).limit(wanted)
+            break
+    else:  # rows of equal hashes
+        chosen = numbered(near, [seeded(key, seed), F.col(key)], "__n").where(F.col("__n") < wanted).drop("__n")
+    return reduce(DataFrame.unionByName, below, chosen)
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:

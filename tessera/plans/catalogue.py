@@ -277,7 +277,7 @@ def mean_max_pool(spark, sf_dir):
     return pooled.select("label", F.posexplode("pooled").alias("dim", "x")).select("label", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("value"))
 
 
-_METRICS = """
+METRICS = """
 WITH qrels AS ({qrels}), run0 AS ({run}), run AS ({used}),
 j AS (SELECT r.t, r.d, r.rk, coalesce(q.g, 0) AS g FROM run r LEFT JOIN qrels q ON r.t = q.t AND r.d = q.d WHERE r.t IN (SELECT t FROM qrels)),
 p AS (SELECT *, sum(CASE WHEN g >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY t ORDER BY rk) / rk AS prec FROM j),
@@ -289,7 +289,7 @@ m AS (SELECT got.t AS topic_id, CASE WHEN best > 0 THEN dcg / best ELSE 0 END AS
 
 
 def _metrics_sql(select: str, used: str = "SELECT * FROM run0") -> str:
-    return _METRICS.format(qrels=_QRELS, run=_RUN, used=used) + select
+    return METRICS.format(qrels=_QRELS, run=_RUN, used=used) + select
 
 
 @query(_metrics_sql("SELECT topic_id, round(ndcg_10, 6) AS ndcg_10 FROM m"))

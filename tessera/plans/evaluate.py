@@ -86,16 +86,27 @@ def formula_corpus(index: DataFrame, order: list[str], quick: bool = False) -> D
     return hash_sample(rows, "old_visual_id", QUICK_FORMULA, SEED) if quick else rows
 
 
+def resolved(topics: DataFrame, index: DataFrame, order: list[str]) -> DataFrame:
+    """topic_id, graph, status: topics (topic_id, query) resolved to trees by equal LaTeX.
+
+    ``status`` is "resolved", "unreadable" (there is a tree, but none that gives a graph) or "unmatched" (no row of the
+    index has that LaTeX and a tree).
+    """
+    found = first_match(topics.withColumnRenamed("query", "latex"), index, "latex", "opt", order).select("topic_id", tree_to_graph()(F.col("opt")).alias("graph"), F.lit(True).alias("found"))
+    whole = topics.select("topic_id").join(found, "topic_id", "left")
+    status = F.when(F.col("graph").isNotNull(), "resolved").when(F.col("found"), "unreadable").otherwise("unmatched")
+    return whole.select("topic_id", "graph", status.alias("status"))
+
+
 def evaluate_formula(topics: DataFrame, index: DataFrame, qrels: DataFrame, encoder: Encoder, order: list[str], k: int = 1000, quick: bool = False, level: int = 2, prime: bool = False, batch_size: int | None = 512) -> DataFrame:
-    """The same for formulas: topics are resolved to trees by equal LaTeX; unresolved ones aren't scored."""
-    graph = tree_to_graph()
+    """The same for formulas: topics are resolved to trees; those that can't be (``resolved``) aren't scored."""
 
     def encoded(rows: DataFrame, key: str) -> DataFrame:
-        graphs = rows.select(key, graph(F.col("opt")).alias("graph")).where(F.col("graph").isNotNull())
-        return encode_column(graphs, encoder, "graph", [key], batch_size=batch_size)
+        return encode_column(rows.where(F.col("graph").isNotNull()), encoder, "graph", [key], batch_size=batch_size)
 
-    queries = encoded(first_match(topics.withColumnRenamed("query", "latex"), index, "latex", "opt", order), "topic_id")
-    corpus = encoded(formula_corpus(index, order, quick), "old_visual_id").withColumnRenamed("old_visual_id", "doc_id")
+    queries = encoded(resolved(topics, index, order), "topic_id")
+    trees = formula_corpus(index, order, quick).select("old_visual_id", tree_to_graph()(F.col("opt")).alias("graph"))
+    corpus = encoded(trees, "old_visual_id").withColumnRenamed("old_visual_id", "doc_id")
     return search_and_score(queries, corpus, qrels, k, level, prime=prime)
 
 

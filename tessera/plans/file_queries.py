@@ -3,14 +3,17 @@ index build and pair builders on what they wrote, each with its SQL on the table
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.trees import tree_to_graph, valid_mask
 from tessera.operators import pairs
 from tessera.plans import index_build
-from tessera.plans.catalogue import query, table
-from tessera.plans.evaluate import formula_corpus
+from tessera.plans.catalogue import METRICS, query, table
+from tessera.operators.encoders import HashedTokenEncoder, TagCountEncoder
+from tessera.plans.evaluate import evaluate_formula, evaluate_text, formula_corpus, resolved
 from tessera.sources import files
 from tessera.session import new_path
 
@@ -88,7 +91,7 @@ SELECT id, CAST(post_id AS BIGINT) AS post_id, type, old_visual_id, visual_id, t
 def formula_index_build(spark, sf_dir):
     folders, out = _families(formulas(spark, sf_dir)), new_path(spark, "formula-index")
     index_build.build_index(spark, *folders, out)
-    return spark.read.parquet(out).drop("shard")
+    return index_build.read_index(spark, out).drop("shard")
 
 
 @query(f"""
@@ -108,6 +111,20 @@ def formula_index_increment(spark, sf_dir):
     return index_build.build_index(spark, *even, out).groupBy("status").agg(F.sum("n_rows").alias("n_rows"))
 
 
+@query(f"""
+SELECT id, CAST(post_id AS BIGINT) AS post_id, type, old_visual_id, visual_id, trim(latex) AS latex, CASE WHEN NOT flagged THEN opt END AS opt, CASE WHEN NOT flagged THEN opt END AS slt FROM ({_FORMULAS})
+""")
+def formula_index_rebuild(spark, sf_dir):
+    """The families are staged as bucketed tables, and built from these a second time."""
+    folders, out, staged = _families(formulas(spark, sf_dir)), new_path(spark, "formula-index"), f"staged_{uuid.uuid4().hex}"
+    try:
+        index_build.build_index(spark, *folders, out, staged=staged)
+        index_build.build_index(spark, *folders, out, staged=staged, force=True)
+    finally:
+        index_build.unstage(spark, staged)
+    return index_build.read_index(spark, out).drop("shard")
+
+
 @query(f"SELECT old_visual_id, arg_min(opt, id) AS opt FROM ({_FORMULAS}) WHERE NOT flagged GROUP BY 1")
 def formula_corpus_entries(spark, sf_dir):
     rows = formulas(spark, sf_dir)
@@ -241,3 +258,82 @@ def tree_shapes(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tree_to_graph()(tree).alias("g"))
     edges = rows.select("id", "g.x", F.explode(F.arrays_zip("g.src", "g.dst")).alias("e")).select("id", "x", F.col("e.src").alias("parent"), F.col("e.dst").alias("node"))
     return edges.where("parent < node").select("id", "parent", "node", F.get("x", "node").alias("tag"))
+
+
+# Whole evaluations: topics, judgments, encoding, search and measures
+
+_TEXT_JUDGED = "SELECT 'A.' || item_id AS t, doc_id AS d, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE doc_id % 3 END AS g FROM labels JOIN benchmark ON doc_id % 20 = item_id % 20"
+_TEXT_RUN = """
+SELECT t, d, s, row_number() OVER (PARTITION BY t ORDER BY s DESC, d DESC) AS rk FROM (
+  SELECT a.t, b.d, CAST(CAST(coalesce(sum(x.v::DOUBLE * y.v::DOUBLE), 0) AS FLOAT) AS DOUBLE) AS s
+  FROM (SELECT 'A.' || item_id AS t FROM benchmark) a CROSS JOIN (SELECT doc_id AS d FROM documents) b LEFT JOIN queries x ON x.id = a.t LEFT JOIN posts y ON y.id = b.d AND y.dim = x.dim
+  GROUP BY a.t, b.d) QUALIFY rk <= 100
+"""
+
+
+def _hashed(name: str, rows: str) -> str:
+    """Named parts of a query: id, dim, v of the hashed encoding of ``rows`` (id, text) in 64 dimensions."""
+    return f"""
+{name}0 AS ({rows}), {name}1 AS (SELECT id, unnest(string_split_regex(trim(lower(text), chr(32) || chr(9) || chr(10) || chr(13)), '[ \t\n\r]+')) AS token FROM {name}0),
+{name}2 AS (SELECT id, n, CAST('0x' || substr(h, 1 + 4 * k, 4) AS INTEGER) AS x FROM (SELECT id, md5(token) AS h, count(*) AS n FROM {name}1 WHERE token <> '' GROUP BY id, token), generate_series(0, 7) g(k)),
+{name}3 AS (SELECT id, (x // 2) % 64 AS dim, sum(CASE WHEN x % 2 = 1 THEN n ELSE -n END) AS s FROM {name}2 GROUP BY ALL),
+{name} AS (SELECT id, dim, CAST(s / nullif(sqrt(sum(s * s) OVER (PARTITION BY id)), 0) AS FLOAT) AS v FROM {name}3)"""
+
+
+_MEASURES = "SELECT topic_id, round(ndcg_10, 6) AS ndcg_10, round(map_10, 6) AS map_10 FROM m"
+
+
+def _measures(found: DataFrame) -> DataFrame:
+    return found.select("topic_id", *[F.round(c, 6).alias(c) for c in ("ndcg_10", "map_10")])
+
+
+@query(
+    f"WITH {_hashed('queries', f"SELECT 'A.' || item_id AS id, 'Title ' || item_id || ' ' || {_SQUEEZED.format('text')} AS text FROM benchmark")}, {_hashed('posts', 'SELECT doc_id AS id, text FROM documents')},"
+    + METRICS.format(qrels=_TEXT_JUDGED, run=_TEXT_RUN, used="SELECT * FROM run0").strip().removeprefix("WITH")
+    + _MEASURES
+)
+def text_evaluation(spark, sf_dir):
+    """Topics and judgments are read from files; posts are whole documents."""
+    title = F.concat(F.lit("Title "), F.col("item_id").cast("string"))
+    topics = table(spark, sf_dir, "benchmark").select(_number(), title.alias("Title"), _escaped(F.col("text")).alias("Question"))
+    labels = table(spark, sf_dir, "labels").select("doc_id").join(table(spark, sf_dir, "benchmark").select("item_id"), F.col("doc_id") % 20 == F.col("item_id") % 20)
+    grade = F.when(F.col("doc_id") % 3 == 0, 3).otherwise(F.col("doc_id") % 3).cast("string")
+    judged = _text_files(labels, F.concat_ws("\t", F.concat(F.lit("A."), F.col("item_id").cast("string")), F.lit("0"), F.col("doc_id").cast("string"), grade), "qrels")
+    posts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), "text")
+    qrels = files.qrels(spark, [judged]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return _measures(evaluate_text(files.text_topics(spark, [_xml_files(topics, "Topics", "Topic")]), posts, qrels, HashedTokenEncoder(64, max_length=None), k=100, level=2))
+
+
+_FORMULA_QRELS = "SELECT CAST(n_nationkey AS VARCHAR) AS t, 'v' || unnest(range(n_nationkey, 200, 5)) AS d, 1 + n_nationkey % 3 AS g FROM nation"
+_FORMULA_RUN = f"""
+SELECT t, d, s, row_number() OVER (PARTITION BY t ORDER BY s DESC, d DESC) AS rk FROM (
+  SELECT q.t, v.d, CAST((3 * q.one * v.one + q.n * v.n) AS FLOAT)::DOUBLE AS s FROM (
+    SELECT CAST(n_nationkey AS VARCHAR) AS t, CAST(1 / sqrt(3 + post_id * post_id) AS FLOAT)::DOUBLE AS one, CAST(post_id / sqrt(3 + post_id * post_id) AS FLOAT)::DOUBLE AS n
+    FROM nation JOIN ({_FORMULAS}) f ON f.id = n_nationkey + 1 WHERE f.id % 5 <> 0 AND f.id % 11 <> 0) q,
+  (SELECT old_visual_id AS d, CAST(1 / sqrt(3 + p * p) AS FLOAT)::DOUBLE AS one, CAST(p / sqrt(3 + p * p) AS FLOAT)::DOUBLE AS n
+    FROM (SELECT old_visual_id, arg_min(post_id, id) AS p, min(id) AS id FROM ({_FORMULAS}) GROUP BY 1) WHERE id % 11 <> 0) v) QUALIFY rk <= 50
+"""
+
+
+def _formula_topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    index = formulas(spark, sf_dir)
+    keys = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("id"), F.col("n_nationkey").cast("string").alias("topic_id"))
+    return keys.join(index.select("id", F.col("latex").alias("query")), "id").select("topic_id", "query"), index
+
+
+@query(METRICS.format(qrels=_FORMULA_QRELS, run=_FORMULA_RUN, used="SELECT * FROM run0") + _MEASURES)
+def formula_evaluation(spark, sf_dir):
+    topics, index = _formula_topics(spark, sf_dir)
+    judged = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("string").alias("topic_id"),
+        F.explode(F.sequence(F.col("n_nationkey"), F.lit(199), F.lit(5))).alias("d"), (1 + F.col("n_nationkey") % 3).cast("double").alias("grade"),
+    )
+    qrels = judged.select("topic_id", F.concat(F.lit("v"), F.col("d").cast("string")).alias("doc_id"), "grade")
+    return _measures(evaluate_formula(topics, index, qrels, TagCountEncoder(), ["id"], k=50))
+
+
+@query(f"SELECT CASE WHEN id % 5 = 0 THEN 'unmatched' WHEN id % 11 = 0 THEN 'unreadable' ELSE 'resolved' END AS status, count(*) AS n_topics FROM nation JOIN ({_FORMULAS}) ON id = n_nationkey + 1 GROUP BY 1")
+def unresolved_topics(spark, sf_dir):
+    """What became of each topic of a formula evaluation."""
+    topics, index = _formula_topics(spark, sf_dir)
+    return resolved(topics, index, ["id"]).groupBy("status").agg(F.count(F.lit(1)).alias("n_topics"))

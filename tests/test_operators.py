@@ -132,6 +132,72 @@ def test_info_nce(spark):
     assert loss.info_nce(df).first()["loss"] == pytest.approx((ce(s) + ce(s.T)) / 2)
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 100])
+def test_loss_merges_over_blocks(block):
+    rng = np.random.default_rng(2)
+    q, p = rng.standard_normal((2, 9, 4)) * 30  # exponentials of these overflow without a maximum
+    s = q @ p.T / 0.05
+    entropy = lambda m: np.mean([np.logaddexp.reduce(row) - row[i] for i, row in enumerate(m)])
+    assert loss.batch_loss(q, p, 0.05, block) == pytest.approx((entropy(s) + entropy(s.T)) / 2)
+
+
+def test_loss_takes_one_shuffle_and_odd_pairs(spark):
+    df = spark.createDataFrame([(0, 0, [1.0, 0.0], [1.0, 0.0]), (0, 1, None, [1.0, 0.0]), (0, 2, [0.0, 1.0], None), (None, 0, [1.0, 0.0], [0.0, 1.0])], "batch_id int, position int, q array<float>, p array<float>")
+    found = loss.info_nce(df)
+    assert rows(found.na.fill(-1, ["batch_id"])) == [(-1, 1, 0.0), (0, 1, 0.0)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert loss.info_nce(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [1, 7, 1 << 16])
+@pytest.mark.parametrize("k", [0, 1, 50, 299, 300, 301])
+def test_samples_of_any_size(spark, monkeypatch, few, k):
+    monkeypatch.setattr(folds, "FEW", few)
+    df = spark.range(300).select(F.when(F.col("id") > 1, F.col("id") % 150).alias("k"), "id").repartition(3)  # two rows a key, two without one
+    got = [r["k"] for r in folds.hash_sample(df, "k", k).collect()]
+    want = sorted([None, None, *[i % 150 for i in range(2, 300)]], key=lambda v: "" if v is None else __import__("hashlib").md5(f"42:{v}".encode()).hexdigest())[:k]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("pages", [0, 1, 64])
+def test_judged_rows_by_a_filter_of_ids(spark, pages):
+    df = spark.range(20_000).select(F.col("id").alias("k"), F.lit("text").alias("text"))
+    ids = spark.createDataFrame([(7 * i,) for i in range(300)] + [(7,), (None,), (10**9,)], "d long")
+    assert sorted(r["k"] for r in joins.judged_only(df, "k", ids, "d", pages).collect()) == [7 * i for i in range(300)]
+    assert joins.judged_only(df, "k", ids.limit(0), "d", pages).count() == 0
+    if pages == 64:
+        near = joins.maybe_among(df, "k", joins.bloom_pages(ids, "d", pages), pages)
+        assert 300 <= near.count() < 400
+
+
+def test_many_ids_bring_the_filter(spark):
+    df, ids = spark.range(1000).select(F.col("id").alias("k")), spark.range(0, 3000, 3).select(F.col("id").alias("d"))
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    plan = lambda: joins.judged_only(df, "k", ids, "d")._jdf.queryExecution().toString()
+    assert "bitmap_construct_agg" not in plan()
+    spark.conf.set(conf, "1k")
+    try:
+        assert "bitmap_construct_agg" in plan()
+        assert joins.judged_only(df, "k", ids, "d").count() == 334
+    finally:
+        spark.conf.unset(conf)
+
+
+def test_first_match_moves_no_text_of_the_rows(spark):
+    queries = spark.createDataFrame([(1, "x", 0), (2, "y", 0), (3, "", 0), (4, None, 0), (5, "x", 0)], "q int, text string, __x int")
+    index = spark.createDataFrame([("x", "", 0), ("x", "b", 2), ("x", "a", 1), ("y", None, 3), ("", "c", 4), (None, "d", 5)], "text string, v string, o int")
+    found = joins.first_match(queries, index, "text", "v", ["o"])
+    assert rows(found.select("q", "text", "v")) == [(1, "x", "a"), (5, "x", "a")] and found.columns == ["q", "text", "__x", "v"]
+
+
+def test_misaligned_keys(spark):
+    frame = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    bad = lambda **f: {r["id"] for r in joins.misaligned(f, ["id"]).collect()}
+    assert bad(a=frame(1, 2), b=frame(2, 1), c=frame(1, 2)) == set()
+    assert bad(a=frame(1, 2, 2), b=frame(1, 2), c=frame(1, 2, 3)) == {2, 3}
+    assert bad(a=frame(1, 1)) == {1} and bad(a=frame(1), b=frame(2)) == {1, 2}
+
+
 def test_pairs(spark):
     topics = spark.createDataFrame([("t", "x")], "topic_id string, query string")
     qrels = spark.createDataFrame([("t", "1", 1.0), ("t", "2", 0.0), ("t", "3", 2.0), ("s", "1", 3.0)], "topic_id string, doc_id string, grade double")

@@ -8,7 +8,8 @@ import pytest
 from tessera.__main__ import main
 from tessera.operators.joins import MisalignedError
 from tessera.plans.evaluate import Config, ResultCache, cached_summary, evaluate_formula, evaluate_text, summary
-from tessera.plans.index_build import build_index
+from tessera.plans import index_build
+from tessera.plans.index_build import build_index, manifest, read_index, unstage, vacuum
 from tessera.operators.encoders import GraphAttentionEncoder, HashedTokenEncoder
 from tessera.sources.files import MissingInputError, Splits, formula_files, formula_topics, posts, posts_jsonl, posts_xml, qrel_precedence, qrels, text_topics
 from tessera.sources.records import records
@@ -104,7 +105,7 @@ def test_index_build_and_increment(spark, tmp_path):
     paths = [f"{tmp_path}/{f}/*.tsv" for f in ("latex", "opt", "slt")]
     out = str(tmp_path / "index")
     assert rows(build_index(spark, *paths, out)) == [(1, 3, "written")]
-    kept = spark.read.parquet(out).select("id", "latex", "opt", "slt")
+    kept = read_index(spark, out).select("id", "latex", "opt", "slt")
     assert rows(kept) == [(1, "x", "x", "x"), (2, "", None, None), (3, "y", None, None)]
     for family in ("latex", "opt", "slt"):
         write_tsv(tmp_path / family / "2.tsv", [formula(4, "n")])
@@ -116,6 +117,78 @@ def test_index_build_and_increment(spark, tmp_path):
         build_index(spark, *paths, out)
 
 
+def families(tmp_path, shard, ids):
+    for f in index_build.FAMILIES:
+        write_tsv(tmp_path / f / f"{shard}.tsv", [formula(i, f"x{i}") for i in ids])
+    return [f"{tmp_path}/{f}/*.tsv" for f in index_build.FAMILIES]
+
+
+@pytest.mark.parametrize("stop", ["write", "count", "publish"])
+def test_a_build_that_dies_leaves_the_old_index(spark, tmp_path, monkeypatch, stop):
+    out = str(tmp_path / "index")
+    build_index(spark, *families(tmp_path, 1, [1, 2]), out)
+    before, paths = rows(read_index(spark, out)), families(tmp_path, 2, [3])
+    families(tmp_path, 1, [1, 2, 7])
+
+    def dies(*_, **__):
+        raise KeyboardInterrupt
+
+    name = {"write": "exists", "count": "shard_sizes", "publish": "publish"}[stop]  # the first thing after the rows were written, and so on
+    with monkeypatch.context() as patched:
+        patched.setattr(index_build, name, dies)
+        with pytest.raises(KeyboardInterrupt):
+            build_index(spark, *paths, out, force=True)
+    assert rows(read_index(spark, out)) == before and list(manifest(spark, out)) == [1]
+    assert rows(build_index(spark, *paths, out)) == [(1, 2, "skipped"), (2, 1, "written")]
+    vacuum(spark, out)
+    assert len(list((tmp_path / "index").glob("build=*/shard=*"))) == 2 and len(list((tmp_path / "index").glob("manifest-*"))) == 1
+    assert sorted(r["id"] for r in read_index(spark, out).collect()) == [1, 2, 3]
+
+
+def test_of_two_builds_at_a_time_one_fails(spark, tmp_path, monkeypatch):
+    out, paths = str(tmp_path / "index"), families(tmp_path, 1, [1])
+    sizes = index_build.shard_sizes
+
+    def slow(index):
+        monkeypatch.setattr(index_build, "shard_sizes", sizes)
+        build_index(spark, *paths, out)
+        return sizes(index)
+
+    monkeypatch.setattr(index_build, "shard_sizes", slow)
+    with pytest.raises(RuntimeError, match="another build"):
+        build_index(spark, *paths, out)
+    assert read_index(spark, out).count() == 1
+
+
+def test_building_from_staged_families_needs_no_shuffle(spark, tmp_path, monkeypatch):
+    out, paths = str(tmp_path / "index"), families(tmp_path, 1, range(40))
+    build_index(spark, *paths, out, staged="staged_test", buckets=3)
+    plans = []
+    joined = index_build.parallel_join
+
+    def shown(frames, keys, strict):
+        from tessera.operators.joins import misaligned
+
+        index = joined(frames, keys, strict)
+        plans.extend(d._jdf.queryExecution().executedPlan().toString() for d in (index, misaligned(frames, keys)))
+        return index
+
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    try:
+        spark.conf.set(conf, "-1")  # tables of any size
+        monkeypatch.setattr(index_build, "parallel_join", shown)
+        families(tmp_path, 2, range(100, 130))
+        assert rows(build_index(spark, *paths, out, force=True, staged="staged_test", buckets=3)) == [(1, 40, "written"), (2, 30, "written")]
+        assert len(plans) == 2 and not any("Exchange" in p for p in plans) and "SortMergeJoin" in plans[0]
+        write_tsv(tmp_path / "opt" / "3.tsv", [formula(5, "n")])
+        with pytest.raises(MisalignedError):
+            build_index(spark, *paths, out, staged="staged_test", buckets=3)
+    finally:
+        spark.conf.unset(conf)
+        unstage(spark, "staged_test")
+    assert sorted(r["id"] for r in read_index(spark, out).collect()) == [*range(40), *range(100, 130)]
+
+
 POSTS = """<posts>
 <row Id="1" PostTypeId="1" Body="&lt;p&gt;q&lt;/p&gt;" />
 <row Id="2" PostTypeId="2" Body="&lt;p&gt;a &amp;lt; &lt;span class=&quot;math-container&quot;&gt;$x$&lt;/span&gt;&lt;/p&gt;" />
@@ -216,3 +289,13 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["eval-text", *common, "--posts-jsonl", str(lines), "--cache", str(tmp_path / "r.json")], spark) == text
     assert main(["eval-formula", *common, "--index", out], spark)["map_10"] == 1.0
     assert "map_10\t1.0000" in capsys.readouterr().out
+    splits = tmp_path / "splits.json"
+    splits.write_text(json.dumps({"topics": {"dev": [str(topics)]}, "qrels": {"dev": [str(judged)]}}))
+    assert main(["eval-text", "--splits", str(splits), "--split", "dev", "--posts-jsonl", str(lines)], spark) == text
+    with pytest.raises(ValueError, match="split must be"):
+        main(["eval-text", "--splits", str(splits), "--split", "test", "--posts-jsonl", str(lines)], spark)
+    with pytest.raises(ValueError, match="are needed"):
+        main(["eval-text", "--posts-jsonl", str(lines)], spark)
+    topics.write_text('<Topics><Topic number="t"><Latex>x</Latex></Topic><Topic number="u"><Latex>none</Latex></Topic></Topics>')
+    main(["eval-formula", *common, "--index", out], spark)
+    assert "1 topics unmatched, for example u" in capsys.readouterr().err
