@@ -7,8 +7,8 @@ elements.  Every page of the host is aligned with the seed by simple tree matchi
 their labels (name, classes, id, role) do and their parents match, and a dynamic program over two
 nodes' children finds the order-preserving matching with the most nodes.  A matched node takes the
 seed node's place as its name, any other its parent's name and its own label, so the wrapper is the
-seed with all other pages' nodes inserted.  Lists of more than ``CELLS`` pairs of children match the
-k-th of a label with the k-th, as far as that keeps the order.
+seed with all other pages' nodes inserted.  Equal subtrees are matched whole and each pair of shapes once, so
+long lists and deep pages take little more than their size.
 
 What is counted at these names over all pages of a host, in a plain sum that has no order and drops
 nothing, decides what is content:
@@ -26,20 +26,21 @@ on which the region is missing or empty is read by itself, as a host of one page
 
 Defined results: a null page counts as empty and has the empty text; a null or malformed address
 belongs to the host ""; a host of fewer than ``EVIDENCE`` different pages has no template; blocks
-below depth ``DEPTH`` belong to their ancestor there; repeated rows give repeated results; other
+nested deeper than ``DEPTH`` belong to their ancestor there; repeated rows give repeated results; other
 columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import bisect
 import json
 import re
+import sys
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,9 @@ MARKS = frozenset(
 )
 REGION = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2"))
-DEPTH, CELLS, EVIDENCE, SHARE, MASS = 60, 1024, 3, 0.5, 0.8
+EVIDENCE, SHARE, MASS = 3, 0.5, 0.8
+DEPTH = 512  # of nested blocks; as in browsers, deeper ones stand beside each other there
+SMALL, HELD = 1 << 12, 1 << 22  # cells of the dynamic program: up to which lists beat arrays, and that are held at a time
 
 
 def is_marked(element: Element) -> bool:
@@ -95,6 +98,7 @@ class Node:
     label: str
     children: list[Node] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
+    shape: int = -1  # its number in a Matcher
 
     def add(self, child: Node) -> None:
         last = self.children[-1] if self.children else None
@@ -172,70 +176,203 @@ def outline(page: Element) -> Node:
     return root
 
 
+class Matcher:
+    """Simple tree matching of two trees, each pair of shapes once.
+
+    Nodes of equal labels whose children have equal shapes, in order, are of one shape.  Equal shapes match
+    whole.  Children that two nodes' lists have in common at their start or end are matched with each
+    other, which no other matching can better; what is left between goes through the dynamic program, a row
+    at a time.
+    """
+
+    def __init__(self, a: Node, b: Node) -> None:
+        self.ids: dict[tuple, int] = {}
+        self.labels: list[str] = []
+        self.children: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
+        self.bounds: dict[tuple[int, int], int] = {}
+        self.paths: dict[int, dict[int, int]] = {}
+        self.path_ids: dict[tuple[str, int], int] = {}
+        for tree in (a, b):
+            order = [tree]
+            for node in order:  # grows while it is read
+                order += node.children
+            for node in reversed(order):
+                below = tuple([c.shape for c in node.children])
+                node.shape = self.ids.setdefault((node.label, below), len(self.ids))
+                if node.shape == len(self.labels):
+                    self.labels.append(node.label)
+                    self.children.append(below)
+                    self.sizes.append(1 + sum([self.sizes[c] for c in below]))
+
+    def weight(self, x: int, y: int) -> int:
+        """Nodes in the largest matching of two shapes."""
+        if x == y:
+            return self.sizes[x]
+        if self.labels[x] != self.labels[y]:
+            return 0
+        found = self.known.get((x, y))
+        if found is None:
+            xs, ys = self.children[x], self.children[y]
+            start, end = _common(xs, ys)
+            found = 1 + sum([self.sizes[c] for c in (*xs[:start], *xs[len(xs) - end :])])
+            found += self._between(xs[start : len(xs) - end], ys[start : len(ys) - end])
+            self.known[x, y] = found
+        return found
+
+    def _in_step(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> bool:
+        """Whether the lists' labels are the same and all different, so that only equal places can match."""
+        labels = [self.labels[x] for x in xs]
+        return labels == [self.labels[y] for y in ys] and len(set(labels)) == len(labels)
+
+    def _between(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> int:
+        if not xs or not ys:
+            return 0
+        if len(xs) == len(ys) and self._in_step(xs, ys):
+            return sum([self.weight(x, y) for x, y in zip(xs, ys, strict=True)])
+        if len(xs) * len(ys) > SMALL:  # below, arrays cost more than they save
+            return int(deque(self._rows(xs, ys), 1)[0][-1])
+        return self._lazily(xs, ys)[0]
+
+    def _lazily(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> tuple[int, list[tuple[int, int]]]:
+        """Nodes and places of a largest matching of two lists, looking into as few pairs as may be."""
+        table = [[self._bound(x, y) for y in ys] for x in xs]
+        while True:  # until the best matching by what pairs can have at most is one of pairs that are known
+            rows = [[0] * (len(ys) + 1)]
+            for most in table:
+                row, last, new = rows[-1], 0, [0]
+                for j, w in enumerate(most):
+                    best = row[j] + w
+                    if row[j + 1] > best:
+                        best = row[j + 1]
+                    if best > last:
+                        last = best
+                    new.append(last)
+                rows.append(new)
+            i, j, sure, found = len(xs), len(ys), True, []
+            while i and j:
+                here = rows[i][j]
+                if here == rows[i - 1][j]:
+                    i -= 1
+                elif here == rows[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    found.append((i, j))
+                    if (exact := self.weight(xs[i], ys[j])) != table[i][j]:
+                        table[i][j], sure = exact, False
+            if sure:
+                return rows[-1][-1], found[::-1]
+
+    def _bound(self, x: int, y: int) -> int:
+        """At least the weight, and the weight itself once it is known: matched nodes stand below equal labels."""
+        if x == y:
+            return self.sizes[x]
+        if self.labels[x] != self.labels[y]:
+            return 0
+        found = self.known.get((x, y))
+        if found is None:
+            found = self.bounds.get((x, y))
+            if found is None:
+                a, b = self._paths(x), self._paths(y)
+                if len(a) > len(b):
+                    a, b = b, a
+                found = self.bounds[x, y] = sum([min(n, b[p]) for p, n in a.items() if p in b])
+        return found
+
+    def _paths(self, x: int) -> dict[int, int]:
+        """How many nodes of a shape stand below which labels, by number."""
+        found = self.paths.get(x)
+        if found is None:
+            of = self.path_ids
+            found = defaultdict(int)
+            own = self.labels[x]
+            found[of.setdefault((own, -1), len(of))] = 1
+            for c in self.children[x]:
+                for p, n in self._paths(c).items():
+                    found[of.setdefault((own, p), len(of))] += n
+            self.paths[x] = found
+        return found
+
+    def _rows(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> Iterator[np.ndarray]:
+        """For each start of ``xs``, the most nodes that it and each start of ``ys`` can match."""
+        kinds = list(dict.fromkeys(ys))
+        at = {y: i for i, y in enumerate(kinds)}
+        where = np.array([at[y] for y in ys])
+        weights: dict[int, np.ndarray] = {}
+        row = np.zeros(len(ys) + 1, np.int64)
+        for x in xs:
+            if x not in weights:
+                weights[x] = np.array([self.weight(x, y) for y in kinds])
+            row = row.copy()
+            np.maximum(row[1:], row[:-1] + weights[x][where], out=row[1:])
+            np.maximum.accumulate(row, out=row)
+            yield row
+
+    def pairs(self, x: int, y: int) -> list[tuple[int, int]]:
+        """Places of the children that a largest matching of two shapes pairs."""
+        xs, ys = self.children[x], self.children[y]
+        start, end = _common(xs, ys)
+        between = self._pairs(xs[start : len(xs) - end], ys[start : len(ys) - end])
+        return [*((i, i) for i in range(start)), *((start + i, start + j) for i, j in between), *((len(xs) - k, len(ys) - k) for k in range(end, 0, -1))]
+
+    def _pairs(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        if not xs or not ys:
+            return []
+        if len(xs) == len(ys) and self._in_step(xs, ys):
+            return [(i, i) for i in range(len(xs))]
+        if len(xs) * len(ys) <= SMALL:
+            return self._lazily(xs, ys)[1]
+        if len(xs) > 1 and len(xs) * len(ys) > HELD:  # halve the left side, and the right one where both halves match most
+            half = len(xs) // 2
+            before, after = (deque(self._rows(*lists), 1)[0] for lists in ((xs[:half], ys), (xs[half:][::-1], ys[::-1])))
+            cut = int(np.argmax(before + after[::-1]))
+            return [*self._pairs(xs[:half], ys[:cut]), *((half + i, cut + j) for i, j in self._pairs(xs[half:], ys[cut:]))]
+        rows = [np.zeros(len(ys) + 1, np.int64), *self._rows(xs, ys)]
+        out, i, j = [], len(xs), len(ys)
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+        return out[::-1]
+
+
+def _common(xs: tuple[int, ...], ys: tuple[int, ...]) -> tuple[int, int]:
+    """How many first and how many last members two lists have in common."""
+    least = min(len(xs), len(ys))
+    start = next((i for i in range(least) if xs[i] != ys[i]), least)
+    end = next((i for i in range(least - start) if xs[-1 - i] != ys[-1 - i]), least - start)
+    return start, end
+
+
 def matching(a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
     """Size of the largest simple tree matching and the matched pairs among the roots' children."""
-    if a.label != b.label:
-        return 0, []
-    left, right = [c.label for c in a.children], [c.label for c in b.children]
-    n, m = len(left), len(right)
-    if left == right and len(set(left)) == n:  # there is one matching of all children only
-        return 1 + sum(matching(x, y)[0] for x, y in zip(a.children, b.children, strict=True)), [(i, i) for i in range(n)]
-    if n * m > CELLS:
-        pairs = in_turn(left, right)
-        return 1 + len(pairs), pairs
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    weight = [[matching(x, y)[0] for y in b.children] for x in a.children]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + weight[i - 1][j - 1])
-    pairs, i, j = [], n, m
-    while i and j:
-        if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[n][m], pairs[::-1]
-
-
-def in_turn(left: list[str], right: list[str]) -> list[tuple[int, int]]:
-    """The k-th of each label on the left with the k-th on the right: a longest part that keeps the order."""
-    places: dict[str, list[int]] = defaultdict(list)
-    for j, of in enumerate(right):
-        places[of].append(j)
-    turn: dict[str, int] = defaultdict(int)
-    ends: list[int] = []  # least last right place of a rising sequence, by its length
-    at: list[int] = []
-    found: list[tuple[int, int, int]] = []  # (left, right, the pair before it)
-    for i, of in enumerate(left):
-        if turn[of] < len(places[of]):
-            j = places[of][turn[of]]
-            turn[of] += 1
-            k = bisect.bisect_left(ends, j)
-            found.append((i, j, at[k - 1] if k else -1))
-            ends[k : k + 1], at[k : k + 1] = [j], [len(found) - 1]
-    pairs, step = [], at[-1] if at else -1
-    while step >= 0:
-        i, j, step = found[step]
-        pairs.append((i, j))
-    return pairs[::-1]
+    both = Matcher(a, b)
+    return both.weight(a.shape, b.shape), both.pairs(a.shape, b.shape) if a.label == b.label else []
 
 
 def named(seed: Node | None, page: Node) -> Iterator[tuple[str, Node]]:
     """(name, node) of all nodes of a page in page order, as its alignment with the seed names them."""
-
-    def walk(node: Node, twin: Node | None, name: str) -> Iterator[tuple[str, Node]]:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * DEPTH))
+    both = Matcher(seed, page) if seed else None
+    todo: list[tuple[str, Node, Node | None]] = [("0", page, seed if seed and seed.label == page.label else None)]
+    while todo:
+        name, node, twin = todo.pop()
         yield name, node
-        partner = dict((j, i) for i, j in matching(twin, node)[1]) if twin and node.children else {}
-        for j, child in enumerate(node.children):
-            if j in partner:
-                yield from walk(child, twin.children[partner[j]], f"{name}.{partner[j]}")
-            else:
-                yield from walk(child, None, f"{name}/{child.label}")
-
-    return walk(page, seed if seed and seed.label == page.label else None, "0")
+        if not node.children:
+            continue
+        if twin is None:
+            todo += [(f"{name}/{c.label}", c, None) for c in reversed(node.children)]
+            continue
+        partner = {j: i for i, j in both.pairs(twin.shape, node.shape)} if twin.shape != node.shape else None
+        for j in range(len(node.children) - 1, -1, -1):
+            child, i = node.children[j], j if partner is None else partner.get(j)
+            todo.append((f"{name}/{child.label}", child, None) if i is None else (f"{name}.{i}", child, twin.children[i]))
 
 
 def above(name: str) -> str:
@@ -268,17 +405,16 @@ class Seen:
             mass[name] += 0
             inside[name] = inside[parent] or of in REGION
             counts[name] = counts[parent] and (inside[name] or of != "header")
-            total = 0
             for b in node.blocks:
                 own = len(b.text) - b.linked if counts[name] else 0
-                total += own
+                mass[name] += own
                 shown[name, text_hash(b.text)] += own
                 if b.first:
                     labels[name + "^"] = node.label
                     shown[name + "^", text_hash(b.first)] += min(own, len(b.first))
-            while total and name:
-                mass[name] += total
-                name = above(name)
+        for name in reversed(inside):  # parents come before their children
+            if name and (parent := above(name)):
+                mass[parent] += mass[name]
         for name, of in labels.items():
             entry = self.nodes.setdefault(name, [of, 0, 0])
             entry[1] += 1

@@ -1,5 +1,6 @@
 import html
 import os
+import time
 import re
 from collections import Counter
 
@@ -175,13 +176,65 @@ def test_matching_is_the_largest(left, right):
     assert sum("/" not in n for n in names) == largest(a, b)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text("abc", max_size=40), st.text("abc", max_size=40))
-def test_long_lists_match_in_turn(left, right):
-    pairs = wrapper.in_turn(list(left), list(right))
-    assert all(left[i] == right[j] and left[:i].count(left[i]) == right[:j].count(right[j]) for i, j in pairs)
-    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:], strict=False))
-    assert len(wrapper.in_turn(list(left), list(left))) == len(left)
+def most_matched(a, b):
+    """The largest matching by the plain dynamic program over all pairs of nodes."""
+    if a.label != b.label:
+        return 0
+    row = [0] * (len(b.children) + 1)
+    for x in a.children:
+        new = [0]
+        for j, y in enumerate(b.children):
+            new.append(max(row[j + 1], new[j], row[j] + most_matched(x, y)))
+        row = new
+    return 1 + row[-1]
+
+
+def random_page(rng, n):
+    """A nested page of ``n`` containers with leaves of a few kinds."""
+    children = {0: []}
+    for i in range(1, n):
+        children[i] = []
+        children[int(rng.integers(max(0, i - 1 - rng.integers(0, 12)), i))].append(i)
+
+    def shown(i):
+        return f"<{'div' if i % 3 else 'ul'}>" + "".join(f"<{t}>w</{t}>" for t in rng.choice(["p", "h2", "li"], rng.integers(1, 4))) + "".join(map(shown, children[i])) + f"</{'div' if i % 3 else 'ul'}>"
+
+    return shown(0)
+
+
+@pytest.mark.parametrize("small,held", [(1 << 12, 1 << 22), (4, 1 << 22), (4, 6)])
+def test_long_lists_and_random_pages_match_most(monkeypatch, small, held):
+    monkeypatch.setattr(wrapper, "SMALL", small)
+    monkeypatch.setattr(wrapper, "HELD", held)
+    rng = np.random.default_rng(8)
+    blocks = lambda n: "<main>" + "".join(f"<div><h2>t</h2>{'<p>a</p><ul><li>b</li></ul>' * int(rng.integers(0, 4))}{'<pre>c</pre>' if rng.random() < 0.3 else ''}</div>" for _ in range(n)) + "</main>"
+    pages = [(blocks(36), blocks(40)), (blocks(3), blocks(60))] + [(random_page(rng, 25), random_page(rng, 30)) for _ in range(25)]
+    for left, right in pages:
+        a, b = wrapper.outline(parse(left)), wrapper.outline(parse(right))
+        size, pairs = wrapper.matching(a, b)
+        assert size == most_matched(a, b) == sum("/" not in n for n, _ in wrapper.named(a, b))
+        assert all(p < q and r < t for (p, r), (q, t) in zip(pairs, pairs[1:], strict=False))
+
+
+@pytest.mark.parametrize("n,seconds,random", [(3_000, 0.8, False), (30_000, 8, False), (3_000, 4, True)])
+def test_large_nested_pages_match_in_time(n, seconds, random):
+    """Nested lists of items of different lengths, and random ones without two equal parts to speak of; on a slow machine."""
+    rng = np.random.default_rng(n)
+
+    def nested(size, depth):
+        if size <= 3 or depth > 9:
+            return "".join(f"<{t}>w</{t}>" for t in rng.choice(["p", "h2", "pre"], max(1, size)))
+        parts = rng.multinomial(size - 1, rng.dirichlet(np.ones(int(rng.integers(2, 9)))))
+        return "".join(f"<ul><li>{nested(int(k), depth + 1)}</li></ul>" for k in parts if k)
+
+    def lists(size):
+        item = lambda: "<li><p>w</p>" + "".join(f"<ul><li><p>x</p>{'<pre>y</pre>' * (k % 2)}<h2>z</h2></li></ul>" for k in rng.integers(0, 4, int(rng.integers(1, 5)))) + "</li>"
+        return "<ul>" + "".join(item() for _ in range(size // 12)) + "</ul>"
+
+    a, b = (wrapper.outline(parse(f"<div>{nested(n, 0) if random else lists(n)}</div>")) for _ in range(2))
+    began = time.process_time()
+    names = list(wrapper.named(a, b))
+    assert time.process_time() - began < seconds and sum("/" not in x for x, _ in names) > 100
 
 
 def test_template_needs_three_pages_of_a_node():
@@ -250,3 +303,22 @@ def test_induction_finds_the_article_without_names_and_marks(spark):
     with_, without = texts(bare), texts(bare, induced=False)
     assert len(many) > 100 and sum(with_[i] == want[i] for i in many) >= 0.97 * len(many)
     assert sum(without[i] != with_[i] for i in many) > 0
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="the driver's tables aren't here")
+def test_induction_needs_no_list_of_words(spark, monkeypatch):
+    """With no element or word to leave out, menus, footers and the like go because they are a host's template or outside of its region."""
+    monkeypatch.setattr(wrapper, "DROPPED", frozenset(("script", "style", "head", "title")))
+    monkeypatch.setattr(wrapper, "MARKS", frozenset())
+    pages = [(r["page_id"], r["url"].split("/")[2], r["html"]) for r in spark.read.parquet(DATA).collect()]
+    hosts = Counter(h for _, h, _ in pages)
+    of = {h: [p for _, at, p in pages if at == h] for h, n in hosts.items() if n >= 5}
+    right = total = 0
+    for some in of.values():
+        seed, known = whole(some)
+        for p in some:
+            inner = re.search(r"<article>(.*?)</article>", p, re.S)[1]
+            want = "\n\n".join(b for b in (" ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("<br>", " ", x))).split()) for x in re.split("</?(?:p|h1)>", inner)) if b)
+            total += 1
+            right += wrapper.extract(p, seed, known) == want
+    assert total > 50 and right >= 0.9 * total
