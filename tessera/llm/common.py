@@ -11,6 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import materialize, shared_dir  # noqa: F401  (for the operators)
 
@@ -48,6 +49,24 @@ def unpacked_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
+def orderable(kind: T.DataType) -> bool:
+    """Whether Spark can order values of a type: not if there is a map or a variant in it."""
+    if isinstance(kind, T.StructType):
+        return all(orderable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return orderable(kind.elementType)
+    return not isinstance(kind, T.MapType | T.VariantType)
+
+
+def in_order(docs: DataFrame, columns: list[str]) -> Column | None:
+    """What rows are ordered by if their own columns can't be: those that have an order, then the others as text; None if all can be."""
+    hard = [c for c in columns if not orderable(docs.schema[c].dataType)]
+    if not hard:
+        return None
+    easy = [F.col(f"`{c}`") for c in columns if c not in hard]
+    return F.struct(*easy, F.to_json(F.struct(*[F.col(f"`{c}`") for c in hard])))
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Rows that hold whole texts go to Python in batches of at most ``rows``, so a batch stays small."""
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, materialize, text_or_empty
+from tessera.llm.common import in_order, lookup, materialize, text_or_empty
 
 
 def extendible_directory(histogram: dict[int, int], capacity: int, max_depth: int) -> tuple[int, list[int]]:
@@ -94,14 +94,15 @@ class Directory:
         return keyed.withColumn("bucket", bucket_of(F.col("key"), self.depth, self.directory))
 
 
-def build_index(rows: DataFrame, directory: Directory) -> DataFrame:
+def build_index(rows: DataFrame, directory: Directory, top: Column | None = None) -> DataFrame:
     """One row per distinct text of ``rows`` (text, carry): bucket, key, text, top (the largest
-    ``carry``) and group_size."""
+    ``carry``, or another aggregate) and group_size."""
+    top = F.max("carry") if top is None else top
     placed = directory.placed(rows)
     is_hot = F.col("key").isin(directory.hot) if directory.hot else F.lit(False)
 
     def chained(part: DataFrame) -> DataFrame:
-        return part.groupBy("bucket", "key", "text").agg(F.max("carry").alias("top"), F.count(F.lit(1)).alias("group_size"))
+        return part.groupBy("bucket", "key", "text").agg(top.alias("top"), F.count(F.lit(1)).alias("group_size"))
 
     owners = placed.where(~is_hot).repartition(F.col("bucket"))
     return chained(owners).unionByName(chained(placed.where(is_hot)))
@@ -137,7 +138,11 @@ def deduplicate(docs: DataFrame, capacity: int = 4096, max_depth: int = 16) -> D
     """The rows that stay, with the columns of ``docs``; the texts are those of the index itself."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     others = F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0)])
-    rows = docs.select(text_or_empty().alias("text"), F.struct("doc_id", F.col("text").isNotNull().alias("given"), others.alias("others")).alias("carry"))
-    index = materialize(build_index(rows, Directory(rows, capacity, max_depth, None)), "exact-index")
+    given = F.col("text").isNotNull().alias("given")
+    order = in_order(docs, rest)  # of rows equal in doc_id and text the largest by its other columns stays
+    rank = [] if order is None else [F.struct("doc_id", given, order).alias("rank")]
+    rows = docs.select(text_or_empty().alias("text"), F.struct("doc_id", given, others.alias("others")).alias("carry"), *rank)
+    top = F.max_by("carry", "rank") if rank else None
+    index = materialize(build_index(rows, Directory(rows, capacity, max_depth, None), top), "exact-index")
     text = F.when(F.col("top.given"), F.col("text")).alias("text")
     return index.select(*[text if c == "text" else F.col("top.doc_id") if c == "doc_id" else F.col(f"top.others.`{c}`").alias(c) for c in docs.columns])

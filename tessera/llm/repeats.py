@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import lookup, materialize, packed, releasing, small_batches, table_of, text_or_empty, unpacked
 
 ANCHOR = 24
+LONGEST = 128  # lengths round an anchor are kept in a byte
 LAST = 2**63 - 1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -413,6 +414,8 @@ def _whole_characters(raw: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 def removals(docs: DataFrame, least: int = 50, chunk_bytes: int = 12 << 20, keep_texts: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """(one row per distinct text, counts of rows per text hash, number of rows)."""
+    if not ANCHOR <= least <= LONGEST:
+        raise ValueError(f"least must be from {ANCHOR} to {LONGEST} bytes")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("_key", F.xxhash64("text"))
     counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b"))

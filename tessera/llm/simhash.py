@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, lookup, map_batches, materialize, releasing, shrink, text_or_empty
+from tessera.llm.common import components, in_order, lookup, map_batches, materialize, releasing, shrink, text_or_empty
 
 BITS = 64
 
@@ -195,35 +195,6 @@ def near_groups(docs: DataFrame, words: int, distance: int) -> DataFrame:
     return lookup(prints, table, ["fingerprint"], "n", total).drop("n")
 
 
-BINS = 256
-
-
-def sketch(text: str, words: int, seed: int = 42) -> bytes:
-    """The least 16-bit value of the shingles that fall into each of BINS bins; 65535 marks an empty bin."""
-    from xxhash import xxh64_intdigest as digest
-
-    tokens = text.encode("utf-8", "surrogatepass").lower().split()
-    least = np.full(BINS, 0xFFFF, "<u2")
-    for at in range(0, max(len(tokens) - words + 1, min(len(tokens), 1)), 1 << 15):
-        part = tokens[at : at + (1 << 15) + words - 1]
-        n = max(1, len(part) - words + 1)
-        hashes = np.array([digest(b" ".join(part[i : i + words]), seed) for i in range(n)], np.uint64)
-        bins, values = (hashes >> np.uint64(8)) % np.uint64(BINS), ((hashes >> np.uint64(32)) % np.uint64(0xFFFF)).astype("<u2")
-        order = np.argsort(values)[::-1]
-        mine = np.full(BINS, 0xFFFF, "<u2")
-        mine[bins[order].astype(np.int64)] = values[order]  # the least is written last
-        least = np.minimum(least, mine)
-    return least.tobytes()
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of the shingle sets of rows of sketches; 1 for two empty ones."""
-    used = (a != 0xFFFF) | (b != 0xFFFF)
-    same = ((a == b) & used).sum(axis=1)
-    total = used.sum(axis=1)
-    return np.where(total, same / np.maximum(total, 1), 1.0)
-
-
 BANDS, ROWS, COUNTS = 24, 5, 256
 _XOR, _MUL = (np.random.default_rng(42).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(k) for k in (0, 1))
 
@@ -388,7 +359,10 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame
         roots = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))), "near-components").withColumnRenamed("node", "sid")
     rooted = entries.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     stay = rooted.groupBy("root").agg(F.min("first").alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.tid").alias("tid"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    order = in_order(docs, docs.columns)
+    whole = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), *([] if order is None else [order.alias("rank")]))
     kept = whole.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("tid")), "left_semi")
-    once = kept.groupBy("doc_id", "key").agg(F.max("row").alias("row"))  # of rows equal in doc_id and text
+    last = F.max("row") if order is None else F.max_by("row", "rank")
+    once = kept.groupBy("doc_id", "key").agg(last.alias("row"))  # of rows equal in doc_id and text
     return once.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -223,13 +223,6 @@ def test_near_dedup(spark):
     assert simhash.near_dedup(source.limit(0)).count() == 0
 
 
-def test_sketches_estimate_similarity():
-    words = [f"w{i}" for i in range(1000)]
-    a, b = " ".join(words), " ".join(words[:900] + [f"v{i}" for i in range(100)])
-    pair = [np.frombuffer(simhash.sketch(x, 5), "<u2")[None] for x in (a, b)]
-    assert abs(simhash.similarity(*pair)[0] - 896 / 1096) < 0.08 and simhash.similarity(pair[0], pair[0])[0] == 1
-
-
 def brute_repeats(rows, least):
     first: dict[bytes, int] = {}
     rank = lambda i: 2**63 if i is None else i
@@ -388,3 +381,25 @@ def test_near_dedup_checks_texts_of_equal_fingerprints(spark):
     texts.append(texts[1].replace("b50", "changed"))  # near the second, not the first
     assert len({simhash.fingerprint(t, 5) for t in texts}) == 1
     assert kept(spark, texts) == least_of_groups(texts) == {0, 1}
+
+
+def test_columns_that_have_no_order(spark):
+    """Maps can't be compared; the rows that stay are told apart by the other columns, then by the map as text."""
+    rows = [(1, "the same words again and again here", {"a": 1}, 5), (1, "the same words again and again here", {"b": 2}, 5), (1, "the same words again and again here", {"z": 2}, 4), (2, "other words that stand alone in this row", None, None), (None, None, {}, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, rank int").repartition(3)
+    want = [r for r in rows if r[2] not in ({"a": 1}, {"z": 2})]
+    for kept in (exact_dedup.deduplicate(df), simhash.near_dedup(df)):
+        assert kept.columns == df.columns and sorted((tuple(r) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert repeats.strip_repeats(df, least=50).count() == 5
+
+
+@pytest.mark.parametrize("least", [0, 23, 129, 300])
+def test_lengths_that_repeats_cannot_have(spark, least):
+    with pytest.raises(ValueError, match="least must be"):
+        repeats.removed_bytes(docs(spark, [(1, "a")]), least=least)
+
+
+def test_repeats_of_the_longest_length(spark):
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(400))
+    found = {r["doc_id"]: r["n_removed"] for r in repeats.removed_bytes(docs(spark, [(1, text), (2, "x" + text[100:228] + "y"), (3, "w" + text[100:227] + "v")]), least=128).collect()}
+    assert found == {1: 0, 2: 128, 3: 0}
