@@ -100,6 +100,16 @@ def judged_only(rows: DataFrame, key: str, ids: DataFrame, id_column: str, pages
     return rows.join(wanted, F.col(key) == F.col("_id"), "left_semi")
 
 
+def judged_ids(judgments: list[DataFrame], column: str = "doc_id") -> DataFrame:
+    """The ids that any of several sets of judgments names, once each; null is none."""
+    return reduce(DataFrame.unionAll, [j.select(column) for j in judgments]).where(F.col(column).isNotNull()).distinct()
+
+
+def judgment_counts(judgments: DataFrame, grade: str, least: float, column: str = "doc_id") -> DataFrame:
+    """n_rows, n_positive (judged ``least`` or better) and n_ids."""
+    return judgments.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(grade) >= least).alias("n_positive"), F.countDistinct(column).alias("n_ids"))
+
+
 def first_match(queries: DataFrame, rows: DataFrame, on: str, value: str, order: list[str]) -> DataFrame:
     """Each query row with the first non-empty ``value`` among the rows with an equal, non-empty ``on``; queries
     without one are dropped.

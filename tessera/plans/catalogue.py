@@ -128,8 +128,7 @@ def batch_drop_last(spark, sf_dir):
 
 @query("SELECT count(*) AS n_rows, count(*) FILTER (quality >= 1) AS n_positive, count(DISTINCT doc_id) AS n_ids FROM labels")
 def counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels")
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("quality") >= 1).alias("n_positive"), F.countDistinct("doc_id").alias("n_ids"))
+    return joins.judgment_counts(table(spark, sf_dir, "labels"), "quality", 1)
 
 
 # Predicates, parsing and scalar functions
@@ -147,7 +146,8 @@ def judged_semi_join(spark, sf_dir):
 
 @query("SELECT DISTINCT doc_id FROM labels")
 def judged_ids_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "labels").select("doc_id").distinct()
+    rows = table(spark, sf_dir, "labels")
+    return joins.judged_ids([rows.where("quality >= 1"), rows.where("quality < 1 OR quality IS NULL")])
 
 
 @query("SELECT p_partkey, list_aggregate(list_transform(list_filter(string_split(p_name, ' '), lambda x: x <> ''), lambda x: '[MATH]' || x || '[/MATH]'), 'string_agg', ' ') AS formulas FROM part")

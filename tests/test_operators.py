@@ -170,6 +170,13 @@ def test_judged_rows_by_a_filter_of_ids(spark, pages):
         assert 300 <= near.count() < 400
 
 
+def test_ids_and_counts_of_judgments(spark):
+    a = spark.createDataFrame([("t", "1", 2.0), ("t", None, 1.0), ("u", "1", None)], "topic_id string, doc_id string, grade double")
+    b = spark.createDataFrame([("t", "2", 0.0)], a.schema)
+    assert rows(joins.judged_ids([a, b])) == [("1",), ("2",)] and joins.judged_ids([a.limit(0)]).count() == 0
+    assert rows(joins.judgment_counts(a.union(b), "grade", 1.0)) == [(4, 2, 2)]
+
+
 def test_many_ids_bring_the_filter(spark):
     df, ids = spark.range(1000).select(F.col("id").alias("k")), spark.range(0, 3000, 3).select(F.col("id").alias("d"))
     conf = "spark.sql.autoBroadcastJoinThreshold"
