@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -88,6 +89,26 @@ def tree_to_graph(vocabulary: Sequence[str] = VOCABULARY, most: int = MAX_NODES)
     return convert
 
 
+def degrees(src: pa.Array, num_nodes: pa.Array) -> pa.Array:
+    """Each node's number of edges, for the graphs of a batch; none where the graph is null."""
+    sizes = np.asarray(num_nodes.fill_null(0))
+    start = np.cumsum(sizes) - sizes
+    edges = np.asarray(pc.list_value_length(src).fill_null(0))
+    counts = np.bincount(np.asarray(src.flatten()) + np.repeat(start, edges), minlength=int(sizes.sum()))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(counts, pa.int64()))
+
+
+def node_degrees(graph: Column) -> Column:
+    """Of a graph struct, the number of edges of each node in the order of ``x``."""
+
+    @arrow_udf("array<long>")
+    def convert(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for src, num_nodes in batches:
+            yield degrees(src, num_nodes)
+
+    return convert(graph["src"], graph["num_nodes"])
+
+
 def valid_mask(graph: Column) -> Column:
     return graph.isNotNull()
 

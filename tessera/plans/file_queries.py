@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.trees import tree_to_graph, valid_mask
+from tessera.functions.trees import node_degrees, tree_to_graph, valid_mask
 from tessera.operators import pairs
 from tessera.plans import index_build
 from tessera.plans.catalogue import METRICS, query, table
@@ -239,9 +239,8 @@ FROM ({_FORMULAS}), generate_series(0, 60) g(node) WHERE id % 11 <> 0 AND node <
 def graph_degree(spark, sf_dir):
     """Every node's id in the vocabulary and its number of edges."""
     rows = formulas(spark, sf_dir).select("id", tree_to_graph()(F.col("opt")).alias("g")).where(valid_mask(F.col("g")))
-    tags = rows.select("id", F.posexplode("g.x").alias("node", "tag"))
-    edges = rows.select("id", F.explode("g.src").alias("node")).groupBy("id", "node").agg(F.count(F.lit(1)).alias("degree"))
-    return tags.join(edges, ["id", "node"])
+    nodes = rows.select("id", F.posexplode(F.arrays_zip(F.col("g.x").alias("tag"), node_degrees(F.col("g")).alias("degree"))).alias("node", "n"))
+    return nodes.select("id", "node", "n.tag", "n.degree")
 
 
 @query("""

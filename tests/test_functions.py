@@ -1,6 +1,7 @@
 import html.entities
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from plain_trees import parse_tree
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.functions.trees import MAX_NODES, VOCABULARY, tree_to_graph, vocabulary_id
+from tessera.functions.trees import MAX_NODES, VOCABULARY, node_degrees, tree_to_graph, vocabulary_id
+from tessera.plans import catalogue, file_queries
 
 SPAN = '<span class="math-container">{}</span>'
 CASES = ["$x$", "$$x$$", " $ x $ ", "x", "$", "$$", "$$$", "$a\nb$", "a$b", "", " ", "$$a$", " $x$ ", "\x1cy\x1c"]
@@ -162,3 +164,21 @@ def test_vectors(spark):
     assert pooled[1] == pytest.approx([3.0, 4.0]) and pooled[2] == [0.0, 0.0]
     both = {r[0]: r[1] for r in vx.mean_max_pool(rows, ["k"], "v").collect()}
     assert np.allclose(both[1], [1.5, 2.0, 3.0, 4.0])
+
+
+def test_graph_degree_joins_nothing(spark, tmp_path):
+    """Nodes and degrees come from one tree, so rows of one id don't mix and no side can be broadcast."""
+    parts = [(1, "a", "b", "t", 4), (1, "a", "b", "t", 2), (7, "a", "b", "t", 0), (11, "a", "b", "t", 3)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    found = file_queries.graph_degree(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(catalogue.SQL["graph_degree"]).fetchall())
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_node_degrees(spark):
+    g = tree_to_graph()(F.col("t"))
+    rows = spark.createDataFrame([(t,) for t in TREES], "t string").coalesce(1).select(g.alias("g")).select("g", node_degrees(F.col("g")).alias("d")).collect()
+    for r in rows:
+        assert list(r["d"]) == [list(r["g"]["src"]).count(i) for i in range(r["g"]["num_nodes"])] if r["g"] else not r["d"]
