@@ -21,7 +21,7 @@ are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,26 +33,38 @@ from tessera.llm.common import components, in_order, lookup, map_batches, materi
 BITS = 64
 
 
-def fingerprint(text: str, words: int, seed: int = 42) -> int:
-    """Unsigned fingerprint of a text; counts are kept block by block, so memory stays bounded."""
+def shingle_hashes(text: str, words: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """The XXH64 values of a text's shingles in their order, repeats included, in blocks."""
     from xxhash import xxh64_intdigest as digest
 
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        return digest(joined, seed)
+        yield np.array([digest(joined, seed)], np.uint64)
+        return
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     first, last = starts[: len(tokens) - words + 1], ends[words - 1 :]
-    ones = np.zeros(BITS, np.int64)
     for at in range(0, len(first), 1 << 15):
         spans = zip(first[at : at + (1 << 15)].tolist(), last[at : at + (1 << 15)].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(first)).tobytes(), "big")
+        yield np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the values; 0 of none."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in blocks:
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
+def fingerprint(text: str, words: int, seed: int = 42) -> int:
+    """Unsigned fingerprint of a text; counts are kept block by block, so memory stays bounded."""
+    return majority(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -183,14 +195,20 @@ def links(signed: DataFrame, distance: int, small: int = 12) -> DataFrame:
     return dealt.mapInArrow(releasing(lambda batches: shrink(run(batches))), "a long, b long")
 
 
+def rooted(entries: DataFrame, distance: int) -> DataFrame:
+    """``entries`` with ``root``, the least fingerprint (signed) that links connect with the row's own."""
+    linked = links(signatures(entries.select("fingerprint").distinct(), distance), distance)
+    joined = components(linked, "simhash-components").withColumnRenamed("node", "fingerprint")
+    return entries.join(joined, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def near_groups(docs: DataFrame, words: int, distance: int) -> DataFrame:
     """doc_id, fingerprint (signed long), component_id: a row for each row of ``docs``."""
     prints = materialize(fingerprints(docs, words), "simhash-prints")
     entries = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-entries")
-    joined = components(links(signatures(entries, distance), distance), "simhash-components")
-    rooted = entries.join(joined.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = materialize(rooted.join(ids, "root").select("fingerprint", "component_id", "n"), "simhash-table")
+    found = rooted(entries, distance)
+    ids = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    table = materialize(found.join(ids, "root").select("fingerprint", "component_id", "n"), "simhash-table")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return lookup(prints, table, ["fingerprint"], "n", total).drop("n")
 
@@ -199,16 +217,14 @@ BANDS, ROWS, COUNTS = 24, 5, 256
 _XOR, _MUL = (np.random.default_rng(42).integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(k) for k in (0, 1))
 
 
+def distinct(blocks: Iterable[np.ndarray]) -> np.ndarray:
+    parts = [np.unique(x) for x in blocks]
+    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint64)
+
+
 def shingle_set(text: str, words: int, seed: int = 42) -> np.ndarray:
     """The distinct XXH64 values of a text's shingles, ascending."""
-    from xxhash import xxh64_intdigest as digest
-
-    tokens = text.encode("utf-8", "surrogatepass").lower().split()
-    parts = [np.zeros(0, np.uint64)]
-    for at in range(0, max(len(tokens) - words + 1, min(len(tokens), 1)), 1 << 15):
-        part = tokens[at : at + (1 << 15) + words - 1]
-        parts.append(np.unique(np.array([digest(b" ".join(part[i : i + words]), seed) for i in range(max(1, len(part) - words + 1))], np.uint64)))
-    return np.unique(np.concatenate(parts)) if len(parts) > 2 else parts[-1]
+    return distinct(shingle_hashes(text, words, seed))
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -297,23 +313,30 @@ def candidates(banded: DataFrame, least: float, rest: bool) -> DataFrame:
     return dealt.mapInArrow(releasing(run), "a long, b long").distinct()
 
 
-def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8, distance: int = 4) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays.
 
     Texts are linked if the Jaccard similarity of their sets of shingles is at least ``least``.  Equal
-    sets are one entry.  Entries that share a band of min-hashes are compared, by the sets themselves:
-    first the least of each band's group with the others, then all of the group that this leaves in
-    different components.  No pair is set aside for a link that isn't verified.  Of rows equal in
-    doc_id and text the largest by its other columns stays.
+    sets are one entry.  Two indexes say what to compare: the components that fingerprints within
+    ``distance`` bits form, by deletion-variant signatures as in ``near_groups``, which lose no such
+    pair; and bands of min-hashes, for texts as similar whose fingerprints differ in more bits.  In
+    each group of either, entries are compared by the sets themselves: first the least one with the
+    others, then all that this leaves in different components.  No pair is set aside for a link that
+    isn't verified.  Of rows equal in doc_id and text the largest by its other columns stays.
     """
     key = F.xxhash64(text_or_empty())
 
     def run(batch):
         from xxhash import xxh64_intdigest as digest
 
-        sets = [shingle_set(t, words) for t in batch["text"].to_pylist()]
+        sets, prints = [], []
+        for text in batch["text"].to_pylist():
+            blocks = list(shingle_hashes(text, words))
+            prints.append(majority(blocks))
+            sets.append(distinct(blocks))
         sids = np.array([digest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-        return {"doc_id": batch["doc_id"], "tid": batch["tid"], "sid": sids, "n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]}
+        prints = np.array(prints, np.uint64).view(np.int64)
+        return {"doc_id": batch["doc_id"], "tid": batch["tid"], "fingerprint": prints, "sid": sids, "n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]}
 
     def shingled(batch):
         from xxhash import xxh64_intdigest as digest
@@ -341,10 +364,12 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame
         return materialize(both.mapInArrow(releasing(verify), "a long, b long"), "near-links")
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("tid"), text_or_empty().alias("text"))
-    prints = map_batches(rows, run, "doc_id long, tid long, sid long, n int, keys array<long>")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")  # nulls last
+    prints = map_batches(rows, run, "doc_id long, tid long, fingerprint long, sid long, n int, keys array<long>")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid", "fingerprint")  # nulls last
     entries = materialize(prints.groupBy("sid").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-entries")
-    banded = entries.select("sid", "n", F.explode("keys").alias("key"))
+    found = rooted(entries.select("sid", "n", F.col("first.fingerprint").alias("fingerprint")), distance)
+    alike = materialize(found.select("sid", "n", F.xxhash64("root", F.lit("simhash")).alias("key")), "near-prints")
+    banded = entries.select("sid", "n", F.explode("keys").alias("key")).unionByName(alike)
     tested = materialize(candidates(banded.withColumn("root", F.col("sid")), least, False), "near-pairs")
     sets = sets_of(tested.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
     joined = components(verified(tested, sets), "near-components")
@@ -357,8 +382,8 @@ def near_dedup(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame
     more = verified(left, sets)
     if not more.isEmpty():
         roots = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))), "near-components").withColumnRenamed("node", "sid")
-    rooted = entries.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    stay = rooted.groupBy("root").agg(F.min("first").alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.tid").alias("tid"))
+    placed = entries.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    stay = placed.groupBy("root").agg(F.min("first").alias("s")).select(F.col("s.doc_id").alias("id"), F.col("s.tid").alias("tid"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     order = in_order(docs, docs.columns)
     whole = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), *([] if order is None else [order.alias("rank")]))

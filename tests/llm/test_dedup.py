@@ -403,3 +403,18 @@ def test_repeats_of_the_longest_length(spark):
     text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(400))
     found = {r["doc_id"]: r["n_removed"] for r in repeats.removed_bytes(docs(spark, [(1, text), (2, "x" + text[100:228] + "y"), (3, "w" + text[100:227] + "v")]), least=128).collect()}
     assert found == {1: 0, 2: 128, 3: 0}
+
+
+def test_near_dedup_compares_what_signatures_find(spark, monkeypatch):
+    """Without any shared band, fingerprints within 4 bits are still compared, each pair by its own sets."""
+    from xxhash import xxh64_intdigest as digest
+
+    monkeypatch.setattr(simhash, "band_keys", lambda s: (np.uint64(digest(s.tobytes(), 3)) + np.arange(24, dtype=np.uint64)).view(np.int64))
+    words = [f"w{i}" for i in range(600)]
+    near = [" ".join([*words[:k], f"new{k}", *words[k + 1 :]]) for k in (100, 200, 300)]
+    line = " ".join(f"line{i}" for i in range(11)) + " "
+    others = [line * 200 + " ".join(f"{x}{i}" for i in range(120)) for x in "ab"]  # equal fingerprints, but different sets
+    texts = [" ".join(words), *near, *others, others[1].replace("b50", "changed")]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert max((prints[0] ^ p).bit_count() for p in prints[1:4]) <= 4 and len(set(prints[4:])) == 1
+    assert kept(spark, texts) == {0, 4, 5}
