@@ -114,12 +114,11 @@ class Chunk:
             doc_id = LAST if doc_id is None else doc_id
             rows[text] = min(doc_id, rows.get(text, LAST))
         order = sorted(rows.items(), key=lambda r: (r[1], r[0]))
-        self.texts = [t for t, _ in order]
         self.docs = np.array([d for _, d in order], np.int64)
-        self.ends = np.cumsum([len(t) for t in self.texts], dtype=np.int64)
+        self.ends = np.cumsum([len(t) for t, _ in order], dtype=np.int64)
         self.starts = np.r_[0, self.ends[:-1]].astype(np.int64)
         self.n = int(self.ends[-1]) if order else 0
-        self.bytes = np.frombuffer(b"".join(self.texts) + bytes(128), np.uint8)
+        self.bytes = np.frombuffer(b"".join([*(t for t, _ in order), bytes(128)]), np.uint8)
 
     def anchors(self, least: int, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
         """(position, hash) of every anchor."""
@@ -140,7 +139,7 @@ class Chunk:
             highest = _sliding(np.r_[np.zeros(reach - (i0 - low), np.uint64), least_of], reach + 1, np.maximum)
             here = h[i0 - low : i1 - low]
             at = np.flatnonzero((highest == here) & (here > 0))
-            found.append(at + i0)
+            found.append((at + i0).astype(np.int32 if self.n < 2**31 else np.int64))
             hashes.append(here[at])
         return (np.concatenate(found), np.concatenate(hashes)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
@@ -155,13 +154,15 @@ class Anchors:
         position, hashes = chunk.anchors(least)
         order = np.argsort(hashes, kind="stable")
         self.position, hashes = position[order], hashes[order]
-        self.text = chunk.owner(self.position)
+        del position, order
+        self.text = chunk.owner(self.position).astype(np.int32)
         new = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
         begins = np.flatnonzero(new)
-        self.group = np.cumsum(new) - 1
+        self.group = np.cumsum(new, dtype=np.int32) - np.int32(1)
         change = np.r_[False, self.text[1:] != self.text[:-1]][: len(hashes)] & ~new
         several = np.logical_or.reduceat(change, begins) if len(begins) else np.zeros(0, bool)
         distinct = hashes[begins]
+        del hashes, new, change
         self.code = ((distinct >> np.uint64(32)) % np.uint64(owners)) << np.uint64(32) | (distinct & np.uint64(0xFFFFFFFF))
         self.order = np.argsort(self.code, kind="stable")
         self.several = several
@@ -224,7 +225,7 @@ def _send_snippets(least: int, owners: int):
         rows = []
         for o in np.unique(owner).tolist():
             mine = np.flatnonzero(owner == o)
-            p, t = position[mine], text[mine]
+            p, t = position[mine].astype(np.int64), text[mine]
             left = np.minimum(p - chunk.starts[t], reach).astype(np.uint8)
             right = np.minimum(chunk.ends[t] - p, least).astype(np.uint8)
             content = np.lib.stride_tricks.sliding_window_view(padded, wide)[p].copy()
@@ -314,56 +315,80 @@ def _coverage(content: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.
     return which[use][hit], start[use][hit], (start[use] + best)[hit]
 
 
-def _answer_snippets(least: int):
+def _covered(full: np.ndarray, which: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(occurrence, first, last): what of each occurrence is covered.
+
+    ``full`` holds contents, their reach to the left and right in front; ``which`` and ``doc`` are the
+    occurrences' contents and documents.  All contents around an anchor must be there.
+    """
+    reach = least - ANCHOR
+    _, first, inverse = np.unique(full.view(f"V{full.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    full, which = full[first], inverse[which]
+    least_doc = np.full(len(full), LAST, np.int64)
+    np.minimum.at(least_doc, which, doc)
+    left, right, content = full[:, 0], full[:, 1], full[:, 2:]
+    # An occurrence in a larger document than its content's least is a repeat as a whole.
+    copy = (doc > least_doc[which]) & (left[which].astype(np.int64) + right[which] >= least)
+    out_at = [np.flatnonzero(copy)]
+    out_first = [(reach - left[which].astype(np.int64))[copy]]
+    out_last = [(reach + right[which].astype(np.int64))[copy]]
+    # The rest shares strings with other contents around the same anchor.
+    _, group, counts = np.unique(_anchors_of(full, reach), return_inverse=True, return_counts=True)
+    mixed = np.flatnonzero(counts[group] > 1)
+    hit, a, b = _coverage(content[mixed], left[mixed], right[mixed], least_doc[mixed], group[mixed], least)
+    hit = mixed[hit]
+    # Each occurrence of a content in its least document gets all of the content's parts.
+    own = np.flatnonzero(~copy)
+    own = own[np.argsort(which[own], kind="stable")]
+    begin, end = np.searchsorted(which[own], hit, side="left"), np.searchsorted(which[own], hit, side="right")
+    n = end - begin
+    part = np.repeat(np.arange(len(hit)), n)
+    occurrence = own[np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n) + begin[part]] if len(part) else np.zeros(0, np.int64)
+    return np.concatenate([*out_at, occurrence]), np.concatenate([*out_first, a[part]]), np.concatenate([*out_last, b[part]])
+
+
+def _anchors_of(full: np.ndarray, reach: int) -> np.ndarray:
+    anchor = np.ascontiguousarray(full[:, 2 + reach : 2 + reach + ANCHOR]).view("<u8")
+    return _anchor_hash(anchor[:, 0].copy(), anchor[:, 1].copy(), anchor[:, 2].copy())
+
+
+def _answer_snippets(least: int, part_bytes: int = 4 << 20):
+    """The contents are compared by parts of about ``part_bytes``; one anchor's are in one part."""
     reach = least - ANCHOR
     wide = least + reach
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        contents, reaches, which, positions, docs, sizes, base = [], [], [], [], [], [], 0
-        for r, c, w, p, d in zip(*(table[c].to_pylist() for c in ("reach", "content", "which", "position", "doc")), strict=True):
-            reaches.append(unpacked(r, np.uint8).reshape(-1, 2))
-            contents.append(unpacked(c, np.uint8).reshape(-1, wide))
-            which.append(unpacked(w, "<u4").astype(np.int64) + base)
-            positions.append(np.cumsum(unpacked(p, "<u4"), dtype=np.int64))
-            docs.append(unpacked(d, np.int64))
+        fulls, which, positions, docs, sizes, base = [], [], [], [], [], 0
+        for r, c, w, p, d in zip(*(table[c] for c in ("reach", "content", "which", "position", "doc")), strict=True):
+            fulls.append(np.hstack([unpacked(r.as_py(), np.uint8).reshape(-1, 2), unpacked(c.as_py(), np.uint8).reshape(-1, wide)]))
+            which.append(unpacked(w.as_py(), "<u4").astype(np.int64) + base)
+            positions.append(np.cumsum(unpacked(p.as_py(), "<u4"), dtype=np.int64).astype("<u4"))
+            docs.append(unpacked(d.as_py(), np.int64))
             sizes.append(len(which[-1]))
-            base += len(contents[-1])
-        full = np.ascontiguousarray(np.hstack([np.concatenate(reaches), np.concatenate(contents)]))
+            base += len(fulls[-1])
+        parts = -(-base * (wide + 2) // part_bytes) or 1
+        dealt = [_anchors_of(f, reach) >> np.uint64(7) for f in fulls]
+        part_of = np.concatenate([(h % np.uint64(parts)).astype(np.int32) for h in dealt])
+        del dealt
         which, position, doc = np.concatenate(which), np.concatenate(positions), np.concatenate(docs)
-        _, first, inverse = np.unique(full.view(f"V{wide + 2}").ravel(), return_index=True, return_inverse=True)
-        full, which = full[first], inverse[which]
-        least_doc = np.full(len(full), LAST, np.int64)
-        np.minimum.at(least_doc, which, doc)
-        left, right, content = full[:, 0], full[:, 1], full[:, 2:]
-        # An occurrence in a larger document than its content's least is a repeat as a whole.
-        copy = (doc > least_doc[which]) & (left[which].astype(np.int64) + right[which] >= least)
-        chunk_of = np.repeat(np.arange(len(sizes)), sizes)
-        out_at = [np.flatnonzero(copy)]
-        out_first = [(reach - left[which].astype(np.int64))[copy]]
-        out_last = [(reach + right[which].astype(np.int64))[copy]]
-        # The rest shares strings with other contents around the same anchor.
-        anchor = np.ascontiguousarray(content[:, reach : reach + ANCHOR]).view("<u8")
-        _, group, counts = np.unique(_anchor_hash(anchor[:, 0].copy(), anchor[:, 1].copy(), anchor[:, 2].copy()), return_inverse=True, return_counts=True)
-        mixed = np.flatnonzero(counts[group] > 1)
-        hit, a, b = _coverage(content[mixed], left[mixed], right[mixed], least_doc[mixed], group[mixed], least)
-        hit = mixed[hit]
-        # Each occurrence of a content in its least document gets all of the content's parts.
-        own = np.flatnonzero(~copy)
-        own = own[np.argsort(which[own], kind="stable")]
-        begin, end = np.searchsorted(which[own], hit, side="left"), np.searchsorted(which[own], hit, side="right")
-        n = end - begin
-        part = np.repeat(np.arange(len(hit)), n)
-        occurrence = own[np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n) + begin[part]] if len(part) else np.zeros(0, np.int64)
-        out_at.append(occurrence)
-        out_first.append(a[part])
-        out_last.append(b[part])
-        at, start, stop = (np.concatenate(x) for x in (out_at, out_first, out_last))
+        of_occurrence = part_of[which]
+        begins = np.cumsum([0, *map(len, fulls)])
+        found = []
+        for k in range(parts):
+            mine, own = np.flatnonzero(of_occurrence == k), np.flatnonzero(part_of == k)
+            if len(mine):
+                full = np.concatenate([f[part_of[a : a + len(f)] == k] for f, a in zip(fulls, begins.tolist(), strict=False)])
+                at, first, last = _covered(full, np.searchsorted(own, which[mine]), doc[mine], least)
+                found.append((mine[at], first.astype(np.uint8), last.astype(np.uint8)))
+        at, first, last = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        ends = np.cumsum(sizes)
+        order = np.argsort(at, kind="stable")
+        at, first, last = at[order], first[order], last[order]
+        cuts = np.searchsorted(at, ends)
         rows = []
-        chunks = table["chunk"].to_pylist()
-        for c in np.unique(chunk_of[at]).tolist():
-            mine = at[chunk_of[at] == c]
-            sel = chunk_of[at] == c
-            rows.append((chunks[c], packed(position[mine].astype("<u4")), packed(start[sel].astype(np.uint8)), packed(stop[sel].astype(np.uint8))))
+        for c, i, j in zip(table["chunk"].to_pylist(), [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            if j > i:
+                rows.append((c, packed(position[at[i:j]]), packed(first[i:j]), packed(last[i:j])))
         return table_of(COVERED, rows)
 
     return run
@@ -379,15 +404,17 @@ def _remove(least: int, keep_texts: bool):
         if not len(table):
             return table_of(RESULT, [])
         chunk = Chunk(table)
-        depth = np.zeros(chunk.n + 1, np.int32)
+        # Parts of fewer than 2 * LONGEST anchors reach a byte, at most LONGEST of each: 16 bits hold them.
+        depth = np.zeros(chunk.n + 1, np.int16)
         for p, a, b in zip(*(covered[c].to_pylist() for c in ("position", "first", "last")), strict=True):
             at = unpacked(p, "<u4").astype(np.int64) - reach
             np.add.at(depth, at + unpacked(a, np.uint8), 1)
             np.add.at(depth, at + unpacked(b, np.uint8), -1)
-        gone = np.cumsum(depth[:-1]) > 0
+        gone = np.cumsum(depth, dtype=depth.dtype, out=depth)[:-1] > 0
+        del depth
         rows = []
-        for text, doc, a, e in zip(chunk.texts, chunk.docs.tolist(), chunk.starts.tolist(), chunk.ends.tolist(), strict=True):
-            cut = gone[a:e]
+        for doc, a, e in zip(chunk.docs.tolist(), chunk.starts.tolist(), chunk.ends.tolist(), strict=True):
+            cut, text = gone[a:e], chunk.bytes[a:e].tobytes()
             digest = hashlib.sha256(text).hexdigest()
             removed = int(cut.sum())
             spans, kept_digest, kept = 0, digest, text

@@ -1,7 +1,9 @@
 import hashlib
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import LONG, docs, odd_docs, table
 from hypothesis import given, settings
@@ -418,3 +420,24 @@ def test_near_dedup_compares_what_signatures_find(spark, monkeypatch):
     prints = [simhash.fingerprint(t, 5) for t in texts]
     assert max((prints[0] ^ p).bit_count() for p in prints[1:4]) <= 4 and len(set(prints[4:])) == 1
     assert kept(spark, texts) == {0, 4, 5}
+
+
+def test_removing_takes_few_bytes_a_byte_of_a_chunk():
+    text = np.random.default_rng(3).integers(97, 123, 4 << 20, np.uint8).tobytes()
+    rows, none = pa.table({"doc_id": pa.array([1], pa.int64()), "text": pa.array([text], pa.binary())}), repeats.table_of(repeats.COVERED, [])
+    tracemalloc.start()
+    found = repeats._remove(50, True)((pa.scalar(0),), rows, none)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["kept"].to_pylist() == [text] and peak < 9 * len(text)
+
+
+def test_snippets_are_answered_by_parts():
+    rng = np.random.default_rng(4)
+    passages = [rng.integers(97, 123, 200, np.uint8).tobytes() for _ in range(40)]
+    rows = [(i, b"".join(rng.integers(97, 123, 30, np.uint8).tobytes() + passages[k][: rng.integers(40, 200)] for k in rng.integers(0, 40, 5))) for i in range(200)]
+    chunk = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.binary())})
+    key = (pa.scalar(0),)
+    sent = repeats._send_snippets(50, 1)(key, chunk, repeats._answer_tags(key, repeats._send_tags(50, 1)(key, chunk)))
+    one, many = (repeats._remove(50, False)(key, chunk, repeats._answer_snippets(50, n)(key, sent)).to_pylist() for n in (1 << 30, 1 << 14))
+    assert one == many and sum(r["n_removed"] for r in one) > 1000
